@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 
 from sievemill.llm.common import components, settle, table
 
-WORDS, COORDINATES, BANDS, BITS, SEED = 5, 128, 32, 20, 20241
+WORDS, COORDINATES, BANDS, BITS, SEED = 5, 160, 32, 20, 20241
+#: Bands that the first round takes, and leaders of a bucket by round; later rounds take eight times the last.
+FIRST_BANDS, LEADERS = 4, (1, 1, 8)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MEMO_WORDS = 400_000
 
@@ -116,7 +118,7 @@ def _sets(words: int):
     return run
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = 85, coordinates: int = COORDINATES, bands: int = BANDS, leaders: int = 4) -> DataFrame:
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = 85, coordinates: int = COORDINATES, bands: int = BANDS) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Documents are linked when 100 * |intersection| >= percent * |union| of their shingle sets.
@@ -129,19 +131,19 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     signed = settle(texts.mapInArrow(_signed(words, coordinates, bands), "doc_id long, n_shingles long, same string, bands array<long>"), "minhash-signed")
     classes = signed.where("doc_id IS NOT NULL AND same IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    rows = classes.select("id", "n", F.explode("bands").alias("band"))
+    rows = classes.select("id", "n", F.posexplode("bands").alias("at", "band"))
     shared = rows.groupBy("band").agg(F.count("*").alias("members")).where("members > 1").select("band")
     active = settle(rows.join(shared, "band", "left_semi"), "minhash-active")
     ids = active.select("id").distinct()
     sets = settle(texts.join(ids, texts.doc_id == ids.id, "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(words), "id long, shingles array<long>"), "minhash-sets")
-    place = settle(ids.withColumn("component", F.col("id")), "minhash-place")
+    place = ids.withColumn("component", F.col("id"))
     tried: DataFrame | None = None
-    while True:
-        now = active.join(place, "id")
-        open_ = now.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-        now = settle(now.join(open_, "band", "left_semi"), "minhash-open")
+    turn = 0
+    while not active.isEmpty():
+        many = LEADERS[turn] if turn < len(LEADERS) else LEADERS[-1] * 8 ** (turn - len(LEADERS) + 1)
+        now = active.join(place, "id") if turn else active.where(F.col("at") < FIRST_BANDS).withColumn("component", F.col("id"))
         order = Window.partitionBy("band").orderBy("id")
-        lead = now.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= leaders)
+        lead = now.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= many)
         lead = settle(lead.select("band", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")), "minhash-lead")
         pairs = (
             now.join(lead, "band")
@@ -155,16 +157,17 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
         both = F.size(F.array_intersect("sa", "sb"))
         links = pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
-        merged = components(
-            links.join(place.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(place.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")),
-            "minhash",
-        )
-        merged = merged.select(F.col("id").alias("component"), F.col("component").alias("root"))
+        if turn:
+            links = links.join(place.toDF("a", "ca"), "a").join(place.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        merged = components(links, "minhash").toDF("component", "root")
         place = settle(place.join(merged, "component", "left").select("id", F.coalesce("root", "component").alias("component")), "minhash-place")
-        active = settle(now.select("id", "n", "band").join(lead.select("band", F.col("a").alias("id")), ["band", "id"], "left_anti"), "minhash-active")
-        tried = pairs if tried is None else settle(tried.union(pairs), "minhash-tried")
-        if active.isEmpty():
-            break
+        # A leader has met all members of its bucket and leaves it; a connected bucket is done.
+        now = active.join(place, "id")
+        open_ = now.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
+        now = now.join(open_, "band", "left_semi").select("id", "n", "at", "band")
+        active = settle(now.join(lead.select("band", F.col("a").alias("id")), ["band", "id"], "left_anti"), "minhash-active")
+        tried = pairs if tried is None else tried.union(pairs)
+        turn += 1
     known = classes.select("same", "id").join(place, "id", "left").select("same", F.coalesce("component", "id").alias("component"))
     return signed.select("doc_id", "n_shingles", "same").join(known, "same", "left").select(
         "doc_id",
