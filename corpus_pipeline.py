@@ -1,7 +1,58 @@
-"""Stub until all stages exist."""
-STAGES = []
+"""Corpus preparation in stages: quality, exact copies, near copies, secrets, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; every
+stage but the last returns the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sievemill.llm import exact, minhash, packing, quality, secrets
+from sievemill.llm.common import settle, table
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the quality classifier rejects."""
+    return quality.score(docs, table(spark, sf_dir, "labels")).where("keep").select(*docs.columns)
+
+
+def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of equal texts."""
+    return exact.drop_copies(docs)
+
+
+def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near copies, and all documents without an id."""
+    kept = minhash.near_components(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    nameless = docs.where("doc_id IS NULL")
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(nameless)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace the secrets in each text by a mark; ``n_chars`` follows the text."""
+    clean = secrets.redact(docs)
+    size = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clean.withColumn("n_chars", size)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack what is left into sequences."""
+    return packing.pack_documents(docs, *packing.public_vocabulary())
+
+
+STAGES = [("quality", keep_quality), ("exact", drop_exact), ("near", drop_near), ("secrets", mask_secrets), ("packing", pack)]
+
+#: SQL can't express the classifiers; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what a stage returns is written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = settle(docs, f"stage-{name}")
+    return docs

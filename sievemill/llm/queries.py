@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from sievemill.llm import chat, exact, minhash, packing
+from sievemill.llm import ann, chat, exact, html_main, minhash, packing, pieces, quality, repeats, secrets
 
 QUERIES = {
+    "op1_quality_cotraining": quality.query,
+    "op2_repeated_strings": repeats.query,
+    "op3_secret_scan": secrets.query,
+    "op4_html_main_text": html_main.query,
     "op5_minhash_near_dedup": minhash.query,
     "op6_exact_dedup": exact.query,
+    "op7_sentencepiece": pieces.query,
     "op8_chat_format": chat.query,
+    "op9_nearest_neighbours": ann.query,
     "op10_packing": packing.query,
 }
 ORACLES = {
