@@ -31,7 +31,7 @@ from sievemill.llm.minhash import mix
 
 WINDOW, GRAM = 400, 64
 #: An anchor with more distinct segments is divided by the bytes that a few neighbouring windows share.
-HOT_SEGMENTS, CHUNK = 4096, 16
+HOT_SEGMENTS, CHUNK = 512, 16
 #: Bytes of a collection that are held in memory; larger ones lie in files.
 COLLECTION_BYTES = 48 << 20
 _PIECE = 1 << 22
