@@ -3,10 +3,10 @@
 Two permutations make all coordinates of a signature: the first places a shingle in a universe
 of 2**20 positions, the second, read circularly from that position, gives one value per
 coordinate; the signature is the minimum over the shingles. Documents that share a band meet in
-a bucket. Buckets are worked off by leaders: each round verifies the members of other
-components against a bucket's leaders on full shingle sets, joins what is linked, and lets the
-leaders leave; a bucket whose members are all connected is done. So no link between different
-texts is lost and no group is expanded into all its pairs.
+a bucket. A first round verifies every member of a few bands' buckets against the smallest one on
+full shingle sets and joins what is linked. A bucket whose members are all connected is done; the
+rest is compared in pairs of blocks of bounded size, which give only links that connect
+something new. So no link between different texts is lost and pairs never become rows.
 """
 
 from __future__ import annotations
@@ -17,14 +17,14 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemill.llm.common import components, settle, table
 
 WORDS, COORDINATES, BANDS, BITS, SEED = 5, 160, 32, 20, 20241
-#: Bands that the first round takes, and leaders of a bucket by round; later rounds take eight times the last.
-FIRST_BANDS, LEADERS = 4, (1, 1, 8)
+#: Bands that the first round takes; shingles of a block of the second.
+FIRST_BANDS, BLOCK_SHINGLES = 4, 500_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MEMO_WORDS = 400_000
 
@@ -118,7 +118,42 @@ def _sets(words: int):
     return run
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = 85, coordinates: int = COORDINATES, bands: int = BANDS) -> DataFrame:
+def _block_links(percent: int):
+    """Links between components that full sets confirm, as a spanning forest of a pair of blocks."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        x, y = key[1].as_py(), key[2].as_py()
+        block, component = np.array(group["block"].to_pylist()), np.array(group["component"].to_pylist(), np.int64)
+        flat = group["shingles"].combine_chunks()
+        flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
+        values, cuts = flat.values.to_numpy(), flat.offsets.to_numpy()
+        codes = np.unique(values[cuts[0] : cuts[-1]], return_inverse=True)[1]
+        cuts = cuts - cuts[0]
+        size, marked = np.diff(cuts), np.zeros(len(codes), bool)
+        last, found = block == y, []
+        # The largest component needs no turn of its own where both sides are the same block.
+        largest = np.bincount(np.unique(component, return_inverse=True)[1]).max() if len(component) else 0
+        names, counts = np.unique(component, return_counts=True)
+        skip = names[counts == largest][0] if len(names) and x == y else None
+        own = component.copy()
+        for i in np.flatnonzero(block == x):
+            if own[i] == skip or not (last & (component != component[i])).any():
+                continue
+            mine = codes[cuts[i] : cuts[i + 1]]
+            marked[mine] = True
+            common = np.add.reduceat(marked[codes], cuts[:-1], dtype=np.int64)
+            marked[mine] = False
+            linked = np.flatnonzero(last & (component != component[i]) & (100 * common >= percent * (size + size[i] - common)))
+            for j in linked:
+                if component[j] != component[i]:
+                    found.append((own[i], own[j]))
+                    component[component == component[j]] = component[i]
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return run
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = 85, coordinates: int = COORDINATES, bands: int = BANDS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Documents are linked when 100 * |intersection| >= percent * |union| of their shingle sets.
@@ -136,38 +171,26 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     active = settle(rows.join(shared, "band", "left_semi"), "minhash-active")
     ids = active.select("id").distinct()
     sets = settle(texts.join(ids, texts.doc_id == ids.id, "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(words), "id long, shingles array<long>"), "minhash-sets")
-    place = ids.withColumn("component", F.col("id"))
-    tried: DataFrame | None = None
-    turn = 0
-    while not active.isEmpty():
-        many = LEADERS[turn] if turn < len(LEADERS) else LEADERS[-1] * 8 ** (turn - len(LEADERS) + 1)
-        now = active.join(place, "id") if turn else active.where(F.col("at") < FIRST_BANDS).withColumn("component", F.col("id"))
-        order = Window.partitionBy("band").orderBy("id")
-        lead = now.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= many)
-        lead = settle(lead.select("band", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")), "minhash-lead")
-        pairs = (
-            now.join(lead, "band")
-            .where((F.col("component") != F.col("ca")) & (100 * F.least("n", "na") >= percent * F.greatest("n", "na")))
-            .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
-            .distinct()
-        )
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = settle(pairs, "minhash-pairs")
-        left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-        both = F.size(F.array_intersect("sa", "sb"))
-        links = pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
-        if turn:
-            links = links.join(place.toDF("a", "ca"), "a").join(place.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        merged = components(links, "minhash").toDF("component", "root")
-        place = settle(place.join(merged, "component", "left").select("id", F.coalesce("root", "component").alias("component")), "minhash-place")
-        # A leader has met all members of its bucket and leaves it; a connected bucket is done.
-        now = active.join(place, "id")
-        open_ = now.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-        now = now.join(open_, "band", "left_semi").select("id", "n", "at", "band")
-        active = settle(now.join(lead.select("band", F.col("a").alias("id")), ["band", "id"], "left_anti"), "minhash-active")
-        tried = pairs if tried is None else tried.union(pairs)
-        turn += 1
+    # First the bulk: in a few bands, the smallest id of each bucket against its other members.
+    first = active.where(F.col("at") < FIRST_BANDS)
+    lead = first.groupBy("band").agg(F.min(F.struct("id", "n")).alias("lead")).select("band", F.col("lead.id").alias("a"), F.col("lead.n").alias("na"))
+    pairs = first.join(lead, "band").where((F.col("id") != F.col("a")) & (100 * F.least("n", "na") >= percent * F.greatest("n", "na"))).select("a", F.col("id").alias("b")).distinct()
+    left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    links = pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    place = settle(ids.join(components(links, "minhash-first"), "id", "left").select("id", F.coalesce("component", "id").alias("component")), "minhash-place")
+    # Then what that left open: buckets that hold several components, by groups of such buckets.
+    now = active.join(place, "id")
+    open_ = now.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "low")
+    now = settle(now.join(open_, "band").select("id", "n", "component", "low"), "minhash-open")
+    group = components(now.select(F.col("component").alias("a"), F.col("low").alias("b")).distinct(), "minhash-groups").toDF("component", "group")
+    members = now.select("id", "n", "component").distinct().join(group, "component")
+    blocks = members.groupBy("group").agg(F.ceil(F.sum("n") / block_shingles).alias("blocks"))
+    members = members.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    members = members.select("id", "component", "group", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    more = members.join(sets, "id").groupBy("group", "x", "y").applyInArrow(_block_links(percent), "a long, b long")
+    merged = components(more, "minhash-last").toDF("component", "root")
+    place = place.join(merged, "component", "left").select("id", F.coalesce("root", "component").alias("component"))
     known = classes.select("same", "id").join(place, "id", "left").select("same", F.coalesce("component", "id").alias("component"))
     return signed.select("doc_id", "n_shingles", "same").join(known, "same", "left").select(
         "doc_id",
