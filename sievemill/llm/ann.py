@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from sievemill.llm.common import settle, table
 
-TABLES, PROBES, BLOCK, SEED = 12, 8, 4096, 11
+TABLES, PROBES, BLOCK, SEED = 16, 8, 4096, 11
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:

@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from sievemill.llm.common import settle, table
 
 SHAPES, META_SLOTS = 1 << 12, 1 << 8
-_OWN = ("__text", "__words", "__shapes", "__count", "__rate", "__style", "__tv", "__meta_a", "__meta_b", "__meta_c", "__mv")
 
 
 def text_view(docs: DataFrame, text_col: str) -> DataFrame:
@@ -30,12 +29,13 @@ def text_view(docs: DataFrame, text_col: str) -> DataFrame:
     """
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("__text"), r"\p{Lu}+", "A"), r"[\p{Ll}\p{Lo}]+", "a"), r"\p{N}+", "0")
     words, n = F.col("__words"), F.greatest(F.size("__words"), F.lit(1))
-    style = F.array(F.log1p(n.cast("double")), F.length("__text") / n, F.size(F.array_distinct(words)) / n, F.size(F.array_distinct("__shapes")) / n)
+    style = [F.log1p(n.cast("double")), F.length("__text") / n, F.size(F.array_distinct(words)) / n, F.size(F.array_distinct("__shapes")) / n]
     out = docs.withColumn("__text", F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    out = out.withColumn("__words", F.split("__text", r"\s+")).withColumn("__shapes", F.split(shape, r"\s+")).withColumn("__style", array_to_vector(style))
+    out = out.withColumn("__words", F.split("__text", r"\s+")).withColumn("__shapes", F.split(shape, r"\s+"))
+    out = out.withColumns({f"__style_{i}": c for i, c in enumerate(style)})
     out = HashingTF(numFeatures=SHAPES, inputCol="__shapes", outputCol="__count").transform(out)
     out = Normalizer(p=1.0, inputCol="__count", outputCol="__rate").transform(out)
-    return VectorAssembler(inputCols=["__style", "__rate"], outputCol="__tv").transform(out)
+    return VectorAssembler(inputCols=[*(f"__style_{i}" for i in range(len(style))), "__rate"], outputCol="__tv").transform(out)
 
 
 def meta_view(docs: DataFrame, meta_cols: list[str], size_col: str | None) -> DataFrame:
