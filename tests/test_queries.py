@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from sievemill.plans.queries import QUERIES
+from __spark_entry__ import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
