@@ -137,7 +137,22 @@ def q_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 O_UNSEEN = "SELECT user_id, min(event_id) event_id FROM events GROUP BY 1"
 
+
+def q_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("role").alias("role"), F.min("text").alias("text"))
+    cards = F.array(F.struct(F.col("turn").cast("string").alias("id"), F.substring("text", 1, 20).alias("title"), F.concat(F.lit("u"), F.col("turn").cast("string")).alias("url")))
+    search = F.struct(F.col("turn").alias("turn"), F.concat(F.lit("s"), F.col("turn").cast("string")).alias("searchUrl"), F.when(F.col("turn") % 2 == 0, "complete").otherwise("odd").alias("state"), F.when(F.col("role") == "user", cards).alias("jobs"), F.when(F.col("role") != "user", cards).alias("reference_jobs"))
+    runs = c.groupBy("conv_id").agg(F.to_json(F.struct(F.concat(F.lit("run-"), F.first("conv_id").cast("string")).alias("runId"), F.array_sort(F.collect_list(search)).alias("searches"))).alias("body"))
+    return feeds.flatten_run_payload(runs).select("run_id", "search_url", "state", "role", "id", F.md5("title").alias("title"), "url")
+
+
+O_PAYLOAD = """WITH c AS (SELECT conv_id, turn, min(role) r, min(text) t FROM conversations GROUP BY 1, 2)
+ SELECT 'run-' || conv_id run_id, 's' || turn search_url, CASE WHEN turn % 2 = 0 THEN 'complete' ELSE 'partial' END state, CASE WHEN r = 'user' THEN 'production' ELSE 'reference' END AS role, CAST(turn AS VARCHAR) id, md5(substr(t, 1, 20)) title, 'u' || turn url
+ FROM c WHERE r IS NOT NULL AND trim(regexp_replace(t, '\\s+', ' ', 'g')) <> ''"""
+
+
 QUERIES = {
+    "run_payload": (q_payload, O_PAYLOAD),
     "text_facts": (q_facts, O_FACTS), "json_feed": (q_json_feed, O_JSON_FEED), "rss_feed": (q_rss, O_RSS), "page_links": (q_links, O_LINKS), "provider_summary": (q_summary, O_SUMMARY), "coverage_rollup": (q_rollup, O_ROLLUP), "reconcile": (q_reconcile, O_RECONCILE),
     "stream_windows": (q_windows, O_WINDOWS), "stream_unseen": (q_unseen, O_UNSEEN),
 }

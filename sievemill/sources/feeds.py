@@ -71,3 +71,35 @@ def extract_links(pages: DataFrame, path: str) -> DataFrame:
     rest = F.substring(F.col("url"), F.length("head") + 1, F.length("url"))
     kept = rows.where((F.col("head") != "") & F.col("url").startswith(F.col("head")) & rest.rlike(path) & F.length("title").between(1, 300))
     return kept.groupBy("page_id", "url").agg(F.min_by("title", "at").alias("title"))
+
+
+def import_decision_map(raw: DataFrame) -> DataFrame:
+    """Bodies holding one object ``key -> {fingerprint, decision, timestamp}`` as rows; broken bodies give none."""
+    entry = "map<string, struct<fingerprint: string, decision: struct<status: string, score: string, family: string>, timestamp: string>>"
+    rows = raw.select(F.explode(F.from_json("body", entry)).alias("key", "e"))
+    return rows.select("key", F.col("e.fingerprint").alias("fingerprint"), decode_decision(F.col("e.decision")).alias("decision"), parse_ts(F.col("e.timestamp")).alias("ts"))
+
+
+def decode_decision(stored: Column) -> Column:
+    """A stored decision, score clipped to 0..100; null if the status is unknown or the score no number."""
+    score = stored["score"].try_cast("double").cast("int")
+    fine = stored["status"].isin("accepted", "warning", "rejected") & score.isNotNull()
+    return F.when(fine, F.struct(stored["status"].alias("status"), F.least(F.greatest(score, F.lit(0)), F.lit(100)).alias("score"), F.coalesce(stored["family"], F.lit("unknown")).alias("family")))
+
+
+def flatten_run_payload(runs: DataFrame) -> DataFrame:
+    """Run payloads (body) to one row per run, search, role and card.
+
+    ``role`` is production or reference. An unknown state is partial; cards without title or url
+    are dropped; run ids keep 128 characters.
+    """
+    card = "array<struct<id: string, title: string, company: string, location: string, url: string, posted: string, postedAt: string, published_at: string, publishedAt: string>>"
+    schema = f"run_id string, runId string, searches array<struct<url: string, searchUrl: string, state: string, jobs: {card}, referenceJobs: {card}, reference_jobs: {card}>>"
+    body = runs.select(F.from_json("body", schema).alias("r"))
+    search = body.select(F.substring(F.coalesce("r.run_id", "r.runId"), 1, 128).alias("run_id"), F.posexplode("r.searches").alias("search", "s"))
+    state = F.when(F.col("s.state").isin("complete", "empty", "partial", "blocked", "rate_limited", "failed"), F.col("s.state")).otherwise("partial")
+    sides = F.array(F.struct(F.lit("production").alias("role"), F.col("s.jobs").alias("cards")), F.struct(F.lit("reference").alias("role"), F.coalesce("s.referenceJobs", "s.reference_jobs").alias("cards")))
+    side = search.select("run_id", "search", F.coalesce("s.url", "s.searchUrl").alias("search_url"), state.alias("state"), F.explode(sides).alias("side"))
+    rows = side.select("run_id", "search", "search_url", "state", F.col("side.role").alias("role"), F.posexplode("side.cards").alias("position", "c"))
+    kept = rows.where((squash(F.col("c.title")) != "") & (squash(F.col("c.url")) != ""))
+    return kept.select("run_id", "search", "search_url", "state", "role", "position", "c.id", "c.title", "c.company", "c.location", "c.url", F.coalesce("c.posted", "c.postedAt").alias("posted"), F.coalesce("c.published_at", "c.publishedAt").alias("published_at"))

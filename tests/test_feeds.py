@@ -22,3 +22,9 @@ def test_experience(spark):
     text = ["Experiencia mínima de 3 años con Python", "Empresa con 10 años de experiencia", "entre 1 y 2 años de React", "", None]
     rows = spark.createDataFrame(list(enumerate(text)), "i int, t string").orderBy("i").select(features.experience(F.col("t")).alias("e")).collect()
     assert [tuple(r.e) for r in rows] == [(3, None, "Mid"), (None, None, "unspecified"), (1, 2, "Junior"), (None, None, "unspecified"), (None, None, "unspecified")]
+
+
+def test_decision_map_rejects_unknown_states(spark):
+    body = '{"a": {"fingerprint": "f", "decision": {"status": "accepted", "score": 130, "family": "data"}, "timestamp": "100"}, "b": {"decision": {"status": "maybe", "score": 1}}, "c": {"decision": {"status": "warning", "score": "x"}}}'
+    got = feeds.import_decision_map(spark.createDataFrame([(body,), ("nope",), (None,)], "body string")).collect()
+    assert {r.key: r.decision and tuple(r.decision) for r in got} == {"a": ("accepted", 100, "data"), "b": None, "c": None}
