@@ -37,3 +37,31 @@ def overall_rollup(summaries: DataFrame) -> DataFrame:
     value = F.when(F.col("status") == "ok", 100).when(F.col("status") == "warning", 55).when(F.col("status") == "insufficient_data", 25).otherwise(0)
     worst = F.min_by("status", value)
     return summaries.agg(worst.alias("status"), F.round(F.avg(value)).cast("long").alias("score"), *[F.count_if(F.col("status") == s).alias(s) for s in ("ok", "warning", "insufficient_data", "critical")])
+
+
+def run_summary(runs: DataFrame, by: list[str], expected: int, now: str, stale_minutes: int = 50, min_ratio: float = 0.8) -> DataFrame:
+    """Per ``by`` (one row overall if empty): runs against ``expected``, counters, reasons and status.
+
+    ``runs`` has ts, complete, partial, valid, correct, absences, unique_jobs, duplicates and urls,
+    an array of (extension, api) states. Negative and null counts are 0, null flags false. A stale,
+    incomplete or too rare source has that single reason; else all that apply are listed.
+    """
+    flag, total = (lambda c: F.count_if(F.coalesce(c, F.lit(False)))), (lambda c: F.coalesce(F.sum(F.greatest(F.coalesce(c, F.lit(0)), F.lit(0))), F.lit(0)))
+    state = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    states = F.concat(F.transform("urls", lambda u: state(u["extension"])), F.transform("urls", lambda u: state(u["api"])))
+    limited, stopped = (lambda s: s.contains("rate_limit") | s.contains("429")), (lambda s: s.isin("blocked", "challenge", "failed"))
+    sums = runs.groupBy(*by).agg(
+        F.count("*").alias("runs"), F.max("ts").alias("last"), flag(F.col("complete")).alias("complete"), flag(F.col("partial")).alias("partial"), flag(F.col("valid")).alias("valid"), flag(F.col("correct")).alias("correct"),
+        *[total(F.col(c)).alias(c) for c in ("absences", "unique_jobs", "duplicates")], total(F.size("urls")).alias("urls"), total(F.size(F.filter(states, limited))).alias("rate_limited"), total(F.size(F.filter(states, stopped))).alias("blocked"),
+    )
+    age = F.greatest(F.lit(0), F.round((F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("last")) / 60).cast("long"))
+    rows = sums.withColumn("age_minutes", age).withColumn("ratio", F.round(F.col("runs") / F.lit(expected), 3))
+    share = F.col("runs") / F.lit(expected)
+    fatal = F.when(F.col("runs") == 0, "no_run_evidence").when(F.col("age_minutes") > stale_minutes, "evidence_stale").when(F.col("complete") == 0, "no_complete_batch").when(share < 0.5, "too_few_runs")
+    audit = F.when(F.col("valid") == 0, "no_valid_audit").when(F.col("correct") == 0, "audit_not_correct")
+    said = [(share < min_ratio, "below_expected_ratio"), (F.col("partial") > 0, "partial_batches"), (F.col("absences") > 0, "eligible_absence")]
+    more = [(F.col("rate_limited") > 0, "rate_limited"), (F.col("blocked") > 0, "blocked")]
+    listed = F.array_compact(F.array(*[F.when(c, F.lit(r)) for c, r in said], audit, *[F.when(c, F.lit(r)) for c, r in more]))
+    reasons = F.when(fatal.isNotNull(), F.array(fatal)).otherwise(listed)
+    status = F.when(fatal.isNotNull() | (F.col("absences") > 0), "critical").when(F.size(listed) > 0, "warning").otherwise("ok")
+    return rows.select(*by, "runs", "ratio", "age_minutes", "complete", "partial", "valid", "correct", "absences", "unique_jobs", "duplicates", "urls", "rate_limited", "blocked", reasons.alias("reasons"), status.alias("status"))

@@ -151,7 +151,33 @@ O_PAYLOAD = """WITH c AS (SELECT conv_id, turn, min(role) r, min(text) t FROM co
  FROM c WHERE r IS NOT NULL AND trim(regexp_replace(t, '\\s+', ' ', 'g')) <> ''"""
 
 
+def q_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, e = F.col("n"), F.col("event_type")
+    state = lambda c: F.element_at(F.array(*[F.lit(s) for s in ("ok", " Blocked", "rate_limited", "complete", "HTTP 429")]), (c % 5 + 1).cast("int"))
+    days = table(spark, sf_dir, "events").groupBy("event_type", F.date_trunc("day", "ts").alias("day")).agg(F.max("ts").alias("ts"), F.count("*").alias("n"), F.count_if(F.col("value") > 100).alias("m"))
+    urls = F.when(e != "view", F.array(F.struct(state(n).alias("extension"), state(F.col("m")).alias("api")), F.struct(state(n + 1).alias("extension"), F.lit(None).cast("string").alias("api"))))
+    runs = days.select(
+        "event_type", "ts", ((e != "click") & (n % 2 == 0)).alias("complete"), F.when(n % 3 == 0, True).alias("partial"), (e != "error").alias("valid"), (e == "signup").alias("correct"),
+        F.when(e == "purchase", F.lit(1)).otherwise(-1).alias("absences"), n.alias("unique_jobs"), F.col("m").alias("duplicates"), urls.alias("urls"),
+    )
+    return coverage.run_summary(runs, ["event_type"], 35, NOW, 2000).withColumn("reasons", F.array_join("reasons", ","))
+
+
+_STATE = "['ok', 'blocked', 'rate_limited', 'complete', 'http 429']"
+O_RUNS = f"""WITH d AS (SELECT event_type, date_trunc('day', ts) AS day, max(ts) ts, count(*) n, count(*) FILTER (WHERE value > 100) m FROM events GROUP BY 1, 2),
+ x AS (SELECT *, CASE WHEN event_type = 'view' THEN [] ELSE [{_STATE}[n % 5 + 1], {_STATE}[m % 5 + 1], {_STATE}[(n + 1) % 5 + 1]] END st FROM d),
+ s AS (SELECT event_type, count(*) runs, CAST(greatest(0, round((epoch(TIMESTAMP '{NOW}') - floor(epoch(max(ts)))) / 60)) AS BIGINT) age_minutes, count(*) FILTER (WHERE event_type <> 'click' AND n % 2 = 0) complete, count(*) FILTER (WHERE n % 3 = 0) partial,
+ count(*) FILTER (WHERE event_type <> 'error') AS valid, count(*) FILTER (WHERE event_type = 'signup') correct, count(*) FILTER (WHERE event_type = 'purchase') absences, CAST(sum(n) AS BIGINT) unique_jobs, CAST(sum(m) AS BIGINT) duplicates, count(*) FILTER (WHERE event_type <> 'view') * 2 urls,
+ CAST(sum(len(list_filter(st, lambda v: v IN ('rate_limited', 'http 429')))) AS BIGINT) rate_limited, CAST(sum(len(list_filter(st, lambda v: v = 'blocked'))) AS BIGINT) blocked FROM x GROUP BY 1),
+ f AS (SELECT *, CASE WHEN age_minutes > 2000 THEN 'evidence_stale' WHEN complete = 0 THEN 'no_complete_batch' WHEN runs / 35 < 0.5 THEN 'too_few_runs' END fatal,
+ concat_ws(',', CASE WHEN runs / 35 < 0.8 THEN 'below_expected_ratio' END, CASE WHEN partial > 0 THEN 'partial_batches' END, CASE WHEN absences > 0 THEN 'eligible_absence' END, CASE WHEN valid = 0 THEN 'no_valid_audit' WHEN correct = 0 THEN 'audit_not_correct' END,
+ CASE WHEN rate_limited > 0 THEN 'rate_limited' END, CASE WHEN blocked > 0 THEN 'blocked' END) listed FROM s)
+ SELECT event_type, runs, round(runs / 35, 3) ratio, age_minutes, complete, partial, valid, correct, absences, unique_jobs, duplicates, urls, rate_limited, blocked, coalesce(fatal, listed) reasons,
+ CASE WHEN fatal IS NOT NULL OR absences > 0 THEN 'critical' WHEN listed <> '' THEN 'warning' ELSE 'ok' END status FROM f"""
+
+
 QUERIES = {
+    "run_summary": (q_runs, O_RUNS),
     "run_payload": (q_payload, O_PAYLOAD),
     "text_facts": (q_facts, O_FACTS), "json_feed": (q_json_feed, O_JSON_FEED), "rss_feed": (q_rss, O_RSS), "page_links": (q_links, O_LINKS), "provider_summary": (q_summary, O_SUMMARY), "coverage_rollup": (q_rollup, O_ROLLUP), "reconcile": (q_reconcile, O_RECONCILE),
     "stream_windows": (q_windows, O_WINDOWS), "stream_unseen": (q_unseen, O_UNSEEN),
