@@ -122,7 +122,7 @@ def _meet(members: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
 
 
-def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, k: int = 20, tables: int = TABLES, probes: int = PROBES, block: int = BLOCK, functions: int | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, k: int = 20, tables: int = TABLES, probes: int = PROBES, block: int = BLOCK, functions: int = 1) -> DataFrame:
     """The ``k`` found nearest of each query: query_id, rank, vec_id, score.
 
     Queries are the rows whose id is divisible by ``every``; candidates are all rows but those
@@ -130,17 +130,15 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     precision, ties go to the smaller id. Rows without id and vectors that are null, empty, zero
     or hold null or non-finite components take no part; repeated rows count once; vectors of
     other lengths than the query's are not compared. A query for which the tables find fewer than ``k`` is answered by scanning all vectors
-    in blocks. ``functions`` rotations make a bucket; by default as many as keep the mean bucket
-    near ``block`` / 8 vectors. An empty table gives no rows; other columns are ignored.
+    in blocks. ``functions`` rotations make a bucket: one whatever the size of the table, so that
+    recall doesn't fall as it grows. More of them make smaller buckets and miss more neighbours
+    unless ``tables`` and ``probes`` are raised too. An empty table gives no rows; other columns are ignored.
     """
     v = F.col("vec")
     good = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vec_col}`").cast("array<double>").alias("vec"))
     good = good.where(F.col("vec_id").isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0))
     good = good.withColumn("is_query", F.col("vec_id") % every == 0)
     n = good.count()
-    width = good.agg(F.max(F.size("vec"))).first()[0] or 1
-    if functions is None:
-        functions = max(1, round(np.log(max(1, 8 * n / block)) / np.log(4 * width)))
     hashed = settle(good.select("vec_id", "is_query", "vec").mapInArrow(_hashed(tables, functions, probes), "vec_id long, is_query boolean, vec array<double>, buckets array<long>, seek array<long>"), "ann-hashed")
     size = F.size("vec").alias("dim")
     members = hashed.select("vec_id", "vec", size, F.explode("buckets").alias("code"))
