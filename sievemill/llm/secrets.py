@@ -74,6 +74,15 @@ def weak_label(x: list[float]) -> float:
     return float(f["secret_word"] and f["assigned"] and not f["harmless_word"] and f["coverage"] < 0.5 and f["entropy"] > 2.5)
 
 
+def _dictionary(text: str, raw: str, places: dict[str, list[int]]) -> set[str]:
+    """The words of ``raw`` that its text also holds outside all places of ``raw`` itself."""
+    low, offsets = raw.lower(), {}
+    for m in _LETTERS.finditer(raw):
+        offsets.setdefault(m[0].lower(), []).append(m.start())
+    own = lambda w, at: any(at >= o and text[at - o : at - o + len(raw)].lower() == low for o in offsets[w])
+    return {w for w in offsets if w in DUMMY_WORDS or not all(own(w, at) for at in places.get(w, ()))}
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """One row per candidate: doc_id, text_key, start, end (code points), x (features), weak."""
 
@@ -81,15 +90,18 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             rows: list[list] = [[], [], [], [], [], []]
             for doc, key, text, path in zip(*(batch[c].to_pylist() for c in ("doc_id", "text_key", "text", "path")), strict=True):
-                vocabulary = None
+                places, known = None, {}
                 for m in CANDIDATE.finditer(text):
                     raw = m[0]
                     if not any(map(str.isdigit, raw)) and text[m.start() - 1 : m.start()] not in ("=", ":", "\"", "'"):
                         continue
-                    if vocabulary is None:
-                        seen = Counter(w.lower() for w in _LETTERS.findall(text))
-                        vocabulary = {w for w in seen if seen[w] > 1 or w not in raw.lower()} | DUMMY_WORDS
-                    x = describe(text, m.start(), m.end(), vocabulary, path or "")
+                    if places is None:
+                        places = {}
+                        for w in _LETTERS.finditer(text):
+                            places.setdefault(w[0].lower(), []).append(w.start())
+                    if raw not in known:
+                        known[raw] = _dictionary(text, raw, places)
+                    x = describe(text, m.start(), m.end(), known[raw], path or "")
                     for column, value in zip(rows, (doc, key, m.start(), m.end(), x, weak_label(x)), strict=True):
                         column.append(value)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.float64()]

@@ -1,0 +1,26 @@
+import random
+import string
+
+from sievemill.llm import secrets
+
+BASE62 = string.ascii_letters + string.digits
+
+
+def keys(n: int, size: int = 32) -> list[str]:
+    r = random.Random(7)
+    return ["".join(r.choices(string.ascii_letters, k=size - 1)) + r.choice(string.digits) for _ in range(n)]
+
+
+def test_later_keys_of_a_document_do_not_cover_themselves(spark):
+    some = keys(9)
+    text = "seen 2024-01-02T10:20 at https://example.org/a1/b2 here\n" + "\n".join(f'api_key = "{k}" used by one host' for k in some) + f'\nagain token = "{some[3]}" as above'
+    found = secrets.candidates(spark.createDataFrame([(1, text, "x")], "doc_id long, text string, source string")).collect()
+    covered = secrets.FEATURES.index("coverage")
+    mine = [r for r in found if text[r.start : r.end] in some]
+    assert len(mine) == 10 and all(r.x[covered] == 0 and r.weak == 1 for r in mine)
+
+
+def test_words_of_the_text_still_cover(spark):
+    text = 'the server keeps backup files; token = "server_backup_files_1" and token = "server_backup_files_1"'
+    found = secrets.candidates(spark.createDataFrame([(1, text, "x")], "doc_id long, text string, source string")).collect()
+    assert len(found) == 2 and all(r.weak == 0 for r in found)
