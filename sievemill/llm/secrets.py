@@ -29,9 +29,18 @@ SECRET_WORDS = frozenset("password passwd passphrase pwd pass token secret apike
 HARMLESS_WORDS = frozenset("sha sha1 sha256 md5 hash digest checksum commit revision uuid guid id isbn phone tel fax version build card visa order invoice etag".split())
 DUMMY_WORDS = frozenset("example sample dummy changeme placeholder your test foo bar xxxx none null undefined redacted".split())
 
-CANDIDATE = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]{0,8000}?-----END [A-Z ]*PRIVATE KEY-----|[A-Za-z0-9_+/.~-]{10,}={0,2}|(?<=[=:])[^\s\"'<>=:,;]{8,}|(?<=[=:][\"'])[^\s\"'<>]{8,}|(?<=[=:] [\"'])[^\s\"'<>]{8,}")
+# A key block ends at its END line; no second BEGIN lies in it, so blocks without END cost no more than their length.
+# A value after = or : (group) ends before the next name= and without closing brackets and full stops.
+CANDIDATE = re.compile(
+    r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+    r"|(?<=[=:])[ \t]*[\"'](?P<quoted>[^\s\"'<>]{4,})"
+    r"|(?<=[=:])[ \t]*(?P<value>(?:(?!&[\w.%-]*=)[^\s\"'<>=:,;]){3,}(?!&[\w.%-]*=)[^\s\"'<>=:,;)\]}.`]={0,2})"
+    r"|[A-Za-z0-9_+/.~-]{10,}={0,2}"
+)
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _LETTERS, _WORDS, _HEX = re.compile(r"[^\W\d_]{3,}"), re.compile(r"[^\W_]+"), re.compile(r"[0-9a-fA-F]+")
+_MAIL = re.compile(r"[\w.+-]@(?:[\w-]+\.)+[A-Za-z]{2}|[\w.+-]@localhost\b")
+_PIECES = re.compile(r"[\s<>\[\](){}._-]+")
 _SAMPLE_PATH = re.compile(r"test|example|sample|fixture|mock|docs?\b", re.I)
 FEATURES = ("length", "digits", "upper", "lower", "other", "transitions", "turns", "entropy", "hex", "numeric", "coverage", "separators", "sample_path", "secret_word", "harmless_word", "dummy", "assigned", "quoted", "address", "uuid", "format")
 
@@ -56,11 +65,13 @@ def describe(text: str, start: int, end: int, vocabulary: frozenset | set, path:
     near = [w.lower() for w in _WORDS.findall(before)][-3:]
     after = [w.lower() for w in _WORDS.findall(text[end : end + 30])][:2]
     around = {*near, *after, *(f"{a}{b}" for a, b in zip(near, near[1:], strict=False))}
-    lead = before.rstrip(" \"'")
+    lead = before.rstrip(" \t\"'")
+    # Long key blocks hold short words by chance; there only whole pieces count.
+    dummy = bool(DUMMY_WORDS & set(_PIECES.split(raw.lower()))) if raw.startswith("-----BEGIN") else any(w in raw.lower() for w in DUMMY_WORDS)
     return [
         float(min(n, 200)), *share, transition, turns / max(1, n - 1), entropy, float(bool(_HEX.fullmatch(raw))), float(share[0] == 1), covered / n, sum(map(raw.count, "/.-_")) / n,
-        float(bool(_SAMPLE_PATH.search(path))), float(bool(around & SECRET_WORDS)), float(bool(around & HARMLESS_WORDS)), float(any(w in raw.lower() for w in DUMMY_WORDS) or max(counts.values()) > 0.6 * n),
-        float(lead[-1:] in ("=", ":")), float(before[-1:] in ("\"", "'")), float("@" in text[max(0, start - 1) : end + 1] or before.endswith("://")), float(bool(_UUID.fullmatch(raw))), float(bool(FORMATS.fullmatch(raw)) or raw.startswith("-----BEGIN")),
+        float(bool(_SAMPLE_PATH.search(path))), float(bool(around & SECRET_WORDS)), float(bool(around & HARMLESS_WORDS)), float(dummy or max(counts.values()) > 0.6 * n),
+        float(lead[-1:] in ("=", ":")), float(before[-1:] in ("\"", "'")), float("@" in (before[-1:], text[end : end + 1]) or bool(_MAIL.search(raw)) or before.endswith("://")), float(bool(_UUID.fullmatch(raw))), float(bool(FORMATS.fullmatch(raw)) or raw.startswith("-----BEGIN")),
     ]
 
 
@@ -92,8 +103,9 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for doc, key, text, path in zip(*(batch[c].to_pylist() for c in ("doc_id", "text_key", "text", "path")), strict=True):
                 places, known = None, {}
                 for m in CANDIDATE.finditer(text):
-                    raw = m[0]
-                    if not any(map(str.isdigit, raw)) and text[m.start() - 1 : m.start()] not in ("=", ":", "\"", "'"):
+                    start, end = m.span(m.lastgroup or 0)
+                    raw = text[start:end]
+                    if not m.lastgroup and not any(map(str.isdigit, raw)) and not raw.startswith("-----BEGIN") and text[start - 1 : start] not in ("=", ":", "\"", "'"):
                         continue
                     if places is None:
                         places = {}
@@ -101,8 +113,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                             places.setdefault(w[0].lower(), []).append(w.start())
                     if raw not in known:
                         known[raw] = _dictionary(text, raw, places)
-                    x = describe(text, m.start(), m.end(), known[raw], path or "")
-                    for column, value in zip(rows, (doc, key, m.start(), m.end(), x, weak_label(x)), strict=True):
+                    x = describe(text, start, end, known[raw], path or "")
+                    for column, value in zip(rows, (doc, key, start, end, x, weak_label(x)), strict=True):
                         column.append(value)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=["doc_id", "text_key", "start", "end", "x", "weak"])
