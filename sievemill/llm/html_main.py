@@ -35,6 +35,9 @@ CONTENT_WORDS = frozenset("article content entry post story main body text maint
 CLUTTER_WORDS = frozenset(
     "ad ads advert adverts advertisement banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside rail widget widgets footer header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social comment comments respond reply replies disqus discussion related recommended trending pagination pager copyright legal disclaimer toolbar tags".split()
 )
+#: Words that make a name tell of a page's layout or state, as in has-sidebar or comments-open.
+STATE_WORDS = frozenset("has with no without open closed".split())
+HEAD_TAGS = frozenset("html head title base link meta style script noscript template".split())
 LINK_TAGS = frozenset(["a"])
 
 _OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
@@ -64,9 +67,10 @@ def _attributes(raw: str) -> tuple[int, int, bool]:
             elif name == "aria-hidden":
                 hidden = hidden or value == "true"
             else:
-                words = set(_WORD.findall(value))
-                bad = bad or bool(words & CLUTTER_WORDS)
-                good = good or bool(words & CONTENT_WORDS)
+                for part in value.split():
+                    words = set(_WORD.findall(part))
+                    bad = bad or bool(words & CLUTTER_WORDS and not words & STATE_WORDS)
+                    good = good or bool(words & CONTENT_WORDS and not words & STATE_WORDS)
                 if name == "role":
                     bad = bad or value in ("navigation", "banner", "contentinfo", "complementary", "search")
     return int(good and not bad), int(bad), hidden
@@ -77,10 +81,13 @@ def parse(page: str) -> list[Block]:
 
     ``region`` is 1 inside an article, -1 inside a menu, footer, form, notice and the like, by the
     nearest such element, and 0 elsewhere; ``naming`` says the same of class and id words alone.
+    Names of html and body count for nothing. Below an element that only its names put at -1,
+    outside any article, an article or main is 1 again if it has at least as much text as what is 1
+    anyway (it can be a teaser otherwise, and is 0), and elements named as content are 0.
     """
     out: list[Block] = []
-    # Open elements: (name, region, naming, silent, serial)
-    stack: list[tuple] = [("", 0, 0, False, 0)]
+    # Open elements: (name, region, naming, silent, serial, put at -1 by names alone); region 2 is an article below such names.
+    stack: list[tuple] = [("", 0, 0, False, 0, False)]
     text: list[str] = []
     linked = in_link = serial = 0
     at, end = 0, len(page)
@@ -98,6 +105,8 @@ def parse(page: str) -> list[Block]:
 
     def say(raw: str) -> None:
         nonlocal linked
+        if stack[-1][0] == "head" and raw and not raw.isspace():
+            stack.pop()
         if raw and not stack[-1][3]:
             raw = html.unescape(raw)
             text.append(raw)
@@ -137,6 +146,8 @@ def parse(page: str) -> list[Block]:
                 if stack[depth][0] in ("article", "main", "body", "nav", "aside", "footer", "table") and name not in BLOCKS:
                     break
             continue
+        if stack[-1][0] == "head" and name not in HEAD_TAGS:
+            stack.pop()
         if name in RAW:
             close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = end if not close else close.end()
@@ -165,18 +176,27 @@ def parse(page: str) -> list[Block]:
             in_link += 1
         if m[3].rstrip().endswith("/") and name not in BLOCKS:
             continue
-        _, region, naming, silent, _ = stack[-1]
+        _, region, naming, silent, _, by_name = stack[-1]
         good, bad, hidden = _attributes(m[3])
-        if name in CLUTTER_TAGS or name == "header" and region != 1:
-            region = -1
+        if name in ("html", "body"):
+            good = bad = 0
+        if name in CLUTTER_TAGS or name == "header" and region < 1:
+            region, by_name = -1, False
         elif bad:
+            by_name = by_name or region != -1
             region = naming = -1
         elif region != -1 and (name in CONTENT_TAGS or good):
-            region = 1
+            region = max(1, region)
             naming = 1 if good else naming
+        elif by_name and (name in CONTENT_TAGS or good) and not any(x[0] == "article" for x in stack):
+            region, naming, by_name = (2, good, False) if name in CONTENT_TAGS else (0, 0, False)
         serial += 1
-        stack.append((name, region, naming, silent or hidden or name in SILENT, serial))
+        stack.append((name, region, naming, silent or hidden or name in SILENT, serial, by_name))
     flush()
+    sure, found = (sum(len(b.text) for b in out if b.region == k) for k in (1, 2))
+    for b in out:
+        if b.region == 2:
+            b.region = int(found >= sure)
     return out
 
 
