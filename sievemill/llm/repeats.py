@@ -5,6 +5,8 @@
    places, so only segments with equal anchors can repeat each other.
 2. Equal segments are counted before anything is gathered. Anchors that occur once are dropped;
    for the others one copy of each distinct segment is cut out of its document.
+   Anchors with many segments are divided into chunks of windows, equal chunks are counted too,
+   and where many distinct ones still meet their windows are counted one by one.
 3. A partition's segments are aligned on their anchors and form one collection. Column by column
    from the right, one symbol per segment is put in front of its suffix: a stable sort of the
    previous order by the new symbol is the collection's transform in that column, and the common
@@ -173,8 +175,40 @@ def _cut(window: int, gram: int):
     return run
 
 
-def _fetch(window: int, hot: int, chunk: int):
-    """Bytes of the wanted segments of each document; those of hot anchors in chunks of windows."""
+def _same(data: bytes, offset: int) -> bytes:
+    return xxhash.xxh3_128_digest(data, seed=offset % (1 << 64))
+
+
+_PIECE_TYPES = "did long, dk long, start long, key long, seg long, dealt long, lo long, hi long, offset long, alone boolean, same binary"
+
+
+def _split(window: int, chunk: int):
+    """Chunks of windows of each document's wanted segments, each with the hash of its bytes."""
+    names = [x.split()[0] for x in _PIECE_TYPES.split(", ")]
+    types = [*[pa.int64()] * 9, pa.bool_(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[list] = [[] for _ in names]
+            for did, dk, raw, wanted in zip(*(batch[c].to_pylist() for c in ("did", "dk", "raw", "wanted")), strict=True):
+                for x in wanted:
+                    key, start = x["key"], x["start"]
+                    # ``lo`` and ``hi`` count windows of the segment, ``offset`` the anchor's bytes from its start.
+                    offset = x["offset"]
+                    for c in range((offset - x["hi"] + 1) // chunk, (offset - x["lo"]) // chunk + 1):
+                        lo, hi = max(x["lo"], offset - (c + 1) * chunk + 1), min(x["hi"], offset - c * chunk + 1)
+                        core = raw[start + offset - c * chunk : start + offset - (c + 1) * chunk + 1 + window]
+                        dealt = xxhash.xxh3_64_intdigest(core, seed=(key + c) % (1 << 64)) - (1 << 63)
+                        same = _same(raw[start + lo : start + hi - 1 + window], offset - lo)
+                        for column, value in zip(rows, (did, dk, start, key, x["seg"], dealt, lo, hi, offset, x["alone"], same), strict=True):
+                            column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)], names=names)
+
+    return run
+
+
+def _fetch(window: int):
+    """Bytes of the wanted windows of each document."""
     names = ["dealt", "key", "seg", "first", "offset", "alone", "data"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
 
@@ -183,24 +217,51 @@ def _fetch(window: int, hot: int, chunk: int):
             rows: list[list] = [[] for _ in names]
             for raw, wanted in zip(batch["raw"].to_pylist(), batch["wanted"].to_pylist(), strict=True):
                 for x in wanted:
-                    key, offset, windows, start = x["key"], x["offset"], x["windows"], x["start"]
-                    if x["distinct"] <= hot:
-                        parts = [(key, 0, windows)]
-                    else:
-                        parts = []
-                        for c in range((offset - windows + 1) // chunk, offset // chunk + 1):
-                            lo, hi = max(0, offset - (c + 1) * chunk + 1), min(windows, offset - c * chunk + 1)
-                            core = raw[start + offset - c * chunk : start + offset - (c + 1) * chunk + 1 + window]
-                            parts.append((xxhash.xxh3_64_intdigest(core, seed=(key + c) % (1 << 64)) - (1 << 63), lo, hi))
-                    for dealt, lo, hi in parts:
-                        data = raw[start + lo : start + hi - 1 + window]
-                        for column, value in zip(rows, (dealt, key, x["seg"], lo, offset - lo, x["n"] == 1, data), strict=True):
-                            column.append(value)
+                    data = raw[x["start"] + x["lo"] : x["start"] + x["hi"] - 1 + window]
+                    for column, value in zip(rows, (x["dealt"], x["key"], x["seg"], x["lo"], x["offset"] - x["lo"], x["alone"], data), strict=True):
+                        column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)], names=names)
 
     return run
 
 
+def _counted(pieces: DataFrame) -> DataFrame:
+    """Distinct strings of pieces: how many segments hold each, and one place of it."""
+    place = F.struct("did", "dk", "start", "key", "seg", "lo", "hi", "offset", "alone")
+    return pieces.withColumn("at", F.col("offset") - F.col("lo")).groupBy("dealt", "at", "same").agg(F.count("*").alias("held"), F.min(place).alias("one"))
+
+
+def _repeating(pieces: DataFrame, counted: DataFrame) -> DataFrame:
+    """Windows of the pieces whose whole string is held by several segments."""
+    several = counted.where("held > 1").select("dealt", "at", "same")
+    return pieces.where("alone").withColumn("at", F.col("offset") - F.col("lo")).join(several, ["dealt", "at", "same"]).select("key", "seg", "lo", "hi")
+
+
+def _places(wanted: DataFrame, *fields: str) -> DataFrame:
+    return wanted.groupBy("did", "dk").agg(F.collect_list(F.struct(*fields)).alias("wanted"))
+
+
+def divide(base: DataFrame, shared: DataFrame, window: int, hot: int, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """(strings to gather by ``dealt``, windows found by counting alone).
+
+    Anchors with more than ``hot`` distinct segments are divided into chunks of windows. Equal
+    strings are counted first and only distinct ones are gathered; where more than ``hot`` of those
+    meet, their windows are counted one by one instead, so no gathered group has more than ``hot``.
+    """
+    texts = base.dropDuplicates(["did", "dk"])
+    split = lambda wanted, size: texts.join(wanted, ["did", "dk"]).mapInArrow(_split(window, size), _PIECE_TYPES)
+    segment = shared.where("distinct > 1").withColumns({"lo": F.lit(0).cast("long"), "hi": F.col("windows"), "alone": F.col("n") == 1})
+    pieces = settle(split(_places(segment.where(F.col("distinct") > hot), "key", "seg", "start", "lo", "hi", "offset", "alone"), chunk), "repeats-pieces")
+    counted = settle(_counted(pieces), "repeats-counted")
+    groups = counted.groupBy("dealt").agg(F.count("*").alias("strings")).where("strings > 1")
+    distinct = counted.join(groups, "dealt").select("dealt", "strings", "one.did", "one.dk", "one.start", "one.key", "one.seg", "one.lo", "one.hi", "one.offset", (F.col("one.alone") & (F.col("held") == 1)).alias("alone"))
+    windows = settle(split(_places(distinct.where(F.col("strings") > hot), "key", "seg", "start", "lo", "hi", "offset", "alone"), 1), "repeats-windows")
+    fields = ("dealt", "key", "seg", "start", "lo", "hi", "offset", "alone")
+    gather = segment.where(F.col("distinct") <= hot).withColumn("dealt", F.col("key")).select("did", "dk", *fields).unionByName(distinct.where(F.col("strings") <= hot).select("did", "dk", *fields))
+    data = texts.join(_places(gather, *fields), ["did", "dk"]).select("raw", "wanted").mapInArrow(_fetch(window), "dealt long, key long, seg long, first long, offset long, alone boolean, data binary")
+    return data, _repeating(pieces, counted).union(_repeating(windows, _counted(windows)))
+
+
 def _transform(window: int):
     """Repeated windows of a partition's segments, in collections that end between two anchors."""
 
@@ -271,11 +332,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     distinct = cut.groupBy("key", "seg").agg(F.count("*").alias("n"), F.min(F.struct("did", "dk", "start", "windows", "offset")).alias("at"))
     anchors = distinct.groupBy("key").agg(F.sum("n").alias("total"), F.count("*").alias("distinct")).where("total > 1")
     shared = settle(distinct.join(anchors, "key").select("key", "seg", "n", "distinct", "at.*"), "repeats-shared")
-    wanted = shared.where("distinct > 1").groupBy("did", "dk").agg(F.collect_list(F.struct("key", "seg", "n", "distinct", "start", "windows", "offset")).alias("wanted"))
-    data = base.dropDuplicates(["did", "dk"]).join(wanted, ["did", "dk"]).select("raw", "wanted").mapInArrow(_fetch(window, hot, chunk), "dealt long, key long, seg long, first long, offset long, alone boolean, data binary")
+    data, counted = divide(base, shared, window, hot, chunk)
     partly = data.repartition("dealt").sortWithinPartitions("dealt").mapInArrow(_transform(window), "key long, seg long, lo long, hi long")
     whole = shared.where("n > 1").select("key", "seg", F.lit(0).cast("long").alias("lo"), F.col("windows").alias("hi"))
-    places = cut.select("did", "dk", "start", "key", "seg").join(whole.union(partly), ["key", "seg"])
+    places = cut.select("did", "dk", "start", "key", "seg").join(whole.union(partly).union(counted), ["key", "seg"])
     spans = places.groupBy("did", "dk").agg(F.collect_list(F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))).alias("spans"))
     return base.join(spans, ["did", "dk"], "left").select("doc_id", "raw", "spans").mapInArrow(
         _remove(window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>"
