@@ -1,15 +1,18 @@
 """Secret scanning: a wide pattern finds candidates, a random forest removes the false ones.
 
 The forest sees a candidate's length, its character classes and transitions, how much of it
-dictionary words cover, its path-likeness and its document's path, and the words around it. It
-is trained on labelled findings: given ones, or by default candidates of the same corpus whose
-documented format or plain context labels them.
+dictionary words (of its document and of the whole corpus) cover, its path-likeness and its
+document's path, and the words around it, hashed, so that it has to learn which of them tell. It
+is trained on labelled findings: given ones, or by default candidates of the same corpus that a
+documented format or plain context labels. The rules that label are no features of the forest:
+it judges findings that fit no rule by their likeness to those that do.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -45,6 +48,29 @@ _SAMPLE_PATH = re.compile(r"test|example|sample|fixture|mock|docs?\b", re.I)
 FEATURES = ("length", "digits", "upper", "lower", "other", "transitions", "turns", "entropy", "hex", "numeric", "coverage", "separators", "sample_path", "secret_word", "harmless_word", "dummy", "assigned", "quoted", "address", "uuid", "format")
 
 
+#: The features that the forest sees; the others only serve ``weak_label``.
+SEEN = [i for i, f in enumerate(FEATURES) if f not in ("secret_word", "harmless_word", "dummy", "assigned", "address", "uuid", "format")]
+#: Slots for words in front and behind and for parts of the path.
+BEFORE_SLOTS, AFTER_SLOTS, PATH_SLOTS = 32, 16, 8
+
+
+def _slots(words: list[str], slots: int) -> list[float]:
+    out = [0.0] * slots
+    for w in words:
+        out[zlib.crc32(w.encode()) % slots] = 1.0
+    return out
+
+
+def surroundings(text: str, start: int, end: int, path: str) -> list[float]:
+    """Shares of the 16 transitions between character classes, hashed words around, hashed path."""
+    kinds = [_kind(c) for c in text[start:end]]
+    pairs = Counter(zip(kinds, kinds[1:], strict=False))
+    near = [w.lower() for w in _WORDS.findall(text[max(0, start - 40) : start])][-3:]
+    after = [w.lower() for w in _WORDS.findall(text[end : end + 30])][:2]
+    moves = [pairs[a, b] / max(1, len(kinds) - 1) for a in range(4) for b in range(4)]
+    return moves + _slots(near, BEFORE_SLOTS) + _slots(after, AFTER_SLOTS) + _slots(_WORDS.findall(path.lower()), PATH_SLOTS)
+
+
 def _kind(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3
 
@@ -95,11 +121,14 @@ def _dictionary(text: str, raw: str, places: dict[str, list[int]]) -> set[str]:
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
-    """One row per candidate: doc_id, text_key, start, end (code points), x (features), weak."""
+    """One row per candidate: doc_id, text_key, start, end (code points), x (features), weak, more, runs.
+
+    ``more`` are its ``surroundings`` and ``runs`` its runs of letters in lower case.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[], [], [], [], [], []]
+            rows: list[list] = [[], [], [], [], [], [], [], []]
             for doc, key, text, path in zip(*(batch[c].to_pylist() for c in ("doc_id", "text_key", "text", "path")), strict=True):
                 places, known = None, {}
                 for m in CANDIDATE.finditer(text):
@@ -114,12 +143,12 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     if raw not in known:
                         known[raw] = _dictionary(text, raw, places)
                     x = describe(text, start, end, known[raw], path or "")
-                    for column, value in zip(rows, (doc, key, start, end, x, weak_label(x)), strict=True):
+                    for column, value in zip(rows, (doc, key, start, end, x, weak_label(x), surroundings(text, start, end, path or ""), [w.lower() for w in _LETTERS.findall(raw)]), strict=True):
                         column.append(value)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=["doc_id", "text_key", "start", "end", "x", "weak"])
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=["doc_id", "text_key", "start", "end", "x", "weak", "more", "runs"])
 
-    return _keyed(docs, id_col, text_col, path_col).mapInArrow(run, "doc_id long, text_key long, start long, end long, x array<double>, weak double")
+    return _keyed(docs, id_col, text_col, path_col).mapInArrow(run, "doc_id long, text_key long, start long, end long, x array<double>, weak double, more array<double>, runs array<string>")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, path_col: str | None) -> DataFrame:
@@ -128,29 +157,53 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, path_col: str | None) ->
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"), path.alias("path"))
 
 
+def _known(docs: DataFrame, found: DataFrame, text_col: str) -> DataFrame:
+    """Distinct runs of letters of the candidates that at least two different texts hold: (run)."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}{3,})"), F.lit(1)))
+    said = docs.select(F.xxhash64(text).alias("key"), F.explode(words).alias("run"))
+    wanted = found.select(F.explode("runs").alias("run")).distinct()
+    return said.groupBy("run").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").join(wanted, "run", "left_semi").select("run")
+
+
+def judged_by(docs: DataFrame, found: DataFrame, text_col: str) -> DataFrame:
+    """``found`` with ``v``: what the forest sees, the share of known runs of letters included."""
+    keys = ["doc_id", "text_key", "start", "end"]
+    runs = found.select("text_key", "start", "end", F.explode("runs").alias("run")).distinct()
+    known = runs.join(_known(docs, found, text_col), "run").groupBy("text_key", "start", "end").agg(F.sum(F.length("run")).cast("double").alias("known"))
+    share = F.coalesce("known", F.lit(0.0)) / F.greatest(F.col("end") - F.col("start"), F.lit(1))
+    seen = F.array(*[F.col("x")[i] for i in SEEN], share)
+    return found.join(known, keys[1:], "left").select(*keys, "x", "weak", F.concat(seen, "more").alias("seen"))
+
+
 def find_secrets(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", sample_findings: int = 20_000, trees: int = 30, depth: int = 8) -> DataFrame:
     """One row per (doc_id, text_key) with candidates: n_candidates and spans of its secrets.
 
     ``labelled``: findings (doc_id, start, end, is_secret) to train on, taken as they are;
     otherwise candidates label themselves by ``weak_label``. The forest is trained on about
-    ``sample_findings`` findings; every candidate of every whole text is then judged by it. If
-    all findings have the same label, every candidate gets that label.
+    ``sample_findings`` findings, both labels with equal weight in sum; every candidate of every
+    whole text is then judged by it. If all findings have the same label, every candidate gets
+    that label. Candidates don't overlap: of several that begin at one place the pattern's first
+    alternative counts.
     """
     found = settle(candidates(docs, id_col, text_col, path_col), "secrets-candidates")
+    found = settle(judged_by(docs, found, text_col), "secrets-seen")
     if labelled is not None:
         given = labelled.select(F.col("doc_id"), F.col("start"), F.col("end"), F.col("is_secret").cast("double").alias("label"))
-        examples = found.join(given, ["doc_id", "start", "end"]).select("doc_id", "start", "x", "label")
+        examples = found.join(given, ["doc_id", "start", "end"]).select("doc_id", "start", "seen", "label")
     else:
-        examples = found.select("doc_id", "start", "x", F.col("weak").alias("label"))
+        examples = found.select("doc_id", "start", "seen", F.col("weak").alias("label"))
     n = examples.count()
     share = min(1.0, sample_findings / max(1, n))
-    picked = settle(examples.where(F.pmod(F.xxhash64("doc_id", "start"), F.lit(1_000_000)) < F.lit(round(share * 1_000_000))).select(array_to_vector("x").alias("v"), "label"), "secrets-examples")
-    seen = [r[0] for r in picked.select("label").distinct().collect()]
+    picked = settle(examples.where(F.pmod(F.xxhash64("doc_id", "start"), F.lit(1_000_000)) < F.lit(round(share * 1_000_000))).select(array_to_vector("seen").alias("v"), "label"), "secrets-examples")
+    seen = {r[0]: r[1] for r in picked.groupBy("label").count().collect()}
     if len(seen) == 2:
-        model = RandomForestClassifier(featuresCol="v", numTrees=trees, maxDepth=depth, seed=5).fit(picked)
-        judged = model.transform(found.withColumn("v", array_to_vector("x"))).withColumn("secret", vector_to_array("probability")[1] >= 0.5)
+        weight = F.when(F.col("label") == 1.0, sum(seen.values()) / (2 * seen[1.0])).otherwise(sum(seen.values()) / (2 * seen[0.0]))
+        forest = RandomForestClassifier(featuresCol="v", weightCol="weight", numTrees=trees, maxDepth=depth, featureSubsetStrategy="onethird", seed=5)
+        model = forest.fit(picked.withColumn("weight", weight))
+        judged = model.transform(found.withColumn("v", array_to_vector("seen"))).withColumn("secret", vector_to_array("probability")[1] >= 0.5)
     else:
-        judged = found.withColumn("secret", F.lit(bool(seen and seen[0] == 1.0)))
+        judged = found.withColumn("secret", F.lit(set(seen) == {1.0}))
     span = F.when(F.col("secret"), F.struct("start", "end"))
     return judged.groupBy("doc_id", "text_key").agg(F.count("*").alias("n_candidates"), F.array_sort(F.collect_set(span)).alias("spans"))
 

@@ -38,3 +38,41 @@ def test_long_blocks_and_unquoted_values_are_judged(spark):
     found = {(r.doc_id, texts[r.doc_id][r.start : r.end]): r.weak for r in secrets.candidates(df).collect()}
     for i, (_, want) in wanted.items():
         assert found.get((i, want)) == 1, (i, want[:40])
+
+
+def _corpus():
+    r = random.Random(11)
+    mixed = lambda: "".join(r.choices(BASE62, k=30)) + "7"
+    rows = [(i, f'set token = "{mixed()}" for the host', "conf/a") for i in range(80)]
+    rows += [(100 + i, f"see commit {r.getrandbits(160):040x} of release_notes_{i} in docs/page_{i}.html", "log") for i in range(80)]
+    return rows, mixed
+
+
+def test_the_forest_goes_beyond_the_rules_that_label(spark):
+    rows, mixed = _corpus()
+    rows += [(500 + i, f'set zzyx = "{mixed()}" for the host', "conf/a") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    rules = secrets.candidates(df).select("doc_id", "start", "end", secrets.F.col("weak").alias("is_secret"))
+    assert {r.doc_id for r in rules.where("is_secret = 1").collect()} == set(range(80))
+    # Findings of the other documents train; the rules are wrong about the three left out, the forest isn't.
+    found = {r.doc_id for r in secrets.scan(df, rules.where("doc_id < 500")).collect() if r.n_secrets}
+    assert found == set(range(80)) | {500, 501, 502}
+
+
+def test_given_findings_train_the_forest(spark):
+    rows, _ = _corpus()
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, source string, seen int, v int")
+    found = secrets.candidates(df).select("doc_id", "start", "end")
+    # The findings say the reverse of the rules, for every other document.
+    labelled = found.where("doc_id % 2 = 0").withColumn("is_secret", found.doc_id >= 100)
+    got = {r.doc_id: r.n_secrets for r in secrets.scan(df, labelled).collect()}
+    assert all(got[i] == 0 for i in range(80)) and all(got[100 + i] > 0 for i in range(80))
+
+
+def test_very_long_and_odd_texts(spark):
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    rows = [(i, f'token = "{i:08x}{key[8:]}"', None) for i in range(30)] + [(50 + i, f"commit {i:08x}{key[8:]} here", "a") for i in range(30)]
+    rows += [(90, "word " * 200_000 + f'token = "{key}"', "a"), (91, "=" * 50_000 + "\"" * 50_000, "a"), (92, None, None), (None, "", "b"), (90, "word", "a")]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, source string, runs int")
+    got = secrets.scan(df).collect()
+    assert len(got) == len(rows) and sorted(r.n_secrets for r in got if r.doc_id == 90) == [0, 1]
