@@ -12,7 +12,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +40,8 @@ STATE_WORDS = frozenset("has with no without open closed".split())
 HEAD_TAGS = frozenset("html head title base link meta style script noscript template".split())
 LINK_TAGS = frozenset(["a"])
 
-_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
-_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
 _NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -76,6 +76,70 @@ def _attributes(raw: str) -> tuple[int, int, bool]:
     return int(good and not bad), int(bad), hidden
 
 
+class TagEnds:
+    """Finds where tags end; quoted > don't count. Linear over a page, whatever its quotes.
+
+    A quote that nothing closes is an ordinary character. Once a tag runs to the page's end, it and
+    all later ones end at the next >.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last, self.loose = page, {q: page.rfind(q) for q in "\"'"}, False
+
+    def find(self, at: int) -> int:
+        start = at
+        while not self.loose:
+            m = _STOP.search(self.page, at)
+            if not m:
+                self.loose = True
+            elif m[0] == ">":
+                return m.start()
+            else:
+                at = m.end() if m.start() == self.last[m[0]] else self.page.find(m[0], m.end()) + 1
+        return self.page.find(">", start)
+
+
+class OpenElements:
+    """The stack of open elements, with what has to be known of it in constant time.
+
+    An element is (name, region, naming, silent, serial, put at -1 by names alone); region 2 is an
+    article below such names.
+    """
+
+    def __init__(self) -> None:
+        self.stack: list[tuple] = [("", 0, 0, False, 0, False)]
+        self.blocks, self.count, self.inline = [0], Counter(), [Counter()]
+
+    def push(self, element: tuple) -> None:
+        name = element[0]
+        if name in BLOCKS:
+            self.blocks.append(len(self.stack))
+            self.inline.append(Counter())
+        else:
+            self.inline[-1][name] += 1
+        self.count[name] += 1
+        self.stack.append(element)
+
+    def pop(self) -> None:
+        name = self.stack.pop()[0]
+        self.count[name] -= 1
+        if name in BLOCKS:
+            self.blocks.pop()
+            self.inline.pop()
+        else:
+            self.inline[-1][name] -= 1
+
+    def close(self, name: str) -> None:
+        """End ``name`` and what is open inside it; an inline element only within its block."""
+        if (self.count if name in BLOCKS else self.inline[-1])[name] > 0:
+            while self.stack[-1][0] != name:
+                self.pop()
+            self.pop()
+
+    def block(self) -> tuple:
+        return self.stack[self.blocks[-1]]
+
+
 def parse(page: str) -> list[Block]:
     """The text blocks of a page in order.
 
@@ -86,8 +150,8 @@ def parse(page: str) -> list[Block]:
     anyway (it can be a teaser otherwise, and is 0), and elements named as content are 0.
     """
     out: list[Block] = []
-    # Open elements: (name, region, naming, silent, serial, put at -1 by names alone); region 2 is an article below such names.
-    stack: list[tuple] = [("", 0, 0, False, 0, False)]
+    opened = OpenElements()
+    stack, ends = opened.stack, TagEnds(page)
     text: list[str] = []
     linked = in_link = serial = 0
     at, end = 0, len(page)
@@ -98,7 +162,7 @@ def parse(page: str) -> list[Block]:
             said = " ".join("".join(text).split())
             if said:
                 top = stack[-1]
-                block = next((x for x in reversed(stack) if x[0] in BLOCKS), stack[0])
+                block = opened.block()
                 out.append(Block(said, top[1], len(stack), block[0], block[4], min(1.0, linked / len(said)), top[2]))
             text.clear()
         linked = 0
@@ -106,7 +170,7 @@ def parse(page: str) -> list[Block]:
     def say(raw: str) -> None:
         nonlocal linked
         if stack[-1][0] == "head" and raw and not raw.isspace():
-            stack.pop()
+            opened.pop()
         if raw and not stack[-1][3]:
             raw = html.unescape(raw)
             text.append(raw)
@@ -128,26 +192,22 @@ def parse(page: str) -> list[Block]:
             stop = page.find(">", lt)
             at = end if stop < 0 else stop + 1
             continue
-        m = _OPEN.match(page, lt) or _LOOSE.match(page, lt)
-        if not m:
+        m = _TAG.match(page, lt)
+        stop = ends.find(m.end()) if m else -1
+        if stop < 0:
             say("<")
             at = lt + 1
             continue
-        at, name = m.end(), m[2].lower()
+        at, name, attributes = stop + 1, m[2].lower(), page[m.end() : stop]
         if m[1]:
             if name == "a":
                 in_link = max(0, in_link - 1)
             if name in BLOCKS:
                 flush()
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == name:
-                    del stack[depth:]
-                    break
-                if stack[depth][0] in ("article", "main", "body", "nav", "aside", "footer", "table") and name not in BLOCKS:
-                    break
+            opened.close(name)
             continue
         if stack[-1][0] == "head" and name not in HEAD_TAGS:
-            stack.pop()
+            opened.pop()
         if name in RAW:
             close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = end if not close else close.end()
@@ -163,21 +223,17 @@ def parse(page: str) -> list[Block]:
             continue
         if name in BLOCKS:
             flush()
-            if stack[-1][0] != "p" and any(x[0] == "p" for x in stack):
+            if opened.block()[0] == "p":
                 # An open paragraph ends where the next block begins, with what is open inside it.
-                depth = max(i for i, x in enumerate(stack) if x[0] == "p")
-                if not any(x[0] in BLOCKS for x in stack[depth + 1 :]):
-                    del stack[depth:]
-            elif stack[-1][0] == "p":
-                stack.pop()
+                opened.close("p")
             if name in ("li", "td", "th", "tr", "dt", "dd", "option") and stack[-1][0] == name:
-                stack.pop()
+                opened.pop()
         if name == "a":
             in_link += 1
-        if m[3].rstrip().endswith("/") and name not in BLOCKS:
+        if attributes.rstrip().endswith("/") and name not in BLOCKS:
             continue
         _, region, naming, silent, _, by_name = stack[-1]
-        good, bad, hidden = _attributes(m[3])
+        good, bad, hidden = _attributes(attributes)
         if name in ("html", "body"):
             good = bad = 0
         if name in CLUTTER_TAGS or name == "header" and region < 1:
@@ -188,10 +244,10 @@ def parse(page: str) -> list[Block]:
         elif region != -1 and (name in CONTENT_TAGS or good):
             region = max(1, region)
             naming = 1 if good else naming
-        elif by_name and (name in CONTENT_TAGS or good) and not any(x[0] == "article" for x in stack):
+        elif by_name and (name in CONTENT_TAGS or good) and not opened.count["article"]:
             region, naming, by_name = (2, good, False) if name in CONTENT_TAGS else (0, 0, False)
         serial += 1
-        stack.append((name, region, naming, silent or hidden or name in SILENT, serial, by_name))
+        opened.push((name, region, naming, silent or hidden or name in SILENT, serial, by_name))
     flush()
     sure, found = (sum(len(b.text) for b in out if b.region == k) for k in (1, 2))
     for b in out:
@@ -290,15 +346,17 @@ def label(blocks: list[Block], logits: np.ndarray, adjacent: float, related: flo
         flow.add(i, sink, max(-x, 0.0) + math.log1p(math.exp(-abs(x))))
     last_below: dict[int, int] = {}
     for i, b in enumerate(blocks):
-        if i and b.region == blocks[i - 1].region:
-            flow.add(i - 1, i, adjacent, adjacent)
+        if i:
+            # The nearer two neighbours are in the tree, the dearer it is to part them.
+            steps = abs(b.depth - blocks[i - 1].depth) + (b.parent != blocks[i - 1].parent)
+            flow.add(i - 1, i, adjacent / (1 + steps), adjacent / (1 + steps))
         if (before := last_below.get(b.parent)) is not None and before != i - 1:
             flow.add(before, i, related, related)
         last_below[b.parent] = i
     return flow.run(source, sink)[:n]
 
 
-#: Weights of FEATURES and intercept where the pages have no examples to train on.
+#: Weights of FEATURES and intercept where the pages have no examples of both kinds to train on.
 PRIOR = np.array([4.0, -6.0, 2.0, -4.0, -4.0, 1.5, 1.0, 0.5, -0.5, 1.0, 0.0, 0.0, -1.5])
 
 
@@ -306,9 +364,9 @@ def train(pages: DataFrame, html_col: str, sample_pages: int) -> np.ndarray:
     """Weights and intercept of the block classifier, from at most about ``sample_pages`` pages.
 
     Blocks in an article are examples of content, those in menus, footers, forms and the like of
-    boilerplate. Every block is also shown without its region, so that text, links and names have
-    to tell it by themselves. A prior keeps weights near ``PRIOR`` where examples are few: both
-    labels get the prior's view of unseen combinations as additional examples.
+    boilerplate. Every block is also shown without its region, and without region and names, so
+    that no single sign decides alone: text, links, tags and names have to tell a block by
+    themselves as far as they can. ``PRIOR`` stands in only where one kind is missing.
     """
     n = pages.count()
     share = min(1.0, sample_pages / max(1, n))
@@ -322,18 +380,17 @@ def train(pages: DataFrame, html_col: str, sample_pages: int) -> np.ndarray:
                 x = features(blocks)
                 for row, b in zip(x, blocks, strict=True):
                     if b.region:
-                        masked = row.copy()
-                        masked[:4] = 0
-                        rows += [row, masked]
-                        labels += [float(b.region == 1)] * 2
+                        unplaced, unnamed = row.copy(), row.copy()
+                        unplaced[:2], unnamed[:4] = 0, 0
+                        rows += [row, unplaced, unnamed]
+                        labels += [float(b.region == 1)] * 3
             yield pa.RecordBatch.from_pydict({"x": pa.array(rows, pa.list_(pa.float64())), "label": pa.array(labels, pa.float64())})
 
     examples = settle(picked.mapInArrow(run, "x array<double>, label double"), "html-examples")
     if examples.select("label").distinct().count() < 2:
         return PRIOR
     model = LogisticRegression(featuresCol="v", maxIter=40, regParam=0.01).fit(examples.select(array_to_vector("x").alias("v"), "label"))
-    found = np.append(model.coefficients.toArray(), model.intercept)
-    return (found + PRIOR) / 2
+    return np.append(model.coefficients.toArray(), model.intercept)
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample_pages: int = 2000, adjacent: float = 0.3, related: float = 0.2) -> DataFrame:
