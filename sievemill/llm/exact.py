@@ -100,16 +100,18 @@ def _shared(label: bytes, key: bytes, at: int) -> int:
 
 
 class SpillingOwners:
-    """Smallest owner and total per key, with the heaviest subtree written out when memory is full.
+    """Owners and their totals per key, with the heaviest subtree written out when memory is full.
 
     ``add`` takes a key below a common prefix of ``depth`` bytes. An owner is (doc_id is null,
-    doc_id, rid). Spilled subtrees are worked off one by one in ``groups``.
+    doc_id, rid). With ``smallest`` a terminal node holds the smallest owner and the total of all,
+    however many there are; else it holds every owner. Spilled subtrees lie in temporary files of
+    the task and are worked off one by one; a task that is lost begins anew from its input.
     """
 
     HEAD = struct.Struct("<I?qqq")
 
-    def __init__(self, memory: int, depth: int = 0) -> None:
-        self.memory, self.depth = memory, depth
+    def __init__(self, memory: int, depth: int = 0, smallest: bool = False) -> None:
+        self.memory, self.depth, self.smallest = memory, depth, smallest
         self.trie, self.held, self.weight, self.out = PatriciaTrie(), 0, {}, {}
 
     def add(self, key: bytes, owner: tuple, n: int) -> None:
@@ -118,7 +120,10 @@ class SpillingOwners:
             self._write(first, key, owner, n)
             return
         entry = self.trie.put(key[self.depth :], fresh := [])
-        entry.append((owner, n))
+        if self.smallest and entry:
+            entry[0] = (min(entry[0][0], owner), entry[0][1] + n)
+        else:
+            entry.append((owner, n))
         if entry is fresh:
             cost = len(key) + 400
             self.held += cost
@@ -143,18 +148,23 @@ class SpillingOwners:
         file[0].write(key)
         file[1] = key if file[1] is None else os.path.commonprefix([file[1], key])
 
-    def groups(self) -> Iterator[list[tuple[tuple, int]]]:
-        """For each distinct key its list of (owner, n)."""
-        yield from self.trie.values()
+    def keyed(self, prefix: bytes = b"") -> Iterator[tuple[bytes, list[tuple[tuple, int]]]]:
+        """Each distinct key with its list of (owner, n)."""
+        for rest, entry in self.trie.items():
+            yield prefix + rest, entry
         self.trie = PatriciaTrie()
         for file, shared in self.out.values():
-            below = SpillingOwners(self.memory, len(shared))
+            below = SpillingOwners(self.memory, len(shared), self.smallest)
             file.seek(0)
             while head := file.read(self.HEAD.size):
                 size, *owner, n = self.HEAD.unpack(head)
                 below.add(file.read(size), tuple(owner), n)
             file.close()
-            yield from below.groups()
+            yield from below.keyed(shared)
+
+    def groups(self) -> Iterator[list[tuple[tuple, int]]]:
+        """For each distinct key its list of (owner, n)."""
+        return (entry for _, entry in self.keyed())
 
 
 def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,17 +195,15 @@ def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _owners(memory: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owners = SpillingOwners(memory)
+        owners = SpillingOwners(memory, smallest=True)
         for batch in batches:
             texts = batch["text"].cast(pa.binary()).to_pylist()
             for raw, doc, rid, n in zip(texts, batch["doc_id"].to_pylist(), batch["rid"].to_pylist(), batch["copies"].to_pylist(), strict=True):
                 owners.add(squeeze(raw or b""), (doc is None, doc or 0, rid), n)
         rows: list[list] = [[], [], [], []]
-        for group in owners.groups():
-            (no_id, keep, keep_rid), total = min(group)[0], sum(n for _, n in group)
-            for (_, _, rid), _ in group:
-                for column, value in zip(rows, (rid, keep_rid, None if no_id else keep, total), strict=True):
-                    column.append(value)
+        for text, [((no_id, keep, rid), total)] in owners.keyed():
+            for column, value in zip(rows, (hashlib.sha256(text).hexdigest(), rid, None if no_id else keep, total), strict=True):
+                column.append(value)
             if len(rows[0]) >= 50_000:
                 yield _mapping(rows)
                 rows = [[], [], [], []]
@@ -205,11 +213,12 @@ def _owners(memory: int):
 
 
 def _mapping(rows: list[list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], names=["rid", "keep_rid", "keep_id", "group_size"])
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)], names=["text_sha256", "keep_rid", "keep_id", "group_size"])
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = (), trie_bytes: int = 192 << 20) -> tuple[DataFrame, DataFrame]:
-    """Rows with their batch's owner, and the owner's place in the whole table.
+    """Rows with their batch's owner, and the groups of equal texts: text_sha256, keep_rid, keep_id, group_size.
 
     ``trie_bytes`` bounds what a task's trie holds before it writes out its heaviest subtree.
     """
@@ -223,8 +232,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     rows = settle(rows.mapInArrow(_copies, schema), "exact-rows")
     owners = rows.where("copies > 0").select("rid", "doc_id", "copies", "size", "key", F.col("carry_text").alias("text")).repartition("size", "key")
-    places = owners.mapInArrow(_owners(trie_bytes), "rid long, keep_rid long, keep_id long, group_size long")
-    return rows, places
+    return rows, owners.mapInArrow(_owners(trie_bytes), "text_sha256 string, keep_rid long, keep_id long, group_size long")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_bytes: int = 192 << 20) -> DataFrame:
@@ -235,18 +243,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     come last, and of rows with the same ``doc_id`` the first stays. An empty table gives no rows.
     Other columns, whatever their names, are ignored.
     """
-    rows, places = exact_groups(docs, id_col, text_col, trie_bytes=trie_bytes)
-    places = places.select(F.col("rid").alias("owner_rid"), "keep_rid", "keep_id", "group_size")
+    rows, groups = exact_groups(docs, id_col, text_col, trie_bytes=trie_bytes)
+    # Owners, one per batch and text, find their group by its digest; rows then find their owner.
+    places = rows.where("copies > 0").select(F.col("rid").alias("owner_rid"), "text_sha256").join(groups, "text_sha256").drop("text_sha256")
     return rows.select("rid", "owner_rid", "doc_id", "text_sha256").join(places, "owner_rid").select(
         "doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), "text_sha256"
     )
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of equal texts, the one that ``exact_dedup`` keeps."""
+    """``docs`` with one row of each group of equal texts, the one that ``exact_dedup`` keeps.
+
+    Nulls, ties and repeated rows count as there; an empty table gives none; all columns are kept.
+    """
     others = [c for c in docs.columns if c != text_col]
-    rows, places = exact_groups(docs, id_col, text_col, carry=others)
-    kept = places.where("rid = keep_rid").select("rid")
+    rows, groups = exact_groups(docs, id_col, text_col, carry=others)
+    kept = groups.select(F.col("keep_rid").alias("rid"))
     names = {c: f"carry_{i}" for i, c in enumerate(others)} | {text_col: "carry_text"}
     return rows.where("copies > 0").join(kept, "rid", "left_semi").select(*[F.col(names[c]).alias(c) for c in docs.columns])
 

@@ -40,3 +40,13 @@ def test_odd_rows(spark):
     kept = exact.drop_copies(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(min(i for i in ids if i is not None) for ids in groups.values())
     assert exact.exact_dedup(df.limit(0)).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("ab ", max_size=12).map(str.encode), max_size=40), st.sampled_from([1, 900, 3000, 1 << 20]))
+def test_terminal_nodes_hold_one_owner(keys, memory):
+    owners = exact.SpillingOwners(memory, smallest=True)
+    for i, k in enumerate(keys):
+        owners.add(k, (False, -i, i), 2)
+    want = {k: [((False, -(len(keys) - 1 - keys[::-1].index(k)), len(keys) - 1 - keys[::-1].index(k)), 2 * keys.count(k))] for k in keys}
+    assert dict(owners.keyed()) == want
