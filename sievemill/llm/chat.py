@@ -47,7 +47,7 @@ def expand_prefixes(formatted: DataFrame, trainable: str = "assistant") -> DataF
     characters [loss_start, loss_start + loss_chars) of ``target`` carry loss: the reply,
     neither its header nor its end mark. A conversation that ends otherwise has one more example
     without loss for its last turn, so that no turn is lost; ``last`` marks each conversation's
-    last example. ``context`` is built from the row's own turns and only where it is read.
+    last example. ``context`` is built from the row's own turns.
     """
     turns = formatted.select("conv_id", "segments", F.posexplode("segments").alias("example", "turn"))
     reply = F.col("turn.role") == trainable
@@ -67,10 +67,11 @@ def expand_prefixes(formatted: DataFrame, trainable: str = "assistant") -> DataF
 def digests(examples: DataFrame) -> DataFrame:
     """What the examples say, read back from their text: one row per conversation.
 
-    Turns are parsed out of the last example's training text, losses cut out of each target.
+    Turns are parsed out of the last example's training text, losses cut out of each example's own.
     """
-    loss = unescape(F.substring(F.col("target"), F.col("loss_start") + 1, F.col("loss_chars")))
-    part = examples.select("conv_id", "example", loss.alias("loss"), F.when(F.col("last"), F.concat("context", "target")).alias("text"))
+    text = F.concat("context", "target")
+    loss = unescape(F.substr(text, F.length("context") + F.col("loss_start") + 1, F.col("loss_chars")))
+    part = examples.select("conv_id", "example", loss.alias("loss"), F.when(F.col("last"), text).alias("text"))
     whole = part.groupBy("conv_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("example", "loss"))), lambda x: x["loss"]), "").alias("loss"), F.max("text").alias("text")
     )
