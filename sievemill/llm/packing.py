@@ -65,18 +65,18 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> list[tuple[int, i
 def _pieces(capacity: int, ranks_path: str, pattern: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[], [], [], [], [], []]
+            rows: list[list] = [[], [], [], [], [], [], []]
             kept = []
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            for doc, text, row in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["row"].to_pylist(), strict=True):
                 ids = encode(text or "", ranks_path, pattern)
                 whole = zlib.crc32(ids)
                 for start in range(0, len(ids), capacity):
                     piece = ids[start : start + capacity]
-                    for column, value in zip(rows, (doc, start, len(piece), zlib.crc32(piece), len(ids), whole), strict=True):
+                    for column, value in zip(rows, (doc, start, len(piece), zlib.crc32(piece), len(ids), whole, row), strict=True):
                         column.append(value)
                     if with_ids:
                         kept.append(piece.astype("<i4"))
-            columns = {n: pa.array(x, pa.int64()) for n, x in zip(("doc_id", "start", "length", "ids_crc32", "doc_tokens", "whole"), rows, strict=True)}
+            columns = {n: pa.array(x, pa.int64()) for n, x in zip(("doc_id", "start", "length", "ids_crc32", "doc_tokens", "whole", "row"), rows, strict=True)}
             if with_ids:
                 columns["ids"] = pa.array(kept, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_pydict(columns)
@@ -86,7 +86,7 @@ def _pieces(capacity: int, ranks_path: str, pattern: str, with_ids: bool):
 
 def _packed(capacity: int, names: list[str]):
     def run(pieces: pd.DataFrame) -> pd.DataFrame:
-        pieces = pieces.sort_values(["doc_id", "whole", "start"], kind="stable", ignore_index=True)
+        pieces = pieces.sort_values(["doc_id", "whole", "row", "start"], kind="stable", ignore_index=True)
         placed = first_fit_decreasing(pieces["length"].tolist(), capacity)
         pieces["sequence_id"] = pieces["pack"].to_numpy("int64") * 2**32 + np.array([b for b, _ in placed], "int64")
         pieces["offset"] = np.array([o for _, o in placed], "int64")
@@ -99,17 +99,18 @@ def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
     A document's ids end with id 1 and are cut every ``capacity``; pieces are packed within
-    groups of about ``group_docs`` documents drawn by a hash of id and content, so groups do not
-    grow with the table. Null text is empty and gives the end id alone; a null ``doc_id`` stays
+    groups of about ``group_docs`` documents drawn by a hash of id, content and the row's number,
+    so groups do not grow with the table or with repeated rows. Null text is empty and gives the end id alone; a null ``doc_id`` stays
     null; repeated rows are packed as separate documents; an empty table gives no rows; other
     columns are ignored. ``with_ids`` adds each piece's ids.
     """
     groups = max(1, -(-docs.count() // group_docs))
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, whole long" + ", ids array<int>" * with_ids
-    cut = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(_pieces(capacity, ranks_path, pattern, with_ids), schema)
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, whole long, row long" + ", ids array<int>" * with_ids
+    cut = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.monotonically_increasing_id().alias("row")).mapInArrow(_pieces(capacity, ranks_path, pattern, with_ids), schema)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
     out = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    dealt = cut.withColumn("pack", F.pmod(F.xxhash64("doc_id", "whole", "doc_tokens"), F.lit(groups)))
+    # The row's number deals out rows that repeat each other; it decides the place of a row, not its ids.
+    dealt = cut.withColumn("pack", F.pmod(F.xxhash64("doc_id", "whole", "doc_tokens", "row"), F.lit(groups)))
     return dealt.groupBy("pack").applyInPandas(_packed(capacity, names), out)
 
 

@@ -54,3 +54,12 @@ def test_little_padding_and_same_ids_as_tokenizers(spark, sf):
     got = packing.query(spark, sf).collect()
     assert {r.doc_id: r.doc_tokens for r in got} == {d: len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for d, t in docs.items()}
     assert sum(r.length for r in got) / (2048 * len({r.sequence_id for r in got})) > 0.95
+
+
+def test_repeated_rows_do_not_fill_one_group(spark):
+    df = spark.createDataFrame([(None, "same words here")] * 600, "doc_id long, text string")
+    got = packing.pack_documents(df, *packing.public_vocabulary(), group_docs=50).collect()
+    sizes = {}
+    for r in got:
+        sizes[r.sequence_id >> 32] = sizes.get(r.sequence_id >> 32, 0) + 1
+    assert len(got) == 600 and max(sizes.values()) < 200
