@@ -18,14 +18,16 @@ from pyspark.sql import functions as F
 
 from sievemill.llm.common import settle, table
 
-SHAPES, META_SLOTS = 1 << 12, 1 << 8
+SHAPES, WORD_SLOTS, META_SLOTS = 1 << 12, 1 << 13, 1 << 8
+#: What ``score`` adds.
+ADDED = ("text_score", "meta_score", "score", "keep")
 
 
 def text_view(docs: DataFrame, text_col: str) -> DataFrame:
-    """Add ``__tv``: rates of word shapes, and the text's size, word length and variety of words.
+    """Add ``__tv``: rates of words and of word shapes, and the text's size, word length and variety.
 
-    A word's shape keeps its marks and turns runs of capitals, small letters and digits into one
-    sign each.
+    Words are hashed in lower case. A word's shape keeps its marks and turns runs of capitals,
+    small letters and digits into one sign each.
     """
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("__text"), r"\p{Lu}+", "A"), r"[\p{Ll}\p{Lo}]+", "a"), r"\p{N}+", "0")
     words, n = F.col("__words"), F.greatest(F.size("__words"), F.lit(1))
@@ -35,7 +37,10 @@ def text_view(docs: DataFrame, text_col: str) -> DataFrame:
     out = out.withColumns({f"__style_{i}": c for i, c in enumerate(style)})
     out = HashingTF(numFeatures=SHAPES, inputCol="__shapes", outputCol="__count").transform(out)
     out = Normalizer(p=1.0, inputCol="__count", outputCol="__rate").transform(out)
-    return VectorAssembler(inputCols=[*(f"__style_{i}" for i in range(len(style))), "__rate"], outputCol="__tv").transform(out)
+    out = out.withColumn("__lower", F.split(F.lower("__text"), r"\s+"))
+    out = HashingTF(numFeatures=WORD_SLOTS, inputCol="__lower", outputCol="__said").transform(out)
+    out = Normalizer(p=1.0, inputCol="__said", outputCol="__word_rate").transform(out)
+    return VectorAssembler(inputCols=[*(f"__style_{i}" for i in range(len(style))), "__rate", "__word_rate"], outputCol="__tv").transform(out)
 
 
 def meta_view(docs: DataFrame, meta_cols: list[str], size_col: str | None) -> DataFrame:
@@ -57,17 +62,8 @@ def _margin(df: DataFrame, model: LogisticRegressionModel, features: str, out: s
     return scored.withColumn(out, vector_to_array(raw)[1]).drop(raw, used, "__prediction")
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("source", "lang"), size_col: str | None = "n_chars", label_col: str = "quality", rounds: int = 2, sure: float = 0.95, sample_labels: int = 20_000, pool_docs: int = 20_000, threshold: float = 0.5) -> DataFrame:
-    """``docs`` with text_score, meta_score, score (chance of good quality) and keep.
-
-    ``labels`` has ``id_col`` and a 0/1 ``label_col``; at most about ``sample_labels`` of them
-    train (a fifth of these calibrate), and about ``pool_docs`` documents without label are the
-    pool that ``rounds`` of exchange draw from, where a view is at least ``sure``. Every
-    document is scored over its whole text. Null texts are empty, null metadata is a value of
-    its own; null, repeated and contradictory labels are dropped, used once and averaged (half
-    or more is good). Without labels of both kinds nothing can be told: every score is 1.0 and
-    all are kept. Repeated rows and empty tables need no care; other columns are passed on.
-    """
+def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, meta_cols: list[str], size_col: str | None, label_col: str, rounds: int, sure: float, sample_labels: int, pool_docs: int, threshold: float) -> DataFrame:
+    """``docs``, whose columns have names of their own, with ``ADDED`` behind two underscores."""
     told = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("__label_of")).agg((F.avg(label_col) >= 0.5).cast("double").alias("label"))
     n_labels, n_docs = told.count(), docs.count()
     drawn = lambda c, share: F.pmod(F.xxhash64(c), F.lit(1_000_000)) < F.lit(round(min(1.0, share) * 1_000_000))
@@ -79,7 +75,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     labelled = settle(views(base.join(F.broadcast(few), F.col("__id") == F.col("__label_of"))).select("__id", "__tv", "__mv", "label"), "quality-labelled")
     train, held = labelled.where("pmod(xxhash64(__id, 1), 5) > 0"), labelled.where("pmod(xxhash64(__id, 1), 5) = 0")
     if min(train.select("label").distinct().count(), held.select("label").distinct().count()) < 2:
-        return docs.select("*", *[F.lit(1.0).alias(c) for c in ("text_score", "meta_score", "score")], F.lit(True).alias("keep"))
+        return docs.select("*", *[F.lit(1.0).alias(f"__{c}") for c in ADDED[:3]], F.lit(True).alias("__keep"))
     pool = base.where(drawn("__id", pool_docs / max(1, n_docs))).join(told, F.col("__id") == F.col("__label_of"), "left_anti")
     pool = settle(views(pool).select("__tv", "__mv", F.lit(None).cast("double").alias("for_text"), F.lit(None).cast("double").alias("for_meta")), "quality-pool")
     limit = math.log(sure / (1 - sure))
@@ -100,13 +96,38 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     t, m = calibrated("t"), calibrated("m")
     chance = lambda c: 1 / (1 + F.exp(-c))
-    out = _margin(_margin(views(docs), by_text, "__tv", "t"), by_meta, "__mv", "m") if not {"t", "m"} & set(docs.columns) else None
-    if out is None:
-        held_names = {c: f"__given_{c}" for c in ("t", "m") if c in docs.columns}
-        out = _margin(_margin(views(docs.withColumnsRenamed(held_names)), by_text, "__tv", "t"), by_meta, "__mv", "m")
-    out = out.withColumn("__ts", chance(t)).withColumn("__ms", chance(m)).withColumn("__s", chance(t + m - prior))
-    given = [F.col(f"`__given_{c}`").alias(c) if c in ("t", "m") else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*given, F.col("__ts").alias("text_score"), F.col("__ms").alias("meta_score"), F.col("__s").alias("score"), (F.col("__s") >= threshold).alias("keep"))
+    out = _margin(_margin(views(docs), by_text, "__tv", "t"), by_meta, "__mv", "m")
+    out = out.withColumn("__text_score", chance(t)).withColumn("__meta_score", chance(m)).withColumn("__score", chance(t + m - prior))
+    return out.select(*docs.columns, *[f"__{c}" for c in ADDED[:3]], (F.col("__score") >= threshold).alias("__keep"))
+
+
+def _renamed(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, meta_cols: tuple[str, ...], size_col: str | None, *rest) -> DataFrame:
+    """``_scored`` with the columns of ``docs`` as __0, __1 and so on, so that no name can clash."""
+    at = {c: f"__{i}" for i, c in enumerate(docs.columns)}
+    return _scored(docs.toDF(*at.values()), labels.withColumnRenamed(id_col, at[id_col]), at[id_col], at[text_col], [at[c] for c in meta_cols], size_col and at[size_col], *rest)
+
+
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("source", "lang"), size_col: str | None = "n_chars", label_col: str = "quality", rounds: int = 2, sure: float = 0.95, sample_labels: int = 20_000, pool_docs: int = 20_000, threshold: float = 0.5) -> DataFrame:
+    """``docs`` with text_score, meta_score, score (chance of good quality) and keep.
+
+    ``labels`` has ``id_col`` and a 0/1 ``label_col``; at most about ``sample_labels`` of them
+    train (a fifth of these calibrate), and about ``pool_docs`` documents without label are the
+    pool that ``rounds`` of exchange draw from, where a view is at least ``sure``. Every
+    document is scored over its whole text. Null texts are empty, null metadata is a value of
+    its own; null, repeated and contradictory labels are dropped, used once and averaged (half
+    or more is good). Without labels of both kinds nothing can be told: every score is 1.0 and
+    all are kept. Repeated rows and empty tables need no care; other columns are passed on,
+    but for those named like the four that are added, which these replace.
+    """
+    found = _renamed(docs, labels, id_col, text_col, meta_cols, size_col, label_col, rounds, sure, sample_labels, pool_docs, threshold)
+    given = [F.col(f"__{i}").alias(c) for i, c in enumerate(docs.columns) if c not in ADDED]
+    return found.select(*given, *[F.col(f"__{c}").alias(c) for c in ADDED])
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("source", "lang"), size_col: str | None = "n_chars", label_col: str = "quality", rounds: int = 2, sure: float = 0.95, sample_labels: int = 20_000, pool_docs: int = 20_000, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that ``score`` keeps, with their own columns only."""
+    found = _renamed(docs, labels, id_col, text_col, meta_cols, size_col, label_col, rounds, sure, sample_labels, pool_docs, threshold).where("__keep")
+    return found.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

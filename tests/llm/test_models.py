@@ -52,6 +52,21 @@ def test_quality_odd_tables(spark):
         assert out.count() == d.count() and out.where("NOT keep").count() == 0
 
 
+def test_quality_clashing_names_and_learnt_words(spark):
+    def text(i, good):
+        return f"word number {i} is said here and " + ("praise helps everyone read on" if good else "insult hurts everyone read on")
+
+    rows = [(i, text(i, i % 2), "en", "s", 40, "mine", "x", 0.5, "y") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, keep string, score string, t double, label string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns
+    # Shapes, sizes and metadata are the same on both sides: only the words can tell.
+    assert {r.doc_id for r in kept.collect()} == {i for i in range(400) if i % 2} and {r.keep for r in kept.collect()} == {"mine"}
+    scored = quality.score(docs, labels)
+    assert len(set(scored.columns)) == len(scored.columns) and dict(scored.dtypes)["keep"] == "boolean"
+
+
 def test_nearest_equals_brute_force_and_recall(spark, sf):
     import numpy as np
 
