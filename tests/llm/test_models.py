@@ -103,8 +103,46 @@ def test_pipeline_stages(spark, sf):
         if name == "exact":
             assert ids == {r.doc_id for r in exact.exact_dedup(before).where("kept").collect()}
         if name == "near":
-            assert ids == {r.doc_id for r in minhash.near_components(before).where("kept").collect()}
+            assert ids == {r.doc_id for r in minhash.near_components(before, percent=80).where("kept").collect()}
         docs = spark.createDataFrame(docs.toPandas(), before.schema)
     assert docs.count() > 0
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()}
+
+
+def test_pipeline_links_near_copies_from_four_fifths_on(spark, sf):
+    words = [f"w{i}" for i in range(104)]
+    # 100 shingles each; 10 of them differ: 90 shared of 110 are 0.818.
+    pair = [(1, " ".join(words)), (2, " ".join(words[:94] + [f"x{i}" for i in range(10)])), (3, "other text of its own"), (None, "nameless"), (4, None), (5, "")]
+    docs = spark.createDataFrame([(*r, "en", "s", 9, "extra") for r in pair], "doc_id long, text string, lang string, source string, n_chars long, kept string")
+    shared = minhash.shingle_set(pair[0][1]), minhash.shingle_set(pair[1][1])
+    assert 80 <= 100 * len(set(shared[0]) & set(shared[1])) / len(set(shared[0]) | set(shared[1])) < 85
+    got = corpus_pipeline.drop_near(spark, docs, sf)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id for r in got.collect()), key=str) == [1, 3, 4, 5, None]
+
+
+def test_pipeline_stages_take_odd_tables(spark, sf):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, keep string, spans int"
+    rows = [(1, None, None, None, None, "a", 1), (2, "", "en", "s", 0, "b", 2), (None, "x y", None, "s", 3, None, None), (3, "word " * 60_000, "en", "s", 300_000, "c", 3), (3, "word " * 60_000, "en", "s", 300_000, "c", 3)]
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, sf)
+            assert out.columns == docs.columns, name
+            kept = out.collect()
+            assert name != "secrets" or len(kept) == docs.count()
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+        assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()}
+    assert spark.createDataFrame(rows, schema).count() == 5
+
+
+def test_sweep_deletes_what_was_settled(spark):
+    import os
+
+    from sievemill.llm import common
+
+    df = common.settle(spark.range(3).toDF("id"), "sweep-test")
+    path = df.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    common.sweep(spark)
+    assert not os.path.exists(path)
