@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ def modality(text: Column, location: Column, cities: list[str]) -> Column:
 def experience_level(low: Column, high: Column) -> Column:
     """Level by the upper bound of years, else the lower one."""
     years = F.coalesce(high, low)
-    return F.when(years.isNull(), "unspecified").when(years <= 2, "Junior").when(years <= 4, "Mid").when(years <= 7, "Senior").otherwise("Lead")
+    return F.when(years.isNull(), "unspecified").when(years <= 2, "Junior").when(years <= 4, "Mid").when(years <= 7, "Senior").otherwise("Lead / Principal")
 
 
 def experience(text: Column) -> Column:
@@ -52,12 +54,9 @@ def salary_range(text: Column) -> Column:
 
 def company_type(company: Column, text: Column, consultancies: list[str], phrases: list[str]) -> Column:
     """consultancy if the name or the text says so, else product."""
-    out = F.lit(False)
-    for name in consultancies:
-        out = out | F.lower(company).contains(name.lower())
-    for phrase in phrases:
-        out = out | F.lower(text).contains(phrase.lower())
-    return F.when(out, "consultancy").otherwise("product")
+    # One pattern per list; an empty list matches nothing.
+    said = lambda c, words: c.rlike("(?iu)" + "|".join(re.sub(r"([^\w ])", r"\\\1", w) for w in words)) if words else F.lit(False)
+    return F.when(said(company, consultancies) | said(text, phrases), "consultancy").otherwise("product")
 
 
 def freshness(is_fresh: Column, text: Column) -> Column:

@@ -9,7 +9,7 @@ from sievemill.functions.text import lower_squash, squash
 
 _URL = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 # Query parameters that only track.
-TRACKING = ("fbclid", "gclid", "mc_cid", "mc_eid", "ref", "trk")
+TRACKING = ("gclid", "fbclid", "mc_cid", "mc_eid", "ref", "source")
 
 
 def _part(c: Column, i: int) -> Column:
@@ -43,8 +43,8 @@ def url_param(c: Column, name: str) -> Column:
 
 
 def window_seconds(c: Column, name: str) -> Column:
-    """A parameter of the form ``r<digits>`` above zero, as seconds."""
-    n = F.regexp_extract(F.coalesce(url_param(c, name), F.lit("")), r"^r(\d{1,9})$", 1)
+    """A parameter of the form ``r<digits>`` (either case) above zero, as seconds."""
+    n = F.regexp_extract(F.coalesce(url_param(c, name), F.lit("")), r"^[rR](\d{1,9})$", 1)
     n = F.nullif(n, F.lit("")).cast("long")
     return F.when(n > 0, n)
 

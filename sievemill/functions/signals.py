@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,10 +27,7 @@ INTERN_WORDS = ["práctica", "practica", "beca", "intern"]
 
 
 def _any_of(text: Column, words: list[str]) -> Column:
-    out = F.lit(False)
-    for word in words:
-        out = out | text.contains(word)
-    return out
+    return text.rlike("|".join(re.sub(r"([^\w ])", r"\\\1", w) for w in words))
 
 
 def challenge_flag(body: Column, status: Column, words: list[str] = CHALLENGES, reach: int = 100_000) -> Column:
@@ -89,18 +88,21 @@ def estimate_salary(text: Column, level: Column, location: Column, is_product: C
     Internships have their own range. A product company adds 1 and 2, remote work 1 and 1, and
     four technologies or more 1 to the upper end. Nulls count as empty.
     """
-    low, place = F.lower(F.coalesce(text, F.lit(""))), F.lower(F.coalesce(location, F.lit("")))
     pair = lambda a, b: F.struct(F.lit(a).alias("min"), F.lit(b).alias("max"))
-    base = F
-    for words, least, most in PAY:
-        base = base.when(_any_of(low, words), pair(least, most))
-    base = base.otherwise(pair(*FALLBACK))
+    once = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
     product = F.coalesce(is_product, F.lit(False)).cast("int")
-    remote = (place.contains("remoto") | low.contains("100% remoto")).cast("int")
     dense = F.coalesce(n_terms >= 4, F.lit(False)).cast("int")
-    return F.when(_any_of(F.lower(F.coalesce(level, F.lit(""))), INTERN_WORDS), pair(*INTERN)).otherwise(
-        F.struct((base["min"] + product + remote).alias("min"), (base["max"] + 2 * product + remote + dense).alias("max"))
-    )
+    place = F.lower(F.coalesce(location, F.lit("")))
+
+    def of(low: Column) -> Column:
+        base = F
+        for words, least, most in PAY:
+            base = base.when(_any_of(low, words), pair(least, most))
+        remote = (place.contains("remoto") | low.contains("100% remoto")).cast("int")
+        return once(F.struct(base.otherwise(pair(*FALLBACK)).alias("base"), remote.alias("remote")), lambda x: F.struct((x["base"]["min"] + product + x["remote"]).alias("min"), (x["base"]["max"] + 2 * product + x["remote"] + dense).alias("max")))
+
+    # The text is put into lower case once, and its word group is looked for once.
+    return F.when(_any_of(F.lower(F.coalesce(level, F.lit(""))), INTERN_WORDS), pair(*INTERN)).otherwise(once(F.lower(F.coalesce(text, F.lit(""))), of))
 
 
 def json_list(c: Column) -> Column:

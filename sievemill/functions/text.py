@@ -36,8 +36,15 @@ def has_term(text: Column, term: str) -> Column:
 
 
 def match_terms(text: Column, terms: list[str]) -> Column:
-    """The terms found in a text in normal form, in the given order."""
-    return F.array_compact(F.array(*[F.when(has_term(text, t), F.lit(t)) for t in terms])) if terms else F.array().cast("array<string>")
+    """The terms found in a text in normal form, in the given order.
+
+    One pattern of all terms comes first, so a text without any is read once.
+    """
+    none = F.array().cast("array<string>")
+    if not terms:
+        return none
+    any_ = f"(?<![a-z0-9])(?:{'|'.join(map(_escape, terms))})(?![a-z0-9])"
+    return F.when(text.rlike(any_), F.array_compact(F.array(*[F.when(has_term(text, t), F.lit(t)) for t in terms]))).otherwise(none)
 
 
 def term_weight(text: Column, term: str, negations: list[str], weak: list[str], reach: int = 60) -> Column:
@@ -55,11 +62,12 @@ def term_weight(text: Column, term: str, negations: list[str], weak: list[str],
     return out.otherwise(0)
 
 
-def score_terms(text: Column, terms: list[str], negations: list[str], weak: list[str]) -> Column:
-    """Sum of the weights of ``terms``."""
+def score_terms(text: Column, terms: list[str], negations: list[str], weak: list[str], found: Column | None = None) -> Column:
+    """Sum of the weights of ``terms``; only those in ``found``, where it is given, are looked for."""
     out = F.lit(0)
     for t in terms:
-        out = out + term_weight(text, t, negations, weak)
+        weight = term_weight(text, t, negations, weak)
+        out = out + (weight if found is None else F.when(F.array_contains(found, t), weight).otherwise(0))
     return out
 
 

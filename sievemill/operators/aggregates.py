@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,11 +37,14 @@ def cycle_totals(stats: DataFrame, counts: list[str]) -> DataFrame:
 def group_topk_examples(df: DataFrame, group: str, item: str, k: int, examples: int = 3) -> DataFrame:
     """The ``k`` largest groups with their size, distinct items and first examples.
 
-    Items are made distinct first, so no group gathers its repetitions.
+    Items are made distinct first, and only the first ``examples`` of a group are gathered.
     """
     per = df.groupBy(group, item).agg(F.count("*").alias("n"))
-    out = per.groupBy(group).agg(F.sum("n").alias("postings"), F.count(item).alias("distinct_items"), F.slice(F.array_sort(F.collect_list(item)), 1, examples).alias("samples"))
-    return out.orderBy(F.desc("postings"), group).limit(k)
+    top = per.groupBy(group).agg(F.sum("n").alias("postings"), F.count(item).alias("distinct_items")).orderBy(F.desc("postings"), group).limit(k)
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.asc_nulls_last(item)))
+    first = per.withColumn("rank", rank).where(F.col("rank") <= examples).groupBy(F.col(group).alias("__of")).agg(F.array_sort(F.collect_list(item)).alias("samples"))
+    out = top.join(first, top[group].eqNullSafe(F.col("__of")), "left")
+    return out.select(group, "postings", "distinct_items", F.coalesce("samples", F.array().cast(first.schema["samples"].dataType)).alias("samples"))
 
 
 def market_report(metrics: DataFrame, top_companies: int = 5, top_terms: int = 6) -> DataFrame:
@@ -56,10 +59,10 @@ def market_report(metrics: DataFrame, top_companies: int = 5, top_terms: int = 6
         F.transform("stack", lambda t: pair("technology", t)),
     )
     counts = metrics.select(F.explode(pairs).alias("p")).select("p.*").where("key IS NOT NULL").groupBy("section", "key").agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("n"), "key"))
-    total = F.max(F.when(F.col("section") == "total", F.col("n"))).over(Window.partitionBy())
+    # At most the larger limit of rows of a section leave each task; the other sections are small.
     limit = F.when(F.col("section") == "company", top_companies).when(F.col("section") == "technology", top_terms)
-    ranked = counts.withColumn("rank", rank).where((F.col("rank") <= limit) | limit.isNull())
-    return ranked.select("section", "key", "n", F.round(100 * F.col("n") / total, 1).alias("percent"))
+    rank = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("n"), "key"))
+    long_ = counts.where(limit.isNotNull()).withColumn("rank", rank).where(F.col("rank") <= max(top_companies, top_terms)).where(F.col("rank") <= limit)
+    total = counts.where("section = 'total'").select(F.col("n").alias("total"))
+    shown = counts.where(limit.isNull()).unionByName(long_.drop("rank")).join(F.broadcast(total))
+    return shown.select("section", "key", "n", F.round(100 * F.col("n") / F.col("total"), 1).alias("percent"))

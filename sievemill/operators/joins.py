@@ -57,8 +57,9 @@ def asof_close(batches: DataFrame, cycles: DataFrame, tolerance_seconds: int, by
     """
     rows = batches.select(*by, "ts", F.lit(0).alias("side"), F.struct(*batches.columns).alias("row"), F.lit(None).cast("timestamp").alias("cycle"))
     rows = rows.unionByName(cycles.select(*by, "ts", F.lit(1).alias("side"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"), F.col("ts").alias("cycle")))
-    ahead = Window.partitionBy(*by).orderBy("ts", "side").rowsBetween(0, Window.unboundedFollowing)
-    rows = rows.withColumn("next", F.first("cycle", ignorenulls=True).over(ahead)).where("side = 0")
+    # From late to early, so that the frame grows row by row.
+    ahead = Window.partitionBy(*by).orderBy(F.desc("ts"), F.desc("side")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("next", F.last("cycle", ignorenulls=True).over(ahead)).where("side = 0")
     closed = F.when(F.unix_timestamp("next") - F.unix_timestamp("ts") <= tolerance_seconds, F.col("next"))
     return rows.select("row.*", closed.alias("closed_ts"), closed.isNull().alias("pending"))
 

@@ -33,8 +33,9 @@ class RulePack:
     automation: list[str] = field(default_factory=lambda: ["automatizacion", "automation", "rpa", "power automate", "ui path", "uipath"])
     context: list[str] = field(default_factory=lambda: ["predictivo", "iot", "digital", "vision", "datos", "data"])
     plausible: list[str] = field(default_factory=lambda: ["ingenier", "engineer", "datos", "data", "digital", "automatiz", "software", "tecnolog"])
-    negations: list[str] = field(default_factory=list)
-    weak: list[str] = field(default_factory=list)
+    # Phrases in front of a term that void or weaken it.
+    negations: list[str] = field(default_factory=lambda: ["no requerimos", "no necesitamos", "no buscamos", "no es necesario", "no requerido", "no excluyente"])
+    weak: list[str] = field(default_factory=lambda: ["valorable", "deseable", "plus", "bonus", "ventaja", "no excluyente", "nice to have"])
     candidate_source: str = "linkedin"
 
 
@@ -62,7 +63,7 @@ def classify_relevance(df: DataFrame, rules: RulePack | None = None) -> DataFram
     labelled = [("ai_ml", F.col("__ai")), ("data", F.col("__data")), ("python_api", soft), ("industrial_digital", F.col("__industrial")), ("analytics", F.col("__analytics")), ("automation", F.col("__automation"))]
     evidence = F.concat(*[F.transform(F.slice(c, 1, 3), lambda t, f=f: F.concat(F.lit(f"{f}:"), t)) for f, c in labelled])
     rows = rows.withColumn("__evidence", F.slice(evidence, 1, 6))
-    score = lambda n: score_terms(text, lists[n], r.negations, r.weak)
+    score = lambda n: score_terms(text, lists[n], r.negations, r.weak, F.col(f"__{n}"))
     digital = found("ai") | found("data") | found("software") | found("industrial")
 
     def told(status: str, points: Column, family: str, positive: Column, negative: Column = none, needs: Column | None = None) -> Column:
@@ -121,13 +122,19 @@ def filter_reason(df: DataFrame, viable: Column, include: list[str], exclude: li
     return out.when(any_phrase(F.concat_ws(" ", "title", "company"), exclude), "exclude")
 
 
-def recency_decision(urls: Column, texts: Column, now: Column, applies: Column) -> Column:
-    """State of a listing against the narrowest window of its searches and its oldest evidence."""
+def recency_decision(urls: Column, texts: Column, now: Column, applies: Column, published: Column | None = None) -> Column:
+    """State of a listing against the narrowest window of its searches and its oldest evidence.
+
+    Evidence are relative times in ``texts`` and clock times in ``published``, both arrays.
+    """
     from sievemill.functions.keys import window_seconds
-    from sievemill.functions.times import relative_age_seconds
+    from sievemill.functions.times import published_age_seconds, relative_age_seconds
 
     allowed = F.array_min(F.transform(urls, lambda u: window_seconds(u, "f_TPR")))
-    age = F.array_max(F.transform(texts, relative_age_seconds))
+    ages = F.transform(texts, relative_age_seconds)
+    if published is not None:
+        ages = F.concat(F.coalesce(ages, F.array().cast("array<bigint>")), F.coalesce(F.transform(published, lambda p: published_age_seconds(p, F.to_timestamp(now))), F.array().cast("array<bigint>")))
+    age = F.array_max(ages)
     state = F.when(~applies, "not_applicable").when(allowed.isNull() | age.isNull(), "unverified").when(age > allowed, "outside").otherwise("accepted")
     return F.struct(state.alias("state"), age.alias("age_seconds"), allowed.alias("allowed_seconds"))
 

@@ -7,10 +7,20 @@ from pyspark.sql import functions as F
 
 
 def cap_per_group(df: DataFrame, n: int, by: list[str], order: str, delivered: str) -> DataFrame:
-    """Add ``limited``: n rows of the group were delivered before this one; 0 is no limit."""
-    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    used = F.coalesce(F.sum(F.col(delivered).cast("int")).over(before), F.lit(0))
-    return df.withColumn("limited", (used >= n) if n else F.lit(False))
+    """Add ``limited``: n rows of the group were delivered before this one; 0 is no limit.
+
+    Only the place of the n-th delivered row has to be known of a group, so at most n rows of it
+    leave each task.
+    """
+    if not n:
+        return df.withColumn("limited", F.lit(False))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(order))
+    last = df.where(F.col(delivered)).select(*by, order).withColumn("__rank", rank).where(F.col("__rank") <= n).where(F.col("__rank") == n)
+    last = last.select(*[F.col(c).alias(f"__of_{c}") for c in by], F.col(order).alias("__last"))
+    same = F.lit(True)
+    for c in by:
+        same = same & df[c].eqNullSafe(F.col(f"__of_{c}"))
+    return df.join(last, same, "left").select(*df.columns, F.coalesce(F.col(order) > F.col("__last"), F.lit(False)).alias("limited"))
 
 
 def volume_anomaly(obs: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ def q_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 O_FACTS = f"""WITH d AS (SELECT doc_id, doc_id % 8 m, {_list(LOCATIONS)}[doc_id // 8 % 8 + 1] loc, doc_id % 9 y FROM documents),
  e AS (SELECT *, loc IN ('Valencia', 'Madrid', 'Barcelona') city, loc IN ('Remoto', 'Teletrabajo') away, CASE doc_id % 3 WHEN 2 THEN NULL ELSE CAST(y AS INTEGER) END low, CASE doc_id % 3 WHEN 0 THEN CAST(y + 2 AS INTEGER) END high FROM d)
  SELECT doc_id, CASE WHEN m IN (0, 3) THEN 'on-site' WHEN m IN (1, 6) THEN 'hybrid' WHEN m = 2 THEN 'remote' WHEN m = 4 THEN CASE WHEN city THEN 'hybrid' ELSE 'remote' END WHEN away THEN 'remote' WHEN city THEN 'on-site' ELSE 'unspecified' END modality,
- low, high, CASE WHEN low IS NULL THEN 'unspecified' WHEN coalesce(high, low) <= 2 THEN 'Junior' WHEN coalesce(high, low) <= 4 THEN 'Mid' WHEN coalesce(high, low) <= 7 THEN 'Senior' ELSE 'Lead' END AS level,
+ low, high, CASE WHEN low IS NULL THEN 'unspecified' WHEN coalesce(high, low) <= 2 THEN 'Junior' WHEN coalesce(high, low) <= 4 THEN 'Mid' WHEN coalesce(high, low) <= 7 THEN 'Senior' ELSE 'Lead / Principal' END AS level,
  CAST(CASE WHEN doc_id % 2 = 0 THEN (doc_id % 30 + 20) * 1000 WHEN doc_id % 5 = 0 THEN (doc_id % 900 + 1000) * 12 END AS INTEGER) pay_low, CAST(CASE WHEN doc_id % 2 = 0 THEN (doc_id % 30 + 30) * 1000 WHEN doc_id % 5 = 0 THEN (doc_id % 900 + 1000) * 12 END AS INTEGER) pay_high,
  CASE WHEN doc_id % 4 = 0 THEN 'new' ELSE 'recent' END freshness, CASE WHEN doc_id % 100 >= 90 THEN 'top' WHEN doc_id % 100 >= 80 THEN 'high' ELSE 'normal' END band, CASE WHEN loc = 'Madrid' OR m = 3 THEN 'consultancy' ELSE 'product' END kind FROM e"""
 

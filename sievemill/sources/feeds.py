@@ -75,16 +75,19 @@ def extract_links(pages: DataFrame, path: str) -> DataFrame:
 
 def import_decision_map(raw: DataFrame) -> DataFrame:
     """Bodies holding one object ``key -> {fingerprint, decision, timestamp}`` as rows; broken bodies give none."""
-    entry = "map<string, struct<fingerprint: string, decision: struct<status: string, score: string, family: string>, timestamp: string>>"
+    entry = "map<string, struct<fingerprint: string, decision: struct<status: string, score: string, family: string, positive_evidence: array<string>, negative_evidence: array<string>, needs_description: boolean>, timestamp: string>>"
     rows = raw.select(F.explode(F.from_json("body", entry)).alias("key", "e"))
     return rows.select("key", F.col("e.fingerprint").alias("fingerprint"), decode_decision(F.col("e.decision")).alias("decision"), parse_ts(F.col("e.timestamp")).alias("ts"))
 
 
 def decode_decision(stored: Column) -> Column:
-    """A stored decision, score clipped to 0..100; null if the status is unknown or the score no number."""
-    score = stored["score"].try_cast("double").cast("int")
+    """A stored decision, score clipped to 0..100; null if the status is unknown or the score no number.
+
+    A missing score is 0 and a missing family the one without evidence.
+    """
+    score = F.coalesce(stored["score"], F.lit("0")).try_cast("double").cast("int")
     fine = stored["status"].isin("accepted", "warning", "rejected") & score.isNotNull()
-    return F.when(fine, F.struct(stored["status"].alias("status"), F.least(F.greatest(score, F.lit(0)), F.lit(100)).alias("score"), F.coalesce(stored["family"], F.lit("unknown")).alias("family")))
+    return F.when(fine, F.struct(stored["status"].alias("status"), F.least(F.greatest(score, F.lit(0)), F.lit(100)).alias("score"), F.coalesce(F.nullif(stored["family"], F.lit("")), F.lit("sin_evidencia_digital")).alias("family")))
 
 
 def flatten_run_payload(runs: DataFrame) -> DataFrame:
