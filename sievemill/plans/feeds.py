@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievemill.functions import features
@@ -16,7 +16,7 @@ from sievemill.streaming import streams
 
 PHRASES = ["No remoto, trabajo en oficina", "Modalidad híbrida", "100% remoto desde casa", "Presencial en planta", "Trabajo remoto posible", "", "2 días de teletrabajo a la semana", "25 días de vacaciones"]
 NOW = "2024-01-31 00:00:00"
-COUNTS = ["detected", "sent", "http_429"]
+COUNTS = ["detected", "sent", "http_429", "delivery_failed"]
 
 
 def _list(values: list[str]) -> str:
@@ -76,37 +76,80 @@ O_LINKS = r"""WITH a AS (SELECT page_id, regexp_extract(url, '^([a-zA-Z]+://[^/?
 
 
 def _cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days as cycles and pairs of event type and user group as providers."""
     e = table(spark, sf_dir, "events")
-    return e.groupBy(F.date_trunc("day", "ts").alias("cycle"), F.col("event_type").alias("provider")).agg(F.max("ts").alias("ts"), F.count("*").alias("detected"), F.count_if(F.col("value") > 100).alias("sent"), F.count_if(F.col("value") > 250).alias("http_429"))
+    n, group = F.count("*"), F.col("user_id") % 6
+    rows = e.groupBy(F.date_trunc("day", "ts").alias("cycle"), F.concat_ws("-", "event_type", group.cast("string")).alias("provider"), group.alias("g")).agg(F.max("ts").alias("ts"), n.alias("detected"), F.count_if(F.col("value") > 100).alias("sent"), F.count_if(F.col("value") > 250).alias("http_429"))
+    rows = rows.where("g <> 1 OR day(cycle) % 3 = 0").where("g <> 2 OR day(cycle) % 4 > 0")
+    return rows.withColumns({"delivery_failed": F.when(F.col("g") == 3, F.col("sent") - 5).otherwise(0), "blocked_reason": F.when((F.col("g") == 4) & (F.day("cycle") % 5 == 0), F.concat(F.lit("http_"), (F.col("detected") % 2 + 403).cast("string"))), "validation_anomaly": F.when((F.col("g") == 5) & (F.day("cycle") == 7), "skipped_not_validated:x")}).drop("g")
+
+
+_CYCLES = """WITH e AS (SELECT date_trunc('day', ts) AS cycle, event_type || '-' || user_id % 6 provider, user_id % 6 g, max(ts) ts, count(*) detected, count(*) FILTER (WHERE value > 100) sent, count(*) FILTER (WHERE value > 250) http_429 FROM events GROUP BY 1, 2, 3),
+ c AS (SELECT *, CASE WHEN g = 3 THEN sent - 5 ELSE 0 END delivery_failed, CASE WHEN g = 4 AND day(cycle) % 5 = 0 THEN 'http_' || detected % 2 + 403 END blocked, g = 5 AND day(cycle) = 7 skip FROM e WHERE (g <> 1 OR day(cycle) % 3 = 0) AND (g <> 2 OR day(cycle) % 4 > 0))"""
+STALE = 2880
+
+
+def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cycles = _cycles(spark, sf_dir)
+    expected = cycles.select("provider").union(table(spark, sf_dir, "region").where("r_regionkey = 0").select(F.lit("absent")))
+    return coverage.provider_summary(cycles, COUNTS, NOW, STALE, providers=expected)
 
 
 def q_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coverage.provider_summary(_cycles(spark, sf_dir), COUNTS, NOW)
+    return _summaries(spark, sf_dir).withColumn("reasons", F.array_join("reasons", ",")).withColumn("blocked_reason", F.coalesce(F.array_join(F.transform(F.map_entries("blocked_reason"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ","), F.lit(""))).drop("validation_status")
 
 
-O_SUMMARY = f"""WITH s AS (SELECT event_type provider, count(DISTINCT date_trunc('day', ts)) cycles, CAST(count(*) AS BIGINT) detected, count(*) FILTER (WHERE value > 100) sent, count(*) FILTER (WHERE value > 250) http_429,
- round(count(DISTINCT date_trunc('day', ts)) / (SELECT count(DISTINCT date_trunc('day', ts)) FROM events), 3) ratio, CAST(greatest(0, round((epoch(TIMESTAMP '{NOW}') - floor(epoch(max(ts)))) / 60)) AS BIGINT) age_minutes FROM events GROUP BY 1)
- SELECT *, CASE WHEN age_minutes > 50 THEN 'critical' WHEN http_429 > 0 OR ratio < 1 THEN 'warning' ELSE 'ok' END status FROM s"""
+O_SUMMARY = f"""{_CYCLES}, p AS (SELECT DISTINCT provider FROM c UNION SELECT 'absent'), w AS (SELECT count(DISTINCT cycle) n FROM c),
+ h AS (SELECT provider, string_agg(blocked || ':' || k, ',' ORDER BY blocked) b FROM (SELECT provider, blocked, count(*) k FROM c WHERE blocked IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+ s AS (SELECT p.provider, count(DISTINCT cycle) cycles, CAST(coalesce(sum(detected), 0) AS BIGINT) detected, CAST(coalesce(sum(sent), 0) AS BIGINT) sent, CAST(coalesce(sum(http_429), 0) AS BIGINT) http_429, CAST(coalesce(sum(greatest(delivery_failed, 0)), 0) AS BIGINT) delivery_failed,
+ CAST(greatest(0, round((epoch(TIMESTAMP '{NOW}') - floor(epoch(max(ts)))) / 60)) AS BIGINT) age_minutes, coalesce(bool_or(skip), false) skipped, count(DISTINCT cycle) / (SELECT n FROM w) sh, count(cycle) = 0 gone FROM p LEFT JOIN c ON c.provider = p.provider GROUP BY 1),
+ r AS (SELECT s.*, coalesce(h.b, '') b, CASE WHEN skipped THEN 'disabled_pending_human_validation' WHEN gone THEN 'provider_missing_from_all_recorded_cycles' END early,
+ concat_ws(',', CASE WHEN age_minutes > {STALE} THEN 'provider_evidence_stale' WHEN sh < 0.5 THEN 'provider_present_in_less_than_half_of_cycles' WHEN sh < 0.8 THEN 'provider_missing_from_some_cycles' END,
+ CASE WHEN http_429 > 0 THEN 'http_429_observed' END, CASE WHEN h.b IS NOT NULL THEN 'provider_block_or_parse_issue_observed' END, CASE WHEN delivery_failed > 0 THEN 'delivery_failure_observed' END) said FROM s LEFT JOIN h ON h.provider = s.provider)
+ SELECT provider, cycles, detected, sent, http_429, delivery_failed, round(sh, 3) ratio, CASE WHEN NOT gone THEN age_minutes END age_minutes, CASE WHEN skipped THEN 'not_monitored' WHEN gone OR age_minutes > {STALE} OR sh < 0.5 THEN 'critical' WHEN said <> '' THEN 'warning' ELSE 'ok' END status,
+ coalesce(early, said) reasons, b blocked_reason FROM r"""
 
 
 def q_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coverage.overall_rollup(q_summary(spark, sf_dir))
+    return coverage.overall_rollup(_summaries(spark, sf_dir).where("provider NOT LIKE '%-1' AND provider <> 'absent'"), 0.7)
+
 
+O_ROLLUP = f"""WITH s AS (SELECT status FROM ({O_SUMMARY}) WHERE provider NOT LIKE '%-1' AND provider <> 'absent'), n AS (SELECT count(*) FILTER (WHERE status = 'ok') ok, count(*) FILTER (WHERE status = 'warning') warning, count(*) FILTER (WHERE status = 'insufficient_data') insufficient_data, count(*) FILTER (WHERE status = 'critical') critical, count(*) FILTER (WHERE status = 'not_monitored') not_monitored FROM s)
+ SELECT CASE WHEN critical > 0 THEN 'critical' WHEN warning > 0 THEN 'warning' WHEN insufficient_data > 0 THEN 'insufficient_data' ELSE 'ok' END status, CAST(round_even(least(70, (100 * ok + 55 * warning + 25 * insufficient_data) / (ok + warning + insufficient_data + critical)), 0) AS BIGINT) score, * FROM n"""
 
-O_ROLLUP = f"""SELECT arg_min(status, v) status, CAST(round(avg(v)) AS BIGINT) score, count(*) FILTER (WHERE status = 'ok') ok, count(*) FILTER (WHERE status = 'warning') warning, count(*) FILTER (WHERE status = 'insufficient_data') insufficient_data, count(*) FILTER (WHERE status = 'critical') critical
- FROM (SELECT status, CASE status WHEN 'ok' THEN 100 WHEN 'warning' THEN 55 ELSE 0 END v FROM ({O_SUMMARY}))"""
+TERMINAL = ["seen", "sent", "delivery_failed"]
+
+
+def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ledger batches half an hour before the cycles they belong to; the last day's are open."""
+    d, g = F.col("detected"), F.col("provider").substr(-1, 1)
+    jobs = F.transform(F.sequence(F.lit(1).cast("long"), d), lambda i: F.struct(i.cast("string").alias("key"), F.when((g == "3") & (i == 1), "odd").otherwise("seen").alias("outcome")))
+    outcomes = F.when(g == "4", F.lit(None)).otherwise(F.create_map(F.lit("sent"), F.col("sent"), F.lit("seen"), d - F.col("sent")))
+    return _cycles(spark, sf_dir).where("provider NOT LIKE 'error-%'").select(
+        "provider", (F.col("ts") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(30))).alias("ts"), (F.day("cycle") == 30).alias("pending"), "detected", F.when(g == "0", F.col("sent")).otherwise(d).alias("terminal"), F.lit(0).alias("unaccounted"), (g != "2").alias("complete"), F.when(g != "3", outcomes).alias("outcomes"), F.when(g == "3", jobs).alias("jobs"),
+    )
 
 
 def q_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     cycles = _cycles(spark, sf_dir)
-    batches = cycles.where("provider <> 'view'").select("provider", "detected", F.when(F.col("provider") == "click", F.col("sent")).otherwise(F.col("detected")).alias("terminal"))
-    expected = cycles.where("provider <> 'error'").select("provider", (F.col("detected") + (F.col("provider") == "signup").cast("int")).alias("expected"))
-    return coverage.reconcile(batches, expected).withColumn("reasons", F.array_join("reasons", ","))
+    expected = coverage.detected_in(cycles.where("day(cycle) < 30")).select("provider", (F.col("expected") + F.when(F.col("provider") == "click-1", 1).otherwise(0)).alias("expected"), (F.col("provider") != "view-1").alias("monitored"))
+    return coverage.reconcile(_batches(spark, sf_dir), expected, TERMINAL).withColumn("reasons", F.array_join("reasons", ","))
 
 
-O_RECONCILE = """WITH c AS (SELECT event_type provider, count(*) n, count(*) FILTER (WHERE value > 100) s, count(DISTINCT date_trunc('day', ts)) AS days FROM events GROUP BY 1)
- SELECT provider, CAST(CASE WHEN provider <> 'error' THEN n + CASE WHEN provider = 'signup' THEN days ELSE 0 END END AS BIGINT) expected, CASE WHEN provider <> 'view' THEN n END detected, CASE provider WHEN 'view' THEN NULL WHEN 'click' THEN s ELSE n END terminal,
- CASE provider WHEN 'signup' THEN 'detected_count_mismatch' WHEN 'click' THEN 'unaccounted_or_nonterminal_job' ELSE '' END reasons, CASE provider WHEN 'error' THEN 'not_applicable' WHEN 'view' THEN 'insufficient_data' WHEN 'purchase' THEN 'ok' ELSE 'critical' END state FROM c"""
+O_RECONCILE = f"""{_CYCLES}, b AS (SELECT provider, g, day(cycle) = 30 pending, detected d, CASE WHEN g = 0 THEN sent ELSE detected END t, CASE WHEN g = 4 THEN 0 ELSE detected END items, CASE WHEN g = 3 THEN 1 WHEN g = 4 THEN detected WHEN g = 0 THEN detected - sent ELSE 0 END bad FROM c WHERE provider NOT LIKE 'error-%'),
+ s AS (SELECT provider, count(*) FILTER (WHERE NOT pending) batches, CAST(coalesce(sum(d) FILTER (WHERE NOT pending), 0) AS BIGINT) detected, CAST(coalesce(sum(t) FILTER (WHERE NOT pending), 0) AS BIGINT) "terminal", CAST(coalesce(sum(items) FILTER (WHERE NOT pending), 0) AS BIGINT) item_rows, CAST(coalesce(sum(bad) FILTER (WHERE NOT pending), 0) AS BIGINT) invalid_items,
+ count(*) FILTER (WHERE NOT pending AND g = 2) incomplete_batches, count(*) FILTER (WHERE pending) pending_batches, CAST(coalesce(sum(d) FILTER (WHERE pending), 0) AS BIGINT) pending_detected FROM b GROUP BY 1),
+ x AS (SELECT provider, CAST(sum(detected) + CASE WHEN provider = 'click-1' THEN 1 ELSE 0 END AS BIGINT) expected FROM c WHERE day(cycle) < 30 GROUP BY 1),
+ j AS (SELECT x.provider, expected, coalesce(batches, 0) batches, coalesce(detected, 0) detected, coalesce("terminal", 0) "terminal", 0 unaccounted, coalesce(item_rows, 0) item_rows, coalesce(invalid_items, 0) invalid_items, coalesce(incomplete_batches, 0) incomplete_batches, coalesce(pending_batches, 0) pending_batches, coalesce(pending_detected, 0) pending_detected FROM x LEFT JOIN s ON s.provider = x.provider),
+ r AS (SELECT *, CASE WHEN provider = 'view-1' THEN 'provider_not_monitored' WHEN batches = 0 AND pending_batches > 0 THEN 'cycle_in_progress_not_yet_persisted' WHEN batches = 0 THEN 'missing_per_job_ledger' END early,
+ concat_ws(',', CASE WHEN detected <> expected THEN 'detected_count_mismatch' END, CASE WHEN item_rows <> detected THEN 'job_rows_count_mismatch' END, CASE WHEN "terminal" <> detected OR invalid_items > 0 OR incomplete_batches > 0 THEN 'unaccounted_or_nonterminal_job' END) said FROM j)
+ SELECT * EXCLUDE (early, said), coalesce(early, said) reasons, CASE WHEN provider = 'view-1' THEN 'not_applicable' WHEN batches = 0 AND pending_batches > 0 THEN 'in_progress' WHEN batches = 0 THEN 'insufficient_data' WHEN said <> '' THEN 'critical' ELSE 'ok' END state FROM r"""
+
+
+def q_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cycles = _cycles(spark, sf_dir)
+    out = coverage.coverage_report(cycles, _batches(spark, sf_dir).drop("pending"), cycles.select("provider").distinct(), COUNTS, TERMINAL, NOW, 24 * 40, 86_400, STALE, delay_seconds=3600)
+    return out.withColumn("reasons", F.array_join("reasons", ","))
 
 
 def _scratch(spark: SparkSession) -> str:
@@ -139,16 +182,17 @@ O_UNSEEN = "SELECT user_id, min(event_id) event_id FROM events GROUP BY 1"
 
 
 def q_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("role").alias("role"), F.min("text").alias("text"))
-    cards = F.array(F.struct(F.col("turn").cast("string").alias("id"), F.substring("text", 1, 20).alias("title"), F.concat(F.lit("u"), F.col("turn").cast("string")).alias("url")))
-    search = F.struct(F.col("turn").alias("turn"), F.concat(F.lit("s"), F.col("turn").cast("string")).alias("searchUrl"), F.when(F.col("turn") % 2 == 0, "complete").otherwise("odd").alias("state"), F.when(F.col("role") == "user", cards).alias("jobs"), F.when(F.col("role") != "user", cards).alias("reference_jobs"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    c = table(spark, sf_dir, "conversations").withColumn("place", place)
+    cards = F.array(F.struct(F.col("place").cast("string").alias("id"), F.col("text").alias("title"), F.concat(F.lit("u"), F.col("turn").cast("string")).alias("url")))
+    search = F.struct("place", F.concat(F.lit("s"), F.col("turn").cast("string")).alias("searchUrl"), F.when(F.col("turn") % 2 == 0, "complete").otherwise("odd").alias("state"), F.when(F.col("role") == "user", cards).alias("jobs"), F.when(F.col("role") != "user", cards).alias("reference_jobs"))
     runs = c.groupBy("conv_id").agg(F.to_json(F.struct(F.concat(F.lit("run-"), F.first("conv_id").cast("string")).alias("runId"), F.array_sort(F.collect_list(search)).alias("searches"))).alias("body"))
     return feeds.flatten_run_payload(runs).select("run_id", "search_url", "state", "role", "id", F.md5("title").alias("title"), "url")
 
 
-O_PAYLOAD = """WITH c AS (SELECT conv_id, turn, min(role) r, min(text) t FROM conversations GROUP BY 1, 2)
- SELECT 'run-' || conv_id run_id, 's' || turn search_url, CASE WHEN turn % 2 = 0 THEN 'complete' ELSE 'partial' END state, CASE WHEN r = 'user' THEN 'production' ELSE 'reference' END AS role, CAST(turn AS VARCHAR) id, md5(substr(t, 1, 20)) title, 'u' || turn url
- FROM c WHERE r IS NOT NULL AND trim(regexp_replace(t, '\\s+', ' ', 'g')) <> ''"""
+O_PAYLOAD = r"""WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) place FROM conversations)
+ SELECT 'run-' || conv_id run_id, 's' || turn search_url, CASE WHEN turn % 2 = 0 THEN 'complete' ELSE 'partial' END state, CASE WHEN role = 'user' THEN 'production' ELSE 'reference' END AS role, CAST(place AS VARCHAR) id, md5(text) title, 'u' || turn url
+ FROM c WHERE role IS NOT NULL AND trim(regexp_replace(text, '\s+', ' ', 'g')) <> ''"""
 
 
 def q_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,6 +223,6 @@ O_RUNS = f"""WITH d AS (SELECT event_type, date_trunc('day', ts) AS day, max(ts)
 QUERIES = {
     "run_summary": (q_runs, O_RUNS),
     "run_payload": (q_payload, O_PAYLOAD),
-    "text_facts": (q_facts, O_FACTS), "json_feed": (q_json_feed, O_JSON_FEED), "rss_feed": (q_rss, O_RSS), "page_links": (q_links, O_LINKS), "provider_summary": (q_summary, O_SUMMARY), "coverage_rollup": (q_rollup, O_ROLLUP), "reconcile": (q_reconcile, O_RECONCILE),
+    "text_facts": (q_facts, O_FACTS), "json_feed": (q_json_feed, O_JSON_FEED), "rss_feed": (q_rss, O_RSS), "page_links": (q_links, O_LINKS), "provider_summary": (q_summary, O_SUMMARY), "coverage_rollup": (q_rollup, O_ROLLUP), "reconcile": (q_reconcile, O_RECONCILE), "coverage_report": (q_report, None),
     "stream_windows": (q_windows, O_WINDOWS), "stream_unseen": (q_unseen, O_UNSEEN),
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,26 +108,53 @@ O_TIMES = """SELECT doc_id,
 
 
 def q_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = listings(spark, sf_dir).withColumn("description", F.lit(""))
-    return relevance.classify_relevance(rows).select("job_id", "decision.status", "decision.score", "decision.family", "decision.needs_description")
+    return relevance.classify_relevance(listings(spark, sf_dir)).select("job_id", "decision.status", "decision.score", "decision.family", "decision.needs_description")
 
 
-_RELEVANCE = [
-    ("accepted", 78, "data"), ("accepted", 84, "ai_ml"), ("accepted", 78, "python_api"), ("rejected", 0, "rol_no_tecnico_o_gestion"), ("rejected", 0, "rrhh_nominas"), ("rejected", 0, "cad_bim"), ("rejected", 0, "diseno_grafico"), ("rejected", 0, "mecanica_fabricacion"), ("rejected", 20, "plc_scada_puro"), ("accepted", 80, "industrial_digital"),
-    ("generic", 0, ""), ("warning", 60, "analytics"), ("warning", 60, "automation"), ("rejected", 35, "sin_evidencia_digital"), ("rejected", 0, "sin_evidencia_digital"), ("rejected", 0, "rol_no_tecnico_o_gestion"), ("accepted", 74, "python_api"), ("accepted", 74, "python_api"), ("warning", 60, "analytics"), ("accepted", 84, "ai_ml"),
-]
-O_RELEVANCE = (
-    VIEW
-    + f"""SELECT job_id, CASE WHEN seq % 20 = 10 THEN CASE WHEN source = 'linkedin' THEN 'warning' ELSE 'rejected' END ELSE {_sql_list([s for s, _, _ in _RELEVANCE])}[seq % 20 + 1] END status,
- CAST(CASE WHEN seq % 20 = 10 THEN CASE WHEN source = 'linkedin' THEN 65 ELSE 20 END ELSE {[n for _, n, _ in _RELEVANCE]}[seq % 20 + 1] END AS INTEGER) score,
- CASE WHEN seq % 20 = 10 THEN CASE WHEN source = 'linkedin' THEN 'linkedin_search_candidate' ELSE 'software_sin_stack_objetivo' END ELSE {_sql_list([f for _, _, f in _RELEVANCE])}[seq % 20 + 1] END family,
- seq % 20 = 13 OR (seq % 20 = 10 AND source = 'linkedin') needs_description FROM v"""
-)
+def _sql_norm(c: str) -> str:
+    """Normal form of a text in SQL."""
+    return rf"trim(regexp_replace(lower(translate({c}, '{text._ACCENTED}', '{text._PLAIN}')), '[\s\x0B\x1C-\x1F\x{{85}}\p{{Z}}]+', ' ', 'g'))"
+
+
+def _sql_any(c: str, terms: list[str]) -> str:
+    return rf"regexp_matches({c}, '(^|[^a-z0-9])({'|'.join(map(re.escape, terms))})([^a-z0-9]|$)')"
+
+
+def _sql_score(c: str, terms: list[str], rules: relevance.RulePack) -> str:
+    """Sum of the best weights of the terms: by what stands in the 60 characters before a hit."""
+    no, weak = "|".join(rules.negations), "|".join(rules.weak)
+    hits = lambda t: rf"regexp_extract_all({c}, '(.{{0,59}}?(?:^|[^a-z0-9])){re.escape(t)}(?:[^a-z0-9]|$)', 1)"
+    return "(" + " + ".join(f"coalesce(list_max(list_transform({hits(t)}, lambda w: CASE WHEN regexp_matches(w, '{no}') THEN 0 WHEN regexp_matches(w, '{weak}') THEN 1 ELSE 4 END)), 0)" for t in terms) + ")"
+
+
+def _sql_relevance() -> str:
+    """The waterfall over the listings view, from the same term lists."""
+    r = relevance.RulePack()
+    heads, bodies = ("unwanted", "hr", "cad", "graphic", "mechanical", "plc"), ("ai", "data", "software", "generic", "industrial", "analytics", "automation")
+    flags = ", ".join([f"{_sql_any('head', getattr(r, n))} {n}" for n in heads] + [f"{_sql_any('body', getattr(r, n))} {n}_" for n in bodies])
+    contains = lambda c, words: "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
+    score = lambda n: _sql_score("body", getattr(r, n), r)
+    return (
+        VIEW
+        + f""", n AS (SELECT *, {_sql_norm("title || ' ' || company")} head, {_sql_norm("coalesce(description, '')")} detail FROM v), t AS (SELECT *, trim(head || ' ' || detail) body FROM n), f AS (SELECT *, {flags} FROM t),
+ g AS (SELECT *, ai_ OR data_ OR software_ OR industrial_ digital, {contains("head", r.plausible)} plausible FROM f),
+ h AS (SELECT *, CASE WHEN unwanted THEN 'rol_no_tecnico_o_gestion' WHEN hr THEN 'rrhh_nominas' WHEN cad THEN 'cad_bim' WHEN graphic THEN 'diseno_grafico' WHEN mechanical AND NOT digital THEN 'mecanica_fabricacion' WHEN plc AND NOT digital THEN 'plc_scada_puro'
+ WHEN ai_ THEN 'ai_ml' WHEN data_ THEN 'data' WHEN industrial_ AND (software_ OR {contains("body", r.context)}) THEN 'industrial_digital' WHEN software_ THEN 'python_api' WHEN generic_ AND length(trim(coalesce(description, ''))) > 50 THEN 'software_generico'
+ WHEN generic_ AND source = 'linkedin' THEN 'linkedin_search_candidate' WHEN generic_ THEN 'software_sin_stack_objetivo' WHEN analytics_ THEN 'analytics' WHEN automation_ THEN 'automation' ELSE 'sin_evidencia_digital' END family FROM g),
+ r AS (SELECT *, CASE WHEN family IN ('ai_ml', 'data', 'industrial_digital', 'python_api', 'software_generico') THEN 'accepted' WHEN family IN ('linkedin_search_candidate', 'analytics', 'automation') THEN 'warning' ELSE 'rejected' END status,
+ CAST(CASE family WHEN 'plc_scada_puro' THEN 20 WHEN 'ai_ml' THEN least(100, 80 + least(18, {score("ai")})) WHEN 'data' THEN least(95, 74 + least(20, {score("data")})) WHEN 'industrial_digital' THEN least(88, 72 + {score("industrial")} + least(6, {score("software")}))
+ WHEN 'python_api' THEN least(85, 70 + least(15, {score("software")})) WHEN 'software_generico' THEN 75 WHEN 'linkedin_search_candidate' THEN 65 WHEN 'software_sin_stack_objetivo' THEN 20 WHEN 'analytics' THEN least(69, 56 + {score("analytics")}) WHEN 'automation' THEN least(69, 56 + {score("automation")})
+ WHEN 'sin_evidencia_digital' THEN CASE WHEN plausible THEN 35 ELSE 0 END ELSE 0 END AS INTEGER) score, family = 'linkedin_search_candidate' OR (family = 'sin_evidencia_digital' AND plausible AND detail = '') needs_description FROM h)"""
+    )
+
+
+_RELEVANCE = _sql_relevance()
+O_RELEVANCE = _RELEVANCE + " SELECT job_id, status, score, family, needs_description FROM r"
 
 
 def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New, relevant and eligible listings, and why every other one was dropped."""
-    rows = listings(spark, sf_dir).withColumn("description", F.lit("")).withColumn("aliases", F.array(F.concat(F.lit("alias-"), "job_id")))
+    rows = listings(spark, sf_dir).withColumn("aliases", F.array(F.concat(F.lit("alias-"), "job_id")))
     rows = relevance.classify_relevance(rows)
     seen = rows.where("seq % 11 = 0").select("source", "job_id")
     fresh = joins.anti_seen(rows, seen).select("source", "job_id", F.lit(False).alias("is_seen"))
@@ -137,13 +166,11 @@ def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 O_OUTCOMES = (
-    VIEW
-    + f""", d AS (SELECT *, {_sql_list([s for s, _, _ in _RELEVANCE])}[seq % 20 + 1] st, {_sql_list([f for _, _, f in _RELEVANCE])}[seq % 20 + 1] fam FROM v)
- SELECT job_id, source, CASE WHEN source = 'linkedin' AND seq % 5 > 0 AND (seq % 90) * 60 > seq % 5 * 900 THEN 'discarded_time_window' WHEN source = 'linkedin' AND seq % 5 = 0 THEN 'unverified_time_window'
- WHEN seq % 11 = 0 THEN 'seen' WHEN seq % 20 = 10 AND source <> 'linkedin' THEN 'discarded_relevance:software_sin_stack_objetivo' WHEN st = 'rejected' THEN 'discarded_relevance:' || fam
- WHEN location NOT IN ('Valencia', 'Paterna, Valencia', 'Remoto', 'Teletrabajo') THEN 'discarded_location'
- WHEN source <> 'linkedin' AND NOT regexp_matches(lower(title), '(^|\\W)(data|python|iot|ai)(\\W|$)') THEN 'discarded_include' WHEN seq % 37 = 5 THEN 'discarded_exclude' WHEN seq % 7 > 0 THEN 'sent' ELSE 'delivery_failed' END outcome FROM d"""
-).replace("\\\\W", "\\W")
+    _RELEVANCE
+    + r""" SELECT job_id, source, CASE WHEN source = 'linkedin' AND seq % 5 > 0 AND (seq % 90) * 60 > seq % 5 * 900 THEN 'discarded_time_window' WHEN source = 'linkedin' AND seq % 5 = 0 THEN 'unverified_time_window'
+ WHEN seq % 11 = 0 THEN 'seen' WHEN status = 'rejected' THEN 'discarded_relevance:' || family WHEN location NOT IN ('Valencia', 'Paterna, Valencia', 'Remoto', 'Teletrabajo') THEN 'discarded_location'
+ WHEN source <> 'linkedin' AND NOT regexp_matches(lower(concat_ws(' ', title, company, location, description)), '(^|[^\p{L}\p{M}\p{N}_])(data|python|iot|ai)([^\p{L}\p{M}\p{N}_]|$)') THEN 'discarded_include' WHEN seq % 37 = 5 THEN 'discarded_exclude' WHEN seq % 7 > 0 THEN 'sent' ELSE 'delivery_failed' END outcome FROM r"""
+)
 
 
 def q_outcome_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
