@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievemill.functions.features import experience, modality, salary_range
+from sievemill.functions.text import present
 
 # Labels and the patterns that tell them, in order; results must agree on them.
 CONTRACTS = {
@@ -75,15 +78,27 @@ CATALOGS = {"contract_types": CONTRACTS, "work_schedules": SCHEDULES, "education
 TOOLS = {"Python": ["python"], "SQL": ["sql"], "C++": ["c++"], "Node.js": ["node.js", "nodejs"], "Docker": ["docker"], "PostgreSQL": ["postgresql", "postgres"], "React": ["react"], "TypeScript": ["typescript"], "Spark": ["spark", "pyspark"]}
 
 
-def labels(text: Column, catalog: dict[str, list[str]]) -> Column:
-    """The labels of ``catalog`` told by ``text``, in its order; null is empty.
+def stem(pattern: str) -> str:
+    """The longest run of letters and digits that every match of a pattern holds, or nothing."""
+    plain = re.sub(r"\((?:[^()]|\([^()]*\))*\)\??|\[[^\]]*\]\??|\\[a-zA-Z][+*?]?|\\.", " ", pattern)
+    return max(re.findall(r"[a-z0-9]{2,}(?![?*])", plain) if "|" not in plain else [], key=len, default="")
+
 
-    One pattern of all labels comes first, so a text that tells none is read once.
+def labels(text: Column, catalog: dict[str, list[str]], low: Column | None = None) -> Column:
+    """The labels of ``catalog`` told by ``text``, in its order; a null text tells none.
+
+    A pattern is only tried on texts that hold its ``stem``, which a plain search finds in ``low``,
+    the text in lower case; give it as a column where several catalogs are asked.
     """
-    flags, said = "(?iu)", F.coalesce(text, F.lit(""))
-    pattern = {name: "|".join(f"(?:{p})" for p in patterns) for name, patterns in catalog.items()}
-    found = F.array_compact(F.array(*[F.when(said.rlike(flags + p), F.lit(name)) for name, p in pattern.items()]))
-    return F.when(said.rlike(flags + "|".join(pattern.values())), found).otherwise(F.array().cast("array<string>"))
+    low = F.lower(text) if low is None else low
+
+    def told(patterns: list[str]) -> Column:
+        out = F.lit(False)
+        for p in patterns:
+            out = out | (low.contains(stem(p)) & text.rlike(f"(?iu){p}"))
+        return out
+
+    return present([F.when(told(patterns), F.lit(name)) for name, patterns in catalog.items()])
 
 
 def alias_pattern(alias: str) -> str:
@@ -94,14 +109,18 @@ def alias_pattern(alias: str) -> str:
     return rf"\b{escaped}\b"
 
 
-def tech_stack(text: Column, tools: dict[str, list[str]] = TOOLS) -> Column:
+def tech_stack(text: Column, tools: dict[str, list[str]] = TOOLS, low: Column | None = None) -> Column:
     """The tools that a text names, in the catalog's order."""
-    return labels(text, {name: [alias_pattern(a) for a in aliases] for name, aliases in tools.items()})
+    return labels(text, {name: [alias_pattern(a) for a in aliases] for name, aliases in tools.items()}, low)
+
 
+def listing_features(df: DataFrame, cities: list[str], tools: dict[str, list[str]] = TOOLS) -> DataFrame:
+    """Add ``features``: what title and description tell of experience, stack, labels, pay, modality.
 
-def listing_features(title: Column, description: Column, location: Column, cities: list[str], tools: dict[str, list[str]] = TOOLS) -> Column:
-    """Struct of all facts told by title and description: experience, stack, labels, pay, modality."""
-    text = F.concat_ws("\n", title, description)
-    told = {"experience": experience(text), "stack": tech_stack(text, tools)} | {name: labels(text, c) for name, c in CATALOGS.items()}
-    told |= {"salary": salary_range(text), "modality": modality(text, F.coalesce(location, F.lit("")), cities)}
-    return F.struct(*[c.alias(name) for name, c in told.items()])
+    Reads title, description and location; nulls are empty.
+    """
+    rows = df.withColumn("__text", F.concat_ws("\n", "title", "description")).withColumn("__low", F.lower("__text"))
+    text, low = F.col("__text"), F.col("__low")
+    told = {"experience": experience(text), "stack": tech_stack(text, tools, low)} | {name: labels(text, c, low) for name, c in CATALOGS.items()}
+    told |= {"salary": salary_range(text), "modality": modality(text, F.coalesce("location", F.lit("")), cities)}
+    return rows.select(*df.columns, F.struct(*[c.alias(name) for name, c in told.items()]).alias("features"))

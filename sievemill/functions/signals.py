@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,7 +25,10 @@ INTERN_WORDS = ["práctica", "practica", "beca", "intern"]
 
 
 def _any_of(text: Column, words: list[str]) -> Column:
-    return text.rlike("|".join(re.sub(r"([^\w ])", r"\\\1", w) for w in words))
+    out = F.lit(False)
+    for word in words:
+        out = out | text.contains(word)
+    return out
 
 
 def challenge_flag(body: Column, status: Column, words: list[str] = CHALLENGES, reach: int = 100_000) -> Column:

@@ -31,20 +31,18 @@ def _escape(term: str) -> str:
 
 
 def has_term(text: Column, term: str) -> Column:
-    """``term`` as a whole term of a text in normal form."""
-    return text.rlike(f"(?<![a-z0-9]){_escape(term)}(?![a-z0-9])")
+    """``term`` as a whole term of a text in normal form; plain search comes before the pattern."""
+    return text.contains(term) & text.rlike(f"(?<![a-z0-9]){_escape(term)}(?![a-z0-9])")
 
 
-def match_terms(text: Column, terms: list[str]) -> Column:
-    """The terms found in a text in normal form, in the given order.
+def present(values: list[Column]) -> Column:
+    """The strings that aren't null or empty, as an array; unlike a filter by lambda it is compiled."""
+    return F.array_remove(F.split(F.concat_ws("\x1f", *values), "\x1f"), "")
 
-    One pattern of all terms comes first, so a text without any is read once.
-    """
-    none = F.array().cast("array<string>")
-    if not terms:
-        return none
-    any_ = f"(?<![a-z0-9])(?:{'|'.join(map(_escape, terms))})(?![a-z0-9])"
-    return F.when(text.rlike(any_), F.array_compact(F.array(*[F.when(has_term(text, t), F.lit(t)) for t in terms]))).otherwise(none)
+
+def match_terms(text: Column, terms: list[str]) -> Column:
+    """The terms found in a text in normal form, in the given order."""
+    return present([F.when(has_term(text, t), F.lit(t)) for t in terms]) if terms else F.array().cast("array<string>")
 
 
 def term_weight(text: Column, term: str, negations: list[str], weak: list[str], reach: int = 60) -> Column:
@@ -73,7 +71,7 @@ def score_terms(text: Column, terms: list[str], negations: list[str], weak: list
 
 def named_features(text: Column, catalog: dict[str, list[str]]) -> Column:
     """Labels of which any pattern is found, in the catalog's order."""
-    return F.array_compact(F.array(*[F.when(text.rlike("(?iu)" + "|".join(f"(?:{p})" for p in patterns)), F.lit(name)) for name, patterns in catalog.items()]))
+    return present([F.when(text.rlike("(?iu)" + "|".join(f"(?:{p})" for p in patterns)), F.lit(name)) for name, patterns in catalog.items()])
 
 
 def phrase_match(value: Column, phrase: str) -> Column:

@@ -26,9 +26,9 @@ def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.col("text")
-    told = {"stack": catalogs.tech_stack(text)} | {name: catalogs.labels(text, c) for name, c in catalogs.CATALOGS.items()}
-    return _told(spark, sf_dir).select("doc_id", *[F.array_join(c, ",").alias(name) for name, c in told.items()])
+    text, low = F.col("text"), F.col("low")
+    told = {"stack": catalogs.tech_stack(text, low=low)} | {name: catalogs.labels(text, c, low) for name, c in catalogs.CATALOGS.items()}
+    return _told(spark, sf_dir).withColumn("low", F.lower("text")).select("doc_id", *[F.array_join(c, ",").alias(name) for name, c in told.items()])
 
 
 def _re2(pattern: str) -> str:
