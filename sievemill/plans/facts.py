@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from sievemill.functions import catalogs, gates, times
 from sievemill.operators import inventory
-from sievemill.plans.queries import LOCATIONS, TITLES, VIEW, _sql_list, listings, table
+from sievemill.plans.queries import VIEW, _sql_list, listings, table
+from sievemill.sources import pages
 
 NOW = "2024-01-31 00:00:00"
 #: Sentences put behind the texts of the documents, so that every catalog is told somewhere.
@@ -238,8 +239,49 @@ def q_sources_united(spark: SparkSession, sf_dir: str) -> DataFrame:
 O_SOURCES_UNITED = """WITH u AS (SELECT 'customer' AS source, c_nationkey nation, c_mktsegment tag FROM customer UNION ALL SELECT 'supplier', s_nationkey, NULL FROM supplier), f AS (SELECT source, tag, min((nation, tag)) p FROM u WHERE tag IS NOT NULL GROUP BY 1, 2)
  SELECT source, count(*) n, coalesce((SELECT string_agg(tag, ',' ORDER BY p) FROM f WHERE f.source = u.source), '') tags FROM u GROUP BY source"""
 
+
+
+def q_sitemap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    slug = F.regexp_replace(F.lower(F.concat_ws("-", "p_brand", F.when(F.col("p_partkey") % 3 == 0, "engineer").when(F.col("p_partkey") % 3 == 1, "data-analyst").otherwise("house"), "p_name")), "[^a-z0-9]+", "-")
+    loc = F.concat(F.lit("<loc>https://x.example/offers/"), F.col("p_partkey").cast("string"), F.lit("/"), slug, F.when(F.col("p_partkey") % 2 == 0, "-oct23").otherwise(""), F.lit("</loc>"))
+    return pages.parse_sitemap_slugs(p.groupBy(F.floor(F.col("p_partkey") / 100).alias("g")).agg(F.array_join(F.collect_list(loc), "\n").alias("body")), ["engineer", "data", "analyst"]).drop("url")
+
+
+O_SITEMAP = r"""WITH p AS (SELECT p_partkey k, regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g') b, regexp_replace(lower(CASE p_partkey % 3 WHEN 0 THEN 'engineer' WHEN 1 THEN 'data-analyst' ELSE 'house' END || '-' || p_name), '[^a-z0-9]+', '-', 'g') t FROM part),
+ w AS (SELECT k, b || '-' || t slug, CASE WHEN k % 3 < 2 THEN b ELSE '' END c, CASE WHEN k % 3 < 2 THEN t ELSE b || '-' || t END t FROM p)
+ SELECT CAST(k AS VARCHAR) id, slug, array_to_string(list_transform(string_split(c, '-'), lambda x: upper(x[1]) || x[2:]), ' ') company, array_to_string(list_transform(string_split(t, '-'), lambda x: upper(x[1]) || x[2:]), ' ') title FROM w"""
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given pages with a record of a part as JSON-LD, as a script's string and as table rows."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), "p_name", "p_brand", "p_size")
+    posting = F.to_json(F.struct(F.lit("JobPosting").alias("@type"), F.col("p_name").alias("description"), F.struct(F.col("p_brand").alias("name")).alias("hiringOrganization"), F.struct(F.struct(F.lit("Town").alias("addressLocality"), F.col("p_size").cast("string").alias("addressRegion")).alias("address")).alias("jobLocation")))
+    ld = F.when(F.col("page_id") % 3 == 0, posting).when(F.col("page_id") % 3 == 1, F.concat(F.lit('{"@graph": [{"@type": "Page"}, '), posting, F.lit("]}"))).otherwise(F.concat(F.lit('[{"@type": "Other"}, '), posting, F.lit("]")))
+    offers = F.to_json(F.struct(F.array(F.struct(F.col("p_name").alias("title"), F.col("p_size").alias("size"))).alias("offers")))
+    quoted = F.regexp_replace(F.regexp_replace(offers, r"\\", r"\\\\"), '"', r'\\"')
+    cells = F.concat(F.lit("<table><tr><td>REF-"), F.col("page_id").cast("string"), F.lit("</td><td>"), F.col("p_brand"), F.lit("</td><td><b>"), F.col("p_size").cast("string"), F.lit("</b></td><td>a &amp; b</td></tr><tr><td>no</td></tr></table>"))
+    extra = p.select("page_id", F.concat(F.lit('<script type="application/ld+json">'), ld, F.lit('</script><script>x = JSON.parse("'), quoted, F.lit('")</script><table><tr><td>REF-first</td></tr></table>'), cells).alias("extra"))
+    return table(spark, sf_dir, "pages").join(extra, "page_id").withColumn("html", F.concat(F.coalesce("html", F.lit("")), "extra"))
+
+
+def q_page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _pages(spark, sf_dir)
+    ld = pages.extract_jsonld(p)
+    offers = pages.parse_embedded_json(p, "struct<offers: array<struct<title: string, size: int>>>", "offers").select("page_id", F.col("item.title").alias("offer"), F.col("item.size").alias("size"))
+    rows = pages.extract_html_table(p, 2, "REF-").select("page_id", F.array_join("values", "|").alias("cells"))
+    return ld.join(offers, "page_id").join(rows, "page_id")
+
+
+O_PAGE_RECORDS = """SELECT page_id, p_brand organisation, 'Town' locality, CAST(p_size AS VARCHAR) region, p_name description, p_name offer, CAST(p_size AS INTEGER) size, 'REF-' || page_id || '|' || p_brand || '|' || p_size || '|a & b' AS cells FROM pages JOIN part ON p_partkey = page_id"""
+
+
+def q_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract_description(table(spark, sf_dir, "pages"), [r'<div\b[^>]*class="description"[^>]*>']).select("page_id", F.length("text").alias("n_chars"), F.md5("text").alias("text"))
+
+
 QUERIES = {
     "text_labels": (q_labels, O_LABELS), "listing_gates": (q_gates, O_GATES), "listing_views": (q_views, O_VIEWS), "normalised_listings": (q_normalised, O_NORMALISED), "channel_union": (q_channels, O_CHANNELS), "capture_validity": (q_captures, O_CAPTURES), "audit_sources": (q_audit, O_AUDIT), "channel_comparison": (q_comparisons, O_COMPARISONS),
     "decision_counts": (q_decisions, O_DECISIONS), "last_rejected": (q_last_rejected, O_LAST_REJECTED), "term_frequency": (q_term_frequency, O_TERM_FREQUENCY), "health_board": (q_health, O_HEALTH), "key_sets": (q_key_sets, O_KEY_SETS), "lookup_cascade": (q_lookup, O_LOOKUP), "gap_fallback": (q_gaps, O_GAPS), "cycle_history": (q_history, O_HISTORY),
-    "sources_united": (q_sources_united, O_SOURCES_UNITED),
+    "sources_united": (q_sources_united, O_SOURCES_UNITED), "sitemap_slugs": (q_sitemap, O_SITEMAP), "page_records": (q_page_records, O_PAGE_RECORDS), "page_descriptions": (q_descriptions, None),
 }

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from sievemill.functions import features
 from sievemill.operators import coverage
-from sievemill.plans.queries import LOCATIONS, table
+from sievemill.plans.queries import LOCATIONS, O_LEDGER, listings_view, table, told
+from sievemill.plans.queries import TERMINAL as TERMINALS
 from sievemill.sources import feeds
 from sievemill.streaming import streams
 
@@ -162,15 +163,36 @@ def _scratch(spark: SparkSession) -> str:
 
 def q_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _scratch(spark)
-    counts = streams.cycle_windows(streams.table_stream(spark, sf_dir, "events"), "ts", "event_type", "15 minutes")
-    write = lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/out")
-    counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/out").withColumn("start", F.unix_timestamp("start"))
+    streams.windows_kept(streams.table_stream(spark, sf_dir, "events"), "ts", "event_type", "15 minutes", "1 day", f"{path}/out", f"{path}/state")
+    return streams.latest_windows(spark, f"{path}/out", "event_type").withColumn("start", F.unix_timestamp("start"))
 
 
 O_WINDOWS = "SELECT CAST(floor(epoch(ts) / 900) * 900 AS BIGINT) AS start, event_type, count(*) n FROM events GROUP BY 1, 2"
 
 
+def q_stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _scratch(spark)
+    streams.listing_cycles(listings_view(streams.table_stream(spark, sf_dir, "documents")), told, TERMINALS, f"{path}/out", f"{path}/state")
+    return spark.read.parquet(f"{path}/out").drop("batch").withColumn("outcomes", F.size("outcomes"))
+
+
+def q_heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _scratch(spark)
+    runs = streams.table_stream(spark, sf_dir, "events").select(F.col("user_id").alias("source"), "ts", (F.col("event_type") == "purchase").alias("complete"))
+    streams.missing_heartbeats(runs, "source", 43_200).writeStream.format("parquet").outputMode("append").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("source long, ts timestamp").parquet(f"{path}/out")
+
+
+def q_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _scratch(spark)
+    first = streams.seen_with_ttl(streams.table_stream(spark, sf_dir, "events").select("user_id", "ts"), "ts", ["user_id"], "60 days")
+    first.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("user_id long, ts timestamp").parquet(f"{path}/out").groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+O_FIRST_SEEN = "SELECT user_id, 1 n FROM events GROUP BY 1"
+
+
 def q_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _scratch(spark)
     stream = streams.table_stream(spark, sf_dir, "events").select("user_id", "event_id")
@@ -224,5 +246,5 @@ QUERIES = {
     "run_summary": (q_runs, O_RUNS),
     "run_payload": (q_payload, O_PAYLOAD),
     "text_facts": (q_facts, O_FACTS), "json_feed": (q_json_feed, O_JSON_FEED), "rss_feed": (q_rss, O_RSS), "page_links": (q_links, O_LINKS), "provider_summary": (q_summary, O_SUMMARY), "coverage_rollup": (q_rollup, O_ROLLUP), "reconcile": (q_reconcile, O_RECONCILE), "coverage_report": (q_report, None),
-    "stream_windows": (q_windows, O_WINDOWS), "stream_unseen": (q_unseen, O_UNSEEN),
+    "stream_ledger": (q_stream_ledger, O_LEDGER), "stream_heartbeats": (q_heartbeats, None), "stream_first_seen": (q_first_seen, O_FIRST_SEEN), "stream_windows": (q_windows, O_WINDOWS), "stream_unseen": (q_unseen, O_UNSEEN),
 }

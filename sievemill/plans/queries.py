@@ -153,8 +153,12 @@ O_RELEVANCE = _RELEVANCE + " SELECT job_id, status, score, family, needs_descrip
 
 
 def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decide(listings(spark, sf_dir))
+
+
+def decide(rows: DataFrame) -> DataFrame:
     """New, relevant and eligible listings, and why every other one was dropped."""
-    rows = listings(spark, sf_dir).withColumn("aliases", F.array(F.concat(F.lit("alias-"), "job_id")))
+    rows = rows.withColumn("aliases", F.array(F.concat(F.lit("alias-"), "job_id")))
     rows = relevance.classify_relevance(rows)
     seen = rows.where("seq % 11 = 0").select("source", "job_id")
     fresh = joins.anti_seen(rows, seen).select("source", "job_id", F.lit(False).alias("is_seen"))
@@ -181,9 +185,16 @@ def q_outcome_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 O_STATS = f"""SELECT source provider, count(*) detected, {", ".join(f"count(*) FILTER (WHERE outcome = '{n}') {n}" for n in ("seen", "sent", "delivery_failed", "discarded_location", "discarded_include", "discarded_exclude", "discarded_time_window", "unverified_time_window"))} FROM ({O_OUTCOMES}) GROUP BY 1"""
 
 
+TERMINAL = ["seen", "sent", "delivery_failed", "discarded_location", "discarded_include", "discarded_exclude", "discarded_time_window", "unverified_time_window"]
+
+
+def told(rows: DataFrame) -> DataFrame:
+    """(source, key, outcome) of listings; some are left without an outcome."""
+    return decide(rows).select("source", F.col("job_id").alias("key"), F.when(F.col("job_id").cast("long") % 13 > 0, F.col("outcome")).alias("outcome"))
+
+
 def q_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _outcomes(spark, sf_dir).select("source", F.col("job_id").alias("key"), F.when(F.col("job_id").cast("long") % 13 > 0, F.col("outcome")).alias("outcome"))
-    out = tables.build_ledger_batches(rows, ["seen", "sent", "delivery_failed", "discarded_location", "discarded_include", "discarded_exclude", "discarded_time_window", "unverified_time_window"])
+    out = tables.build_ledger_batches(told(listings(spark, sf_dir)), TERMINAL)
     return out.withColumn("outcomes", F.size("outcomes"))
 
 

@@ -9,7 +9,7 @@ from sievemill.functions.text import squash
 from sievemill.functions.times import parse_ts
 
 
-def read_jsonl_window(spark: SparkSession, path: str, start: str, end: str, time_field: str = "timestamp") -> DataFrame:
+def read_jsonl_window(spark: SparkSession, path: str | list[str], start: str, end: str, time_field: str = "timestamp") -> DataFrame:
     """JSON lines as (value, ts, state); state is ok, malformed or invalid_timestamp.
 
     Blank lines are skipped, objects outside start..end (both included) dropped; the others are
