@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from sievemill.llm.common import settle, table
 
 SHAPES, WORD_SLOTS, META_SLOTS = 1 << 12, 1 << 13, 1 << 8
+FIT_TASKS = 6
 #: What ``score`` adds.
 ADDED = ("text_score", "meta_score", "score", "keep")
 
@@ -52,7 +53,8 @@ def meta_view(docs: DataFrame, meta_cols: list[str], size_col: str | None) -> Da
 
 
 def _fit(rows: DataFrame, features: str) -> LogisticRegressionModel:
-    return LogisticRegression(featuresCol=features, labelCol="label", maxIter=20, regParam=0.001).fit(rows)
+    # Training rows are bounded, so few tasks carry the many short jobs of a fit.
+    return LogisticRegression(featuresCol=features, labelCol="label", maxIter=20, regParam=0.001).fit(rows.coalesce(FIT_TASKS))
 
 
 def _margin(df: DataFrame, model: LogisticRegressionModel, features: str, out: str) -> DataFrame:
