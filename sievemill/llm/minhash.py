@@ -3,10 +3,13 @@
 Two permutations make all coordinates of a signature: the first places a shingle in a universe
 of 2**20 positions, the second, read circularly from that position, gives one value per
 coordinate; the signature is the minimum over the shingles. Documents that share a band meet in
-a bucket. A first round verifies every member of a few bands' buckets against the smallest one on
-full shingle sets and joins what is linked. A bucket whose members are all connected is done; the
-rest is compared in pairs of blocks of bounded size, which give only links that connect
-something new. So no link between different texts is lost and pairs never become rows.
+a bucket. A first round verifies every member of a few bands' buckets against the one that meets
+the most others, on full shingle sets, and joins what is linked. A bucket whose members are all
+connected is done. For the rest, sets that reach the threshold share one of their rarest shingles
+(as many as may be missing, and one), so only members that share such a shingle are compared:
+pairs become rows where few hold it, and shingles that many hold are compared in pairs of blocks of
+bounded size, which give only links that connect something new. So no link between different
+texts is lost and no group is ever written out as all its pairs.
 """
 
 from __future__ import annotations
@@ -23,8 +26,8 @@ from pyspark.sql import functions as F
 from sievemill.llm.common import components, settle, table
 
 WORDS, COORDINATES, BANDS, BITS, SEED = 5, 160, 32, 20, 20241
-#: Bands that the first round takes; shingles of a block of the second.
-FIRST_BANDS, BLOCK_SHINGLES = 4, 500_000
+#: Bands that the first round takes; holders of a rare shingle that are paired; shingles of a block.
+FIRST_BANDS, PAIR_MEMBERS, BLOCK_SHINGLES = 4, 64, 500_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MEMO_WORDS = 400_000
 
@@ -153,7 +156,50 @@ def _block_links(percent: int):
     return run
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = 85, coordinates: int = COORDINATES, bands: int = BANDS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``pairs`` (a, b, ...) whose full sets confirm the link."""
+    left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).drop("sa", "sb")
+
+
+def _rare_shingles(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(token, id, n, component): shingles of which linked members hold at least one in common.
+
+    In one order of all shingles, rarest first, a set of n that needs ``need`` common ones can miss
+    n - need of them, so the first n - need + 1 hold one. Those held once pair nothing and go.
+    """
+    tokens = sets.join(members.select("id"), "id", "left_semi").select("id", F.explode("shingles").alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
+    ranked = tokens.join(often, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("held", "token"))).alias("found"))
+    need = F.expr(f"int((n * {int(percent)} + 99) div 100)")
+    taken = ranked.join(members, "id").withColumn("take", F.size("found") + 1 - need).where("take > 0")
+    return taken.select(F.explode(F.slice("found", F.lit(1), F.col("take"))).alias("one"), "id", "n", "component").select("one.token", "id", "n", "component")
+
+
+def _open_links(members: DataFrame, sets: DataFrame, percent: int, pair_members: int, block_shingles: int) -> DataFrame:
+    """Links (a, b) between components of ``members`` (id, n, component) that their sets confirm."""
+    rare = settle(_rare_shingles(members, sets, percent), "minhash-rare")
+    holders = rare.groupBy("token").agg(
+        F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"), F.expr("bit_xor(xxhash64(id))").alias("x"), F.expr("bit_xor(xxhash64(id, 1))").alias("y")
+    )
+    # Shingles with the same holders give the same pairs: one of them is enough.
+    holders = holders.where("low < high").groupBy("members", "x", "y").agg(F.min(F.struct("token", "low")).alias("one"))
+    rare = settle(rare.join(holders.select("one.token", "one.low", "members"), "token"), "minhash-held")
+    few = rare.where(F.col("members") <= pair_members)
+    left, right = few.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")), few.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
+    paired = _linked(pairs.select("a", "b", "ca", "cb").distinct(), sets, percent).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    many = rare.where(F.col("members") > pair_members)
+    group = components(many.select(F.col("component").alias("a"), F.col("low").alias("b")).distinct(), "minhash-groups").toDF("component", "group")
+    many = many.select("id", "n", "component").distinct().join(group, "component")
+    blocks = many.groupBy("group").agg(F.ceil(F.sum("n") / block_shingles).alias("blocks"))
+    many = many.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    many = many.select("id", "component", "group", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    return paired.union(many.join(sets, "id").groupBy("group", "x", "y").applyInArrow(_block_links(percent), "a long, b long"))
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = 85, coordinates: int = COORDINATES, bands: int = BANDS, pair_members: int = PAIR_MEMBERS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Documents are linked when 100 * |intersection| >= percent * |union| of their shingle sets.
@@ -167,28 +213,21 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = settle(texts.mapInArrow(_signed(words, coordinates, bands), "doc_id long, n_shingles long, same string, bands array<long>"), "minhash-signed")
     classes = signed.where("doc_id IS NOT NULL AND same IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     rows = classes.select("id", "n", F.posexplode("bands").alias("at", "band"))
-    shared = rows.groupBy("band").agg(F.count("*").alias("members")).where("members > 1").select("band")
-    active = settle(rows.join(shared, "band", "left_semi"), "minhash-active")
-    ids = active.select("id").distinct()
+    shared = rows.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
+    active = settle(rows.join(shared, "band"), "minhash-active")
+    ids = settle(active.groupBy("id").agg(F.sum("members").alias("met")), "minhash-ids")
     sets = settle(texts.join(ids, texts.doc_id == ids.id, "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(words), "id long, shingles array<long>"), "minhash-sets")
-    # First the bulk: in a few bands, the smallest id of each bucket against its other members.
-    first = active.where(F.col("at") < FIRST_BANDS)
-    lead = first.groupBy("band").agg(F.min(F.struct("id", "n")).alias("lead")).select("band", F.col("lead.id").alias("a"), F.col("lead.n").alias("na"))
+    # First the bulk: in a few bands, the member of each bucket that meets the most others against the rest.
+    first = active.where(F.col("at") < FIRST_BANDS).join(ids, "id")
+    lead = first.groupBy("band").agg(F.min(F.struct((-F.col("met")).alias("met"), "id", "n")).alias("lead")).select("band", F.col("lead.id").alias("a"), F.col("lead.n").alias("na"))
     pairs = first.join(lead, "band").where((F.col("id") != F.col("a")) & (100 * F.least("n", "na") >= percent * F.greatest("n", "na"))).select("a", F.col("id").alias("b")).distinct()
-    left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    links = pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
-    place = settle(ids.join(components(links, "minhash-first"), "id", "left").select("id", F.coalesce("component", "id").alias("component")), "minhash-place")
-    # Then what that left open: buckets that hold several components, by groups of such buckets.
+    links = _linked(pairs, sets, percent)
+    place = settle(ids.select("id").join(components(links, "minhash-first"), "id", "left").select("id", F.coalesce("component", "id").alias("component")), "minhash-place")
+    # Then what that left open: buckets that hold several components.
     now = active.join(place, "id")
-    open_ = now.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "low")
-    now = settle(now.join(open_, "band").select("id", "n", "component", "low"), "minhash-open")
-    group = components(now.select(F.col("component").alias("a"), F.col("low").alias("b")).distinct(), "minhash-groups").toDF("component", "group")
-    members = now.select("id", "n", "component").distinct().join(group, "component")
-    blocks = members.groupBy("group").agg(F.ceil(F.sum("n") / block_shingles).alias("blocks"))
-    members = members.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    members = members.select("id", "component", "group", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    more = members.join(sets, "id").groupBy("group", "x", "y").applyInArrow(_block_links(percent), "a long, b long")
+    open_ = now.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
+    members = settle(now.join(open_, "band").select("id", "n", "component").distinct(), "minhash-open")
+    more = _open_links(members, sets, percent, pair_members, block_shingles)
     merged = components(more, "minhash-last").toDF("component", "root")
     place = place.join(merged, "component", "left").select("id", F.coalesce("root", "component").alias("component"))
     known = classes.select("same", "id").join(place, "id", "left").select("same", F.coalesce("component", "id").alias("component"))

@@ -33,8 +33,8 @@ def test_hot_group_chains_and_odd_rows(spark):
     rows += [(2000, None), (2001, ""), (2002, " \n"), (2003, "One two"), (2004, "one  TWO"), (2005, "É two"), (2006, "é two"), (None, rows[0][1])]
     rows += [(3000 + i, rows[5][1]) for i in range(20)]
     df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, component long, band string")
-    for block in (500_000, 5_000):
-        got = [tuple(x) for x in minhash.near_components(df, block_shingles=block).collect()]
+    for held, block in ((64, 500_000), (2, 500_000), (2, 5_000)):
+        got = [tuple(x) for x in minhash.near_components(df, pair_members=held, block_shingles=block).collect()]
         key = lambda x: (x[0] is None, x[0] or 0)
         assert sorted(got, key=key) == brute(rows)
 
@@ -50,3 +50,13 @@ def test_signature_estimates_jaccard():
     a, b = np.arange(1000, dtype=np.uint64), np.arange(200, 1200, dtype=np.uint64)
     same = (minhash.signature(a) == minhash.signature(b)).mean()
     assert abs(same - 800 / 1200) < 0.15
+
+
+def test_copies_linked_only_through_their_source(spark):
+    r = random.Random(7)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(f"z{r.random()}" if k in cut else w for k, w in enumerate(base))) for i in range(80) for cut in [set(r.sample(range(400), 6))]]
+    rows += [(500, " ".join(base)), (501, " ".join(base[:200] + [f"v{i}" for i in range(200)]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for held in (64, 2):
+        assert sorted(tuple(x) for x in minhash.near_components(df, pair_members=held).collect()) == brute(rows)
