@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Folders written by ``settle`` in this session, for ``sweep``.
 _SCRATCH: list[str] = []
+#: The temporary folder that serves in local mode where none is set.
+_OWN: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,8 +29,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="spark-sievemill-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="spark-sievemill-"))
+        found = _OWN[0]
     return found.rstrip("/")
 
 
