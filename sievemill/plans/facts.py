@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemill.functions import catalogs, gates, times
+from sievemill.functions import catalogs, experience, gates, times
 from sievemill.operators import inventory
 from sievemill.plans.queries import VIEW, _sql_list, listings, table
 from sievemill.sources import pages
@@ -17,6 +17,9 @@ SAID = [
     "Guardias rotativas, plan de pensiones, máster", "Beca comedor para todos; PhD or engineering degree", "", "Sin más datos que estos", "event-driven and serverless with postgres, training budget", "Autónomo o freelance, semana de 4 días, retribución flexible",
 ]
 
+#: Demands put behind the texts, so that every rule of experience is met.
+ASKED = ["Imprescindible de 2 a 5 años en el sector", "Somos una empresa con 20 años de historia", "Se valorará un mínimo de 3 años", "At least 4 years", "Sin experiencia previa", "Prácticas en verano", "Buscamos un senior", "6+ years", "Empresa con 12 años de experiencia", "Over 8 years required", "De 1 a 2 años"]
+
 
 def _at(values: list[str], i):
     return F.element_at(F.array(*[F.lit(v) for v in values]), (i + 1).cast("int"))
@@ -26,6 +29,16 @@ def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), _at(SAID, F.col("doc_id") % len(SAID))).alias("text"))
 
 
+def asking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): whole texts with a demand behind each."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(". "), _at(ASKED, F.col("doc_id") % len(ASKED))).alias("text"))
+
+
+def q_experience(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = asking(spark, sf_dir).select("doc_id", experience.experience_details(F.col("text")).alias("told")).select("doc_id", "told.*")
+    return told.withColumn("skills", F.array_join("skills", ","))
+
+
 def q_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     text, low = F.col("text"), F.col("low")
     told = {"stack": catalogs.tech_stack(text, low=low)} | {name: catalogs.labels(text, c, low) for name, c in catalogs.CATALOGS.items()}
@@ -283,5 +296,5 @@ def q_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "text_labels": (q_labels, O_LABELS), "listing_gates": (q_gates, O_GATES), "listing_views": (q_views, O_VIEWS), "normalised_listings": (q_normalised, O_NORMALISED), "channel_union": (q_channels, O_CHANNELS), "capture_validity": (q_captures, O_CAPTURES), "audit_sources": (q_audit, O_AUDIT), "channel_comparison": (q_comparisons, O_COMPARISONS),
     "decision_counts": (q_decisions, O_DECISIONS), "last_rejected": (q_last_rejected, O_LAST_REJECTED), "term_frequency": (q_term_frequency, O_TERM_FREQUENCY), "health_board": (q_health, O_HEALTH), "key_sets": (q_key_sets, O_KEY_SETS), "lookup_cascade": (q_lookup, O_LOOKUP), "gap_fallback": (q_gaps, O_GAPS), "cycle_history": (q_history, O_HISTORY),
-    "sources_united": (q_sources_united, O_SOURCES_UNITED), "sitemap_slugs": (q_sitemap, O_SITEMAP), "page_records": (q_page_records, O_PAGE_RECORDS), "page_descriptions": (q_descriptions, None),
+    "sources_united": (q_sources_united, O_SOURCES_UNITED), "sitemap_slugs": (q_sitemap, O_SITEMAP), "page_records": (q_page_records, O_PAGE_RECORDS), "page_descriptions": (q_descriptions, None), "experience_details": (q_experience, None),
 }
