@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievemill.llm import ann, chat, exact, html_main, minhash, packing, pieces, quality, repeats, rules, secrets
+from sievemill.llm import ann, chat, exact, html_main, minhash, negatives, packing, pieces, quality, repeats, rules, secrets, spelling
 
 QUERIES = {
     "op1_quality_cotraining": quality.query,
@@ -15,11 +15,15 @@ QUERIES = {
     "op8_chat_format": chat.query,
     "op9_nearest_neighbours": ann.query,
     "op10_packing": packing.query,
+    "op11_hard_negatives": negatives.query,
+    "op12_spelling_variants": spelling.query,
     "op13_rule_ledger": rules.query,
 }
 ORACLES = {
     "op5_minhash_near_dedup": minhash.ORACLE,
     "op6_exact_dedup": exact.ORACLE,
     "op8_chat_format": chat.ORACLE,
+    "op11_hard_negatives": negatives.ORACLE,
+    "op12_spelling_variants": spelling.ORACLE,
     "op13_rule_ledger": rules.ORACLE,
 }
