@@ -13,7 +13,7 @@ def parse_ts(c: Column) -> Column:
     c = F.trim(c)
     epoch = F.when(c.rlike(r"^-?\d+(\.\d+)?$"), F.timestamp_seconds(F.when(c.rlike(r"^-?\d+(\.\d+)?$"), c).try_cast("double")))
     iso = F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}"), c).try_cast("timestamp")
-    mail = F.try_to_timestamp(F.regexp_replace(c, r"^[A-Za-z]{3},\s*", ""), F.lit("d MMM yyyy HH:mm:ss Z"))
+    mail = F.try_to_timestamp(F.regexp_replace(F.regexp_replace(c, r"^[A-Za-z]{3},\s*", ""), r"\s(?:GMT|UTC?|Z)$", " +0000"), F.lit("d MMM yyyy HH:mm:ss Z"))
     return F.coalesce(epoch, iso, mail)
 
 

@@ -26,8 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def listings_view(docs: DataFrame) -> DataFrame:
-    """Documents seen as listings: a pure projection."""
+def listings_view(docs: DataFrame, *more: str) -> DataFrame:
+    """Documents seen as listings: a pure projection. Columns of ``more`` are kept."""
     pick = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), (i + 1).cast("int"))
     d = F.col("doc_id")
     return docs.select(
@@ -39,7 +39,7 @@ def listings_view(docs: DataFrame) -> DataFrame:
         F.concat(F.lit("HTTPS://Jobs.Example.com/View//"), (d % 500 + 100000).cast("string"), F.lit("/?utm_source=x&ref=y&f_TPR=r"), (d % 5 * 900).cast("string"), F.lit("&id="), d.cast("string"), F.lit("#top")).alias("url"),
         F.col("text").alias("description"),
         F.concat(F.lit("Hace "), (d % 90).cast("string"), F.lit(" minutos")).alias("posted_text"),
-        d.alias("seq"),
+        d.alias("seq"), *more,
     )
 
 
