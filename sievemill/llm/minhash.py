@@ -116,7 +116,8 @@ def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(text, words).view(np.int64) for text in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_pydict({"id": batch["doc_id"], "shingles": pa.array(sets, pa.list_(pa.int64()))})
+            same = [xxhash.xxh3_128_hexdigest(x.tobytes()) if len(x) else None for x in sets]
+            yield pa.RecordBatch.from_pydict({"same": pa.array(same, pa.string()), "shingles": pa.array(sets, pa.list_(pa.int64()))})
 
     return run
 
@@ -204,19 +205,24 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents are linked when 100 * |intersection| >= percent * |union| of their shingle sets.
     ``component_id`` is the smallest ``doc_id`` reachable over links and ``kept`` marks it.
-    Texts with equal sets count as one class before candidates are sought. Null and empty texts
-    have no shingles and link with nothing; a row without ``doc_id`` is linked with nothing, has a
-    null component and is kept. Repeated rows give repeated results; an empty table gives none;
-    other columns are ignored.
+    Texts with equal sets count as one class before candidates are sought. Rows that share a
+    ``doc_id`` are one document with several texts, so they are linked whatever they say; all of its
+    rows have its component and ``kept``. Null and empty texts have no shingles and link with nothing
+    but texts of the same document; a row without ``doc_id`` is linked with nothing, has a null
+    component and is kept. Repeated rows give repeated results; an empty table gives none; other
+    columns are ignored.
     """
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     signed = settle(texts.mapInArrow(_signed(words, coordinates, bands), "doc_id long, n_shingles long, same string, bands array<long>"), "minhash-signed")
-    classes = signed.where("doc_id IS NOT NULL AND same IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    told = signed.where("doc_id IS NOT NULL AND same IS NOT NULL").withColumn("id", F.xxhash64("same"))
+    classes = settle(told.groupBy("id").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "minhash-classes")
     rows = classes.select("id", "n", F.posexplode("bands").alias("at", "band"))
     shared = rows.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
     active = settle(rows.join(shared, "band"), "minhash-active")
     ids = settle(active.groupBy("id").agg(F.sum("members").alias("met")), "minhash-ids")
-    sets = settle(texts.join(ids, texts.doc_id == ids.id, "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(words), "id long, shingles array<long>"), "minhash-sets")
+    docs_read = classes.join(ids, "id", "left_semi").select(F.col("doc").alias("doc_id")).distinct()
+    found = texts.join(docs_read, "doc_id", "left_semi").mapInArrow(_sets(words), "same string, shingles array<long>")
+    sets = settle(found.where("same IS NOT NULL").select(F.xxhash64("same").alias("id"), "shingles").dropDuplicates(["id"]), "minhash-sets")
     # First the bulk: in a few bands, the member of each bucket that meets the most others against the rest.
     first = active.where(F.col("at") < FIRST_BANDS).join(ids, "id")
     lead = first.groupBy("band").agg(F.min(F.struct((-F.col("met")).alias("met"), "id", "n")).alias("lead")).select("band", F.col("lead.id").alias("a"), F.col("lead.n").alias("na"))
@@ -230,8 +236,15 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = _open_links(members, sets, percent, pair_members, block_shingles)
     merged = components(more, "minhash-last").toDF("component", "root")
     place = place.join(merged, "component", "left").select("id", F.coalesce("root", "component").alias("component"))
-    known = classes.select("same", "id").join(place, "id", "left").select("same", F.coalesce("component", "id").alias("component"))
-    return signed.select("doc_id", "n_shingles", "same").join(known, "same", "left").select(
+    # A component is called by its smallest document; texts of one document then join their components.
+    owned = place.join(classes.select("id", "doc"), "id")
+    least = owned.groupBy("component").agg(F.min("doc").alias("least"))
+    named = classes.select("id", "doc").join(place.join(least, "component").select("id", "least"), "id", "left").select("id", F.coalesce("least", "doc").alias("least"))
+    doc_links = settle(told.select("id", "doc_id").join(named, "id").select("doc_id", "least").distinct(), "minhash-least")
+    several = doc_links.groupBy("doc_id").agg(F.min("least").alias("a"), F.max("least").alias("b")).where("a < b").select("doc_id", "a")
+    joined = components(doc_links.join(several, "doc_id").select(F.col("least").alias("a"), F.col("a").alias("b")), "minhash-docs").toDF("least", "root")
+    known = doc_links.groupBy("doc_id").agg(F.min("least").alias("least")).join(joined, "least", "left").select("doc_id", F.coalesce("root", "least").alias("component"))
+    return signed.select("doc_id", "n_shingles").join(known, "doc_id", "left").select(
         "doc_id",
         "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),

@@ -14,7 +14,9 @@ def brute(rows: list[tuple], percent: int = 85) -> list[tuple]:
 
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] and sets[j] and rows[i][0] is not None and rows[j][0] is not None:
+            if rows[i][0] is not None and rows[i][0] == rows[j][0] and sets[i] and sets[j]:
+                root[find(i)] = find(j)
+            elif sets[i] and sets[j] and rows[i][0] is not None and rows[j][0] is not None:
                 both = len(sets[i] & sets[j])
                 if 100 * both >= percent * len(sets[i] | sets[j]):
                     root[find(i)] = find(j)
@@ -60,3 +62,13 @@ def test_copies_linked_only_through_their_source(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for held in (64, 2):
         assert sorted(tuple(x) for x in minhash.near_components(df, pair_members=held).collect()) == brute(rows)
+
+
+def test_texts_that_share_an_id(spark):
+    """(1, A), (1, B), (2, A'), (3, B'): one document with two texts links both sides; a long chain of such ids too."""
+    text = lambda name, cut=0: " ".join(f"{name}{i}" for i in range(60 - cut))
+    rows = [(10, text("a")), (10, text("b")), (20, text("a", 1)), (30, text("b", 1)), (40, text("c")), (40, text("c")), (40, ""), (50, text("c", 1)), (5, text("d")), (60, text("d", 1))]
+    rows += [(100 + k // 2, text(f"k{(k + 1) // 2}", k % 2)) for k in range(24)] + [(7, text("a", 60)), (7, None)]
+    random.Random(3).shuffle(rows)
+    got = sorted(tuple(x) for x in minhash.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute(rows) and {c for d, _, c, _ in got if d in (10, 20, 30)} == {10} and {c for d, _, c, _ in got if d >= 100} == {100}
