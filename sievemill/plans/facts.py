@@ -289,12 +289,8 @@ def q_page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 O_PAGE_RECORDS = """SELECT page_id, p_brand organisation, 'Town' locality, CAST(p_size AS VARCHAR) region, p_name description, p_name offer, CAST(p_size AS INTEGER) size, 'REF-' || page_id || '|' || p_brand || '|' || p_size || '|a & b' AS cells FROM pages JOIN part ON p_partkey = page_id"""
 
 
-def q_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.extract_description(table(spark, sf_dir, "pages"), [r'<div\b[^>]*class="description"[^>]*>']).select("page_id", F.length("text").alias("n_chars"), F.md5("text").alias("text"))
-
-
 QUERIES = {
     "text_labels": (q_labels, O_LABELS), "listing_gates": (q_gates, O_GATES), "listing_views": (q_views, O_VIEWS), "normalised_listings": (q_normalised, O_NORMALISED), "channel_union": (q_channels, O_CHANNELS), "capture_validity": (q_captures, O_CAPTURES), "audit_sources": (q_audit, O_AUDIT), "channel_comparison": (q_comparisons, O_COMPARISONS),
     "decision_counts": (q_decisions, O_DECISIONS), "last_rejected": (q_last_rejected, O_LAST_REJECTED), "term_frequency": (q_term_frequency, O_TERM_FREQUENCY), "health_board": (q_health, O_HEALTH), "key_sets": (q_key_sets, O_KEY_SETS), "lookup_cascade": (q_lookup, O_LOOKUP), "gap_fallback": (q_gaps, O_GAPS), "cycle_history": (q_history, O_HISTORY),
-    "sources_united": (q_sources_united, O_SOURCES_UNITED), "sitemap_slugs": (q_sitemap, O_SITEMAP), "page_records": (q_page_records, O_PAGE_RECORDS), "page_descriptions": (q_descriptions, None), "experience_details": (q_experience, None),
+    "sources_united": (q_sources_united, O_SOURCES_UNITED), "sitemap_slugs": (q_sitemap, O_SITEMAP), "page_records": (q_page_records, O_PAGE_RECORDS), "experience_details": (q_experience, None),
 }

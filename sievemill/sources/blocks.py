@@ -12,6 +12,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -187,7 +188,7 @@ def compile_all(selectors: tuple[str, ...]) -> list[Callable[[Page, int], bool]]
 
 
 def select_blocks(pages: DataFrame, selectors: list[str], silent: tuple[str, ...] = SILENT, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(page_id, selector, node, tag, text): one row per element that one of ``selectors`` takes.
+    """(page_id, selector, node, tag, attributes, text): one row per element that one of ``selectors`` takes.
 
     ``selector`` is the place in the list, ``node`` the place in the page; texts have single blanks.
     Elements inside ``silent`` ones are not seen. Null pages have no elements; repeated rows repeat.
@@ -197,18 +198,41 @@ def select_blocks(pages: DataFrame, selectors: list[str], silent: tuple[str, ...
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
-            for page_id, source in zip(batch["page_id"], batch["html"].to_pylist(), strict=True):
-                page = Page(source or "", silent)
-                for n, test in enumerate(tests):
-                    for node in page.select(test):
-                        for column, value in zip(rows, (page_id, n, node, page.tag[node], page.text(node)), strict=True):
-                            column.append(value)
-            types = (batch.schema.field("page_id").type, pa.int32(), pa.int32(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([v.as_py() if isinstance(v, pa.Scalar) else v for v in c], t) for c, t in zip(rows, types, strict=True)], names=["page_id", "selector", "node", "tag", "text"])
+            rows = [
+                (page_id, n, node, page.tag[node], list(page.attrs[node].items()), page.text(node))
+                for page_id, source in zip(batch["page_id"].to_pylist(), batch["html"].to_pylist(), strict=True) for page in [Page(source or "", silent)]
+                for n, test in enumerate(tests) for node in page.select(test)
+            ]
+            types = (batch.schema.field("page_id").type, pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string())
+            columns = list(zip(*rows, strict=True)) or [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["page_id", "selector", "node", "tag", "attributes", "text"])
 
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).cast("string").alias("html"))
-    return rows.mapInArrow(run, f"page_id {kind.simpleString()}, selector int, node int, tag string, text string")
+    return rows.mapInArrow(run, f"page_id {kind.simpleString()}, selector int, node int, tag string, attributes map<string, string>, text string")
+
+
+def json_objects(rows: DataFrame, value: str, having: list[str], path: str) -> DataFrame:
+    """``rows`` with ``at`` and ``found``: every object within the JSON text ``value`` that holds all keys of ``having``.
+
+    Objects are found at whatever depth, those within a found one too. The walk takes one level after the
+    other: a level is a table below ``path``, made from the one before by ``variant_explode``, so a
+    lost executor costs one level at most. ``at`` is the way to the object by places (members of an
+    object count by the order of their names); it sorts an object before what it holds. Texts that are
+    null or no JSON hold nothing.
+    """
+    spark, columns = rows.sparkSession, [c for c in rows.columns if c != value]
+    rows.select(*columns, F.array().cast("array<int>").alias("at"), F.try_parse_json(F.col(value).cast("string")).alias("found")).where("found IS NOT NULL").write.mode("overwrite").parquet(f"{path}/level=0")
+    kept = ", ".join(f"l.`{c}`" for c in columns)
+    depth, hits = 0, []
+    while not (level := spark.read.parquet(f"{path}/level={depth}")).isEmpty():
+        has = F.lit(True)
+        for key in having:
+            has = has & F.variant_get("found", f"$['{key}']", "variant").isNotNull()
+        hits.append(level.where(F.schema_of_variant("found").startswith("OBJECT") & has))
+        below = spark.sql(f"SELECT {kept}{', ' if kept else ''}concat(l.at, array(e.pos)) AS at, e.value AS found FROM {{level}} l, LATERAL variant_explode(l.found) e", level=level)
+        depth += 1
+        below.write.mode("overwrite").parquet(f"{path}/level={depth}")
+    return reduce(DataFrame.unionByName, hits) if hits else level
 
 
 # Where public job pages keep their descriptions.

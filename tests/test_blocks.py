@@ -1,5 +1,6 @@
 """The page scanner against the standard library's parser, selectors, descriptions, and cards by spec."""
 
+import json
 import random
 import time
 from html.parser import HTMLParser
@@ -126,3 +127,36 @@ def test_a_bad_spec_is_an_error(wrong):
     blocks.SourceSpec(**good)
     with pytest.raises(ValueError):
         blocks.SourceSpec(**(good | wrong))
+
+
+def test_json_objects_at_any_depth(spark, tmp_path):
+    rng = random.Random(4)
+
+    def value(depth):
+        kind = rng.random()
+        if depth == 0 or kind < 0.3:
+            return rng.choice([1, None, "x", True, 2.5, [], {}])
+        if kind < 0.6:
+            return [value(depth - 1) for _ in range(rng.randint(0, 3))]
+        return {k: value(depth - 1) for k in rng.sample(["title", "url", "job request", "z"], rng.randint(0, 4))}
+
+    def walk(v, at=()):
+        if isinstance(v, dict):
+            if {"title", "job request"} <= set(v):
+                yield list(at), v
+            for n, k in enumerate(sorted(v)):
+                yield from walk(v[k], (*at, n))
+        elif isinstance(v, list):
+            for n, x in enumerate(v):
+                yield from walk(x, (*at, n))
+
+    deep = {"title": 1, "job request": None}
+    for _ in range(60):
+        deep = [deep, {"title": deep}]
+        deep = [deep[0]] if rng.random() < 0.9 else {"z": deep[0]}
+    texts = [json.dumps(v) for v in [*(value(7) for _ in range(60)), deep]] + ["{broken", None, "", "3"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "page_id long, text string, at string").withColumnRenamed("at", "note")
+    got = sorted((r.page_id, r.at, json.loads(r.j)) for r in blocks.json_objects(df, "text", ["title", "job request"], f"{tmp_path}/walk").selectExpr("page_id", "at", "to_json(found) AS j").collect())
+    want = sorted((i, at, v) for i, t in enumerate(texts[:61]) for at, v in walk(json.loads(t)))
+    assert [g[:2] for g in got] == [w[:2] for w in want] and all(g[2] == w[2] for g, w in zip(got, want, strict=True)) and want
+    assert blocks.json_objects(df.limit(0), "text", ["a"], f"{tmp_path}/none").count() == 0
