@@ -7,8 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievemill.functions.keys import canonical_url, numeric_id, url_param
-from sievemill.functions.text import norm_text, squash
+from sievemill.functions.keys import canonical_url, posting_id, url_id, url_param
+from sievemill.functions.text import norm_text, strip
 
 # Placeholders of a place, in normal form, and the length of a whole description.
 MISSING_PLACES = ("", "ubicacion no indicada", "location not specified")
@@ -24,17 +24,41 @@ def is_missing_location(location: Column) -> Column:
     return norm_text(location).isin(*MISSING_PLACES)
 
 
+# What stands for a missing title, company and place.
+NO_TITLE, NO_COMPANY, NO_PLACE = "Oferta", "Empresa no indicada", "Ubicación no indicada"
+
+
 def normalise_listing(df: DataFrame) -> DataFrame:
-    """Listings with cleaned texts, canonical URL, numeric id where there is one, distinct aliases.
+    """Listings with their canonical URL and id, filled placeholders, and the ids they had before as aliases.
+
+    The id is the posting's number where id or URL tell one, else a digest of the canonical URL, else
+    what it was. ``aliases`` are distinct, in order: those given, the id given, the digest; never the
+    own id, never empty. Blank titles, companies and places get their placeholder; nulls are blank.
+    Columns other than title, company, location, url, job_id and aliases stay as they are.
+    """
+    fill = lambda c, other: F.coalesce(F.nullif(strip(F.col(c)), F.lit("")), F.lit(other))
+    filled = {c: fill(c, other) for c, other in (("title", NO_TITLE), ("company", NO_COMPANY), ("location", NO_PLACE)) if c in df.columns}
+    rows = df.withColumns(filled).withColumn("url", canonical_url(F.col("url"), "view")).withColumn("__raw", F.col("job_id")).withColumn("__old", url_id(F.col("url")))
+    rows = rows.withColumn("job_id", F.coalesce(posting_id(F.col("__raw"), F.col("url")), "__old", "__raw"))
+    given = F.coalesce("aliases", F.array().cast("array<string>")) if "aliases" in df.columns else F.array().cast("array<string>")
+    every = F.array_compact(F.concat(given, F.array("__raw", "__old")))
+    rows = rows.withColumn("aliases", F.array_distinct(F.filter(every, lambda a: (a != "") & (F.col("job_id").isNull() | (a != F.col("job_id"))))))
+    return rows.select(*df.columns, *([] if "aliases" in df.columns else ["aliases"]))
 
-    Placeholders of places become empty; aliases keep their order and never hold the own id.
+
+def guard_card(df: DataFrame, longest: int = 25) -> DataFrame:
+    """Cards whose company or place repeats the title get the placeholder instead.
+
+    A field that equals or holds the title, whatever their case, is taken for a misread one if it
+    has over ``longest`` characters. Null fields get the placeholder, null titles are empty.
     """
-    clean = {c: squash(F.col(c)) for c in ("title", "company") if c in df.columns}
-    rows = df.withColumns(clean).withColumn("location", F.when(is_missing_location(F.col("location")), "").otherwise(squash(F.col("location"))))
-    rows = rows.withColumn("job_id", F.coalesce(numeric_id(F.col("job_id"), F.col("url")), squash(F.col("job_id")))).withColumn("url", canonical_url(F.col("url"), "view"))
-    if "aliases" in df.columns:
-        rows = rows.withColumn("aliases", F.array_remove(F.array_distinct(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), squash)), F.col("job_id")))
-    return rows.select(df.columns)
+    title = F.lower(strip(F.col("title")))
+
+    def kept(c: str, other: str) -> Column:
+        said = strip(F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(other)))
+        return F.when(F.contains(F.lower(said), title) & (F.length(said) > longest), other).otherwise(said)
+
+    return df.withColumns({"company": kept("company", NO_COMPANY), "location": kept("location", NO_PLACE)})
 
 
 def remote_scope(source: Column, urls: Column, candidate: str, host: str, param: str = "f_WT", value: str = "2") -> Column:

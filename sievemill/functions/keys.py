@@ -83,3 +83,20 @@ def numeric_id(job_id: Column, url: Column) -> Column:
 def canonical_identity(job_id: Column, url: Column) -> Column:
     """``id:`` and digits where found, else ``url:`` and the canonical URL."""
     return F.coalesce(F.concat(F.lit("id:"), numeric_id(job_id, url)), F.concat(F.lit("url:"), canonical_url(url, "view")))
+
+
+def posting_id(job_id: Column, url: Column) -> Column:
+    """The posting's number of six digits or more that an id (``jobPosting:…``) or a view's URL tells, else null."""
+    number = lambda c: F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), r"(?:jobPosting:|/jobs/view/(?:[^/?#]*-)?)(\d{6,})", 1), F.lit(""))
+    return F.coalesce(number(job_id), number(url))
+
+
+def url_id(url: Column) -> Column:
+    """24 hex digits over the canonical URL (as in a view); null for none."""
+    link = canonical_url(url, "view")
+    return F.when(link != "", F.substring(F.sha2(link, 256), 1, 24))
+
+
+def listing_fingerprint(title: Column, company: Column, location: Column) -> Column:
+    """Title, company and place in lower case with single spaces, joined by bars."""
+    return F.concat_ws("|", lower_squash(title), lower_squash(company), lower_squash(location))

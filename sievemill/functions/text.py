@@ -16,6 +16,11 @@ def squash(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
 
 
+def strip(c: Column) -> Column:
+    """Without white space at both ends; null is empty."""
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+
+
 def lower_squash(c: Column) -> Column:
     """``squash`` in lower case."""
     return F.lower(squash(c))

@@ -140,6 +140,16 @@ def detected_in(cycles: DataFrame) -> DataFrame:
     return cycles.groupBy("provider").agg(F.sum(_count(F.col("detected"))).alias("expected"))
 
 
+def expected_detected(cycles: DataFrame, closed: DataFrame) -> DataFrame:
+    """(provider, expected): rows detected in the cycles that closed a batch of the provider.
+
+    A provider without a closed batch has all its cycles counted, so that its ledger is found
+    missing instead of empty.
+    """
+    ended = closed.where("closed_ts IS NOT NULL").select("provider").distinct()
+    return detected_in(completed_cycles(cycles, closed)).unionByName(detected_in(cycles.join(ended, "provider", "left_anti")))
+
+
 def validation_snapshot(statuses: DataFrame) -> DataFrame:
     """How many sources have each status; a missing one is unknown."""
     name = F.trim(F.coalesce("status", F.lit("")))
@@ -158,7 +168,7 @@ def coverage_report(cycles: DataFrame, batches: DataFrame, providers: DataFrame,
     summary = provider_summary(cycles, counts, now, stale_minutes, min_ratio, providers)
     closed = asof_close(batches, cycles.select("provider", "ts"), delay_seconds, ["provider"])
     monitored = summary.select("provider", (F.col("status") != "not_monitored").alias("monitored"))
-    expected = monitored.join(detected_in(completed_cycles(cycles, closed)), "provider", "left")
+    expected = monitored.join(expected_detected(cycles, closed), "provider", "left")
     told = reconcile(closed, expected, terminal_outcomes)
     each = apply_reconciliation(summary, told).join(told.select("provider", "expected", F.col("detected").alias("audited"), "pending_detected"), "provider", "left")
     seen = cycles.select("ts").distinct().count()

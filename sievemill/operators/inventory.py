@@ -52,26 +52,65 @@ def capture_validity(captures: DataFrame, tolerance: int = 120) -> DataFrame:
     return captures.withColumn("reasons", reasons).withColumn("valid", F.size("reasons") == 0)
 
 
-def audit_source(reference: DataFrame, extracted: DataFrame, eligible: Callable[[DataFrame], Column]) -> DataFrame:
-    """Per source: matched, missing, extra and eligible rows missing, with a status.
+# What in a failure's name says that a source is shut off.
+SHUT = ("http_403", "http_429", "challenge")
+
+
+def audit_source(reference: DataFrame, extracted: DataFrame, eligible: Callable[[DataFrame], Column], failures: DataFrame | None = None) -> DataFrame:
+    """Per source: matched, missing, extra and eligible rows missing, with status and reason.
 
     Both sides have source and key; ``eligible`` tells a reference row that should have been found.
-    A source is ``validated`` when no eligible row is missing, ``failed`` otherwise, and
-    ``no_reference`` when the reference holds none.
+    ``failures`` (source, reference_failure, blocked_reason; one row each, texts may be null) comes
+    first: a shut-off reference or source is ``blocked``, other failures are ``degraded``. Else the
+    source is ``pending_validation`` without a reference, ``degraded`` if eligible rows are missing,
+    and ``validated``.
     """
     want = reference.withColumn("__wanted", eligible(reference)).groupBy("source", "key").agg(F.bool_or("__wanted").alias("wanted"))
     got = extracted.select("source", "key", F.lit(True).alias("got")).distinct()
     rows = want.withColumn("told", F.lit(True)).join(got, ["source", "key"], "full_outer")
     told, has = F.coalesce("told", F.lit(False)), F.coalesce("got", F.lit(False))
     out = rows.groupBy("source").agg(F.count_if(told & has).alias("matched"), F.count_if(told & ~has).alias("missing"), F.count_if(~told).alias("extra"), F.count_if(told & ~has & F.coalesce("wanted", F.lit(False))).alias("eligible_missing"))
-    status = F.when(F.col("matched") + F.col("missing") == 0, "no_reference").when(F.col("eligible_missing") == 0, "validated").otherwise("failed")
-    return out.withColumn("status", status)
+    if failures is None:
+        failures = out.select("source", F.lit("").alias("reference_failure"), F.lit("").alias("blocked_reason")).limit(0)
+    out = out.join(failures.select("source", "reference_failure", "blocked_reason"), "source", "full_outer").fillna(0, ["matched", "missing", "extra", "eligible_missing"])
+    name = lambda c: F.coalesce(F.col(c), F.lit(""))
+    shut = lambda c: F.coalesce(F.col(c), F.lit("")).rlike("|".join(SHUT))
+    ref, own = name("reference_failure"), name("blocked_reason")
+    verdict = lambda status, reason: F.struct(F.lit(status).alias("status"), (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"))
+    ladder = (
+        F.when(shut("reference_failure"), verdict("blocked", ref))
+        .when(shut("blocked_reason"), verdict("blocked", own))
+        .when(own != "", verdict("degraded", own))
+        .when(ref != "", verdict("degraded", ref))
+        .when(F.col("matched") + F.col("missing") == 0, verdict("pending_validation", "reference_empty"))
+        .when(F.col("eligible_missing") > 0, verdict("degraded", "eligible_offers_missing"))
+        .otherwise(verdict("validated", "coverage_ok"))
+    )
+    return out.withColumn("__v", ladder).select("source", "matched", "missing", "extra", "eligible_missing", "__v.status", "__v.reason")
+
+
+def comparison_counts(runs: DataFrame) -> DataFrame:
+    """Per run what its audit found: matches, only_production, only_reference, api_rate_limited, eligible_absences.
+
+    ``runs`` has run_id, the audit's numbers ``matches``, ``only_bot``, ``only_reference`` and
+    ``eligible_absences`` (null: 0) and ``urls``, an array of structs whose ``api`` is a state; a null
+    array has none.
+    """
+    number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    limited = F.coalesce(F.size(F.filter("urls", lambda u: u["api"] == "rate_limited")), F.lit(0))
+    return runs.select("run_id", number("matches").alias("matches"), number("only_bot").alias("only_production"), number("only_reference").alias("only_reference"), F.greatest(limited, F.lit(0)).cast("long").alias("api_rate_limited"), number("eligible_absences").alias("eligible_absences"))
 
 
-def comparison_counts(urls: DataFrame) -> DataFrame:
-    """Per run how often both channels agree: counts of equal and different states of a URL."""
-    same = F.lower(F.trim("extension")).eqNullSafe(F.lower(F.trim("api")))
-    return urls.groupBy("run_id").agg(F.count("*").alias("urls"), F.count_if(same).alias("agreed"), F.count_if(~same).alias("differed"), F.count_if(F.col("api").isNull()).alias("api_missing"), F.count_if(F.col("extension").isNull()).alias("extension_missing"))
+def channel_ages(runs: DataFrame, now: str, by: list[str]) -> DataFrame:
+    """Per ``by`` the seconds since the last extension run, complete one, API run and fallback; null without one.
+
+    ``runs`` has ts, channel (extension or api), complete and fallback; null flags are false.
+    """
+    old = lambda which: (F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(F.max(F.when(which, F.col("ts"))))).cast("long")
+    mine, flag = F.col("channel") == "extension", lambda c: F.coalesce(F.col(c), F.lit(False))
+    api = F.col("channel") == "api"
+    ages = [old(mine).alias("extension_received"), old(mine & flag("complete")).alias("extension_complete"), old(api).alias("api_run"), old(api & flag("fallback")).alias("fallback")]
+    return runs.groupBy(*by).agg(*ages, F.coalesce(F.max_by(flag("complete"), F.when(api, F.col("ts"))) & (F.count_if(api) > 0), F.lit(False)).alias("last_api_ok"))
 
 
 def last_n_per_group(df: DataFrame, n: int, by: str, order: str, reach: int | None = None) -> DataFrame:
@@ -94,22 +133,28 @@ def term_frequency(df: DataFrame, stack: Column, description: str, leak: str, ke
 
 
 def health_board(stats: DataFrame, enabled: DataFrame) -> DataFrame:
-    """State of each enabled provider in the newest cycle: paused, blocked, error, ok, empty or quarantine.
+    """State and reason of every provider of the newest cycle, and of enabled ones absent from it (quarantine).
 
-    ``stats`` has cycle, provider, paused, blocked_reason, errors and detected; ``enabled`` has
-    provider. A provider absent from the newest cycle is in quarantine.
+    ``stats`` has cycle, provider, validation_status (a boolean, null: none), http_429, blocked_reason
+    and detected; ``enabled`` has provider and, where told, reason. In this order: a failed
+    validation is ``paused``, any 429 ``blocked``, a reason ``error``, detected rows ``ok``, else ``empty``.
     """
     newest = stats.agg(F.max("cycle").alias("cycle"))
-    now = latest_per_key(stats.join(F.broadcast(newest), "cycle", "left_semi"), "provider", "cycle")  # one row
+    now = latest_per_key(stats.join(F.broadcast(newest), "cycle", "left_semi"), "provider", "cycle").drop("reason")  # one row
+    told = F.col("reason") if "reason" in enabled.columns else F.lit(None).cast("string")
+    asked = enabled.select("provider", told.alias("__told")).groupBy("provider").agg(F.max("__told").alias("__told"))
+    why = F.nullif(F.col("blocked_reason"), F.lit(""))
+    verdict = lambda state, reason: F.struct(F.lit(state).alias("state"), reason.cast("string").alias("reason"))
+    none = F.lit(None)
     state = (
-        F.when(F.col("cycle").isNull(), "quarantine")
-        .when(F.coalesce("paused", F.lit(False)), "paused")
-        .when(F.coalesce("blocked_reason", F.lit("")) != "", "blocked")
-        .when(F.coalesce("errors", F.lit(0)) > 0, "error")
-        .when(F.coalesce("detected", F.lit(0)) > 0, "ok")
-        .otherwise("empty")
+        F.when(F.col("cycle").isNull(), verdict("quarantine", F.coalesce("__told", F.lit("Pendiente de validación"))))
+        .when(F.coalesce(~F.col("validation_status"), F.lit(False)), verdict("paused", F.coalesce(why, F.lit("Validación pendiente"))))
+        .when(F.coalesce("http_429", F.lit(0)) > 0, verdict("blocked", F.lit("Rate Limit / Captcha")))
+        .when(why.isNotNull(), verdict("error", why))
+        .when(F.coalesce("detected", F.lit(0)) > 0, verdict("ok", none))
+        .otherwise(verdict("empty", none))
     )
-    return enabled.select("provider").distinct().join(now, "provider", "left").select("provider", state.alias("state"))
+    return asked.join(now, "provider", "full_outer").select("provider", state.alias("v")).select("provider", "v.*")
 
 
 def count_keys(store: DataFrame, key: str) -> DataFrame:
@@ -124,19 +169,31 @@ def key_sets(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return held.select(key, F.when(F.size("sides") == 2, "both").otherwise(F.col("sides")[0]).alias("side"))
 
 
-def lookup_cascade(df: DataFrame, args: DataFrame, order: str) -> DataFrame:
-    """For each argument the first listing that it names: by place, id, part of id, company or title.
+def lookup_cascade(df: DataFrame, args: DataFrame, order: str, most: int = 10_000) -> DataFrame:
+    """For each argument the first listing that it names: by place, part of id, company or title.
+
+    ``args`` (arg) is a small table of what users typed, of a checked size: at most ``most`` distinct
+    ones are broadcast, more are an error. ``df`` has job_id, company, title and ``place`` from 1. A
+    blank argument names the first listing. A number of under six digits is a place and nothing else,
+    so one out of range names nothing.
 
-    ``args`` (arg) is a small table of what users typed, of a checked size: at most 10,000 of them
-    are broadcast, more are an error. ``df`` has job_id, company, title and ``place`` from 1.
+    Arguments are found by the first three characters they have: rows are joined on the pieces of
+    their texts that some argument begins with, and only those pairs are compared in full.
     """
-    few = args.where(F.trim("arg") != "").select(F.trim("arg").alias("arg")).distinct()
-    if few.limit(10_001).count() > 10_000:
-        raise ValueError("look up at most 10,000 arguments at once")
-    low, has = F.lower("arg"), lambda c: F.lower(F.coalesce(F.col(c), F.lit(""))).contains(F.lower("arg"))
-    rank = F.when(F.col("place").cast("string") == F.col("arg"), 1).when(F.lower("job_id") == low, 2).when(has("job_id"), 3).when(has("company"), 4).when(has("title"), 5)
-    hits = df.join(F.broadcast(few), rank.isNotNull()).withColumn("rank", rank)
-    best = hits.groupBy("arg").agg(F.min_by(F.struct("job_id", "rank"), F.struct("rank", order)).alias("r"))
+    few = args.select(F.trim(F.coalesce("arg", F.lit(""))).alias("arg")).distinct().withColumn("low", F.lower("arg"))
+    if few.limit(most + 1).count() > most:
+        raise ValueError(f"look up at most {most} arguments at once")
+    is_place = F.col("arg").rlike("^[0-9]{1,5}$")
+    by_place = few.where(is_place | (F.col("arg") == "")).select("arg", F.when(F.col("arg") == "", 1).otherwise(F.col("arg").cast("int")).alias("place"))
+    placed = df.select("place", "job_id", F.col(order).alias("__order")).join(F.broadcast(by_place), "place").select("arg", F.lit(1).alias("rank"), "__order", "job_id")
+    words = few.where(~is_place & (F.col("arg") != "")).withColumn("piece", F.substring("low", 1, 3))
+    sizes = [r["n"] for r in words.select(F.length("piece").alias("n")).distinct().collect()]  # at most 1, 2, 3
+    texts = F.array(*[F.struct(F.lit(rank).alias("rank"), F.lower(F.coalesce(F.col(c), F.lit(""))).alias("said")) for rank, c in ((2, "job_id"), (3, "company"), (4, "title"))])
+    rows = df.select("job_id", F.col(order).alias("__order"), F.explode(texts).alias("t")).select("job_id", "__order", "t.*")
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("said") - n + 1, F.lit(1))), lambda at: F.substring("said", at, F.lit(n)))
+    pieces = F.array_distinct(F.flatten(F.array(*map(cut, sizes)))) if sizes else F.array().cast("array<string>")
+    found = rows.withColumn("piece", F.explode(pieces)).join(F.broadcast(words), "piece").where(F.contains("said", "low")).select("arg", "rank", "__order", "job_id")
+    best = placed.unionByName(found).groupBy("arg").agg(F.min_by(F.struct("job_id", "rank"), F.struct("rank", "__order")).alias("r"))
     return best.select("arg", "r.job_id", "r.rank")
 
 

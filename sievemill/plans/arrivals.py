@@ -24,7 +24,7 @@ def in_turn(spark: SparkSession, parts: list[DataFrame], path: str, take: Callab
 HOURS = 12
 
 
-def q_heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_silences(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _scratch(spark)
     runs = table(spark, sf_dir, "events").select(F.col("user_id").alias("source"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "purchase").alias("complete"))
     weeks = [runs.where(F.ceil(F.day("ts") / 8) == n) for n in range(1, 5)]
@@ -37,7 +37,7 @@ def q_heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("source long, ts timestamp").parquet(f"{path}/out").groupBy("source", F.date_trunc("day", "ts").alias("day")).agg(F.count("*").alias("alarms"), F.sum(F.unix_millis("ts")).alias("ms")).withColumn("day", F.unix_timestamp("day"))
 
 
-O_HEARTBEATS = f"""WITH e AS (SELECT user_id source, epoch_us(ts) // 1000 ms, event_type = 'purchase' AS complete FROM events), w AS (SELECT max(ms) w FROM e),
+O_SILENCES = f"""WITH e AS (SELECT user_id source, epoch_us(ts) // 1000 ms, event_type = 'purchase' AS complete FROM events), w AS (SELECT max(ms) w FROM e),
  m AS (SELECT source, ms FROM e WHERE complete UNION SELECT source, min(ms) FROM e GROUP BY 1), n AS (SELECT source, ms, lead(ms) OVER (PARTITION BY source ORDER BY ms) until FROM m),
  a AS (SELECT source, unnest(range(ms + 2 * {HOURS * 3600_000}, least(coalesce(until, w + 1), w + 1), {HOURS * 3600_000})) ms FROM n, w)
  SELECT source, CAST(floor(ms / 86400000) * 86400 AS BIGINT) AS day, count(*) alarms, CAST(sum(ms) AS BIGINT) ms FROM a GROUP BY 1, 2"""
@@ -104,5 +104,5 @@ O_UNSEEN = "SELECT user_id, min(event_id) event_id FROM events GROUP BY 1"
 
 
 QUERIES = {
-    "stream_heartbeats": (q_heartbeats, O_HEARTBEATS), "stream_outcomes": (q_outcomes, O_ONCE), "stream_recovery": (q_recovery, O_RECOVERY), "stream_unseen": (q_unseen, O_UNSEEN),
+    "stream_silences": (q_silences, O_SILENCES), "stream_outcomes": (q_outcomes, O_ONCE), "stream_recovery": (q_recovery, O_RECOVERY), "stream_unseen": (q_unseen, O_UNSEEN),
 }

@@ -111,12 +111,21 @@ O_VIEWS = VIEW + """SELECT 'local' kind, job_id FROM v WHERE contains(location,
 
 
 def q_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = listings(spark, sf_dir).withColumn("aliases", F.array(F.lit(" a "), F.col("job_id"), F.lit("a"), F.lit("b"))).withColumn("location", F.when(F.col("seq") % 4 == 0, " Ubicación  no indicada").otherwise(F.col("location")))
-    return gates.normalise_listing(v).select("seq", "title", "location", "job_id", "url", F.array_join("aliases", ",").alias("aliases"))
+    n = F.col("seq")
+    v = listings(spark, sf_dir).withColumn("aliases", F.when(n % 5 > 0, F.array(F.lit("a"), F.col("job_id"), F.lit(""), F.lit("a"), F.lit("b")))).withColumn("location", F.when(n % 4 == 0, "  ").otherwise(F.concat(F.lit(" "), "location")))
+    v = v.withColumn("url", F.when(n % 3 == 0, F.concat(F.lit(" https://www.example.com/jobs/view/data-dev-"), (n + 1_000_000).cast("string"), F.lit("/?trk=x#y"))).when(n % 7 == 1, "").otherwise(F.col("url")))
+    v = v.withColumn("job_id", F.when(n % 11 == 2, F.concat(F.lit("jobPosting:"), (n + 7_000_000).cast("string"))).otherwise(F.col("job_id"))).withColumn("title", F.when(n % 6 == 1, " \n").otherwise(F.col("title")))
+    v = v.withColumn("company", F.when(n % 9 == 3, F.concat(F.col("title"), F.lit(" at a long name of a company"))).when(n % 9 == 4, None).otherwise(F.col("company")))
+    guarded = gates.guard_card(v).select(n.alias("at"), F.col("company").alias("guarded"))
+    return gates.normalise_listing(v).join(guarded, n == F.col("at")).select("seq", "title", "company", "guarded", "location", "job_id", "url", F.array_join("aliases", ",").alias("aliases"))
 
 
-O_NORMALISED = VIEW + r"""SELECT seq, title, CASE WHEN seq % 4 = 0 THEN '' ELSE location END AS location, CAST(CASE WHEN seq >= 100000 THEN seq ELSE seq % 500 + 100000 END AS VARCHAR) job_id,
- 'HTTPS://Jobs.Example.com/View//' || (seq % 500 + 100000) url, 'a,' || CASE WHEN seq < 100000 THEN job_id || ',' ELSE '' END || 'b' aliases FROM v"""
+O_NORMALISED = VIEW + r""", w AS (SELECT seq, CASE WHEN seq % 6 = 1 THEN '' ELSE title END title, CASE WHEN seq % 6 = 1 THEN chr(32) || chr(10) ELSE title END raw_title, company, CASE WHEN seq % 4 = 0 THEN '' ELSE trim(location) END AS location, CASE WHEN seq % 11 = 2 THEN 'jobPosting:' || (seq + 7000000) ELSE job_id END raw,
+ CASE WHEN seq % 3 = 0 THEN 'https://www.example.com/jobs/view/data-dev-' || (seq + 1000000) WHEN seq % 7 = 1 THEN '' ELSE 'HTTPS://Jobs.Example.com/View//' || (seq % 500 + 100000) END url FROM v),
+ x AS (SELECT *, CASE WHEN seq % 9 = 3 THEN trim(raw_title || ' at a long name of a company', ' ' || chr(10)) WHEN seq % 9 = 4 THEN '' ELSE company END comp, CASE WHEN url <> '' THEN substr(sha256(url), 1, 24) END old FROM w),
+ y AS (SELECT *, CASE WHEN seq % 11 = 2 THEN CAST(seq + 7000000 AS VARCHAR) WHEN seq % 3 = 0 THEN CAST(seq + 1000000 AS VARCHAR) ELSE coalesce(old, raw) END id, CASE WHEN seq % 5 > 0 THEN ['a', CAST(seq AS VARCHAR), 'b', raw, old] ELSE [raw, old] END every FROM x)
+ SELECT seq, CASE WHEN title = '' THEN 'Oferta' ELSE title END title, CASE WHEN comp = '' THEN 'Empresa no indicada' ELSE comp END company, CASE WHEN comp = '' OR (contains(lower(comp), lower(title)) AND length(comp) > 25) THEN 'Empresa no indicada' ELSE comp END guarded,
+ CASE WHEN location = '' THEN 'Ubicación no indicada' ELSE location END AS location, id job_id, url, array_to_string(list_filter(every, lambda e, i: e IS NOT NULL AND e <> id AND list_position(every, e) = i), ',') aliases FROM y"""
 
 
 def q_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,22 +154,35 @@ O_CAPTURES = """WITH r AS (SELECT o_orderkey id, concat_ws(',', CASE WHEN o_orde
 
 def q_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 20).alias("source"), F.col("l_partkey").alias("key"), "l_linenumber")
-    return inventory.audit_source(li.where("l_linenumber <= 3 AND source <> 4"), li.where("l_linenumber >= 2"), lambda df: df.key % 5 == 0)
+    n = F.col("n_nationkey")
+    ref = F.when(n == 1, "http_403 at page 2").when(n == 2, "timeout").when(n == 6, "parse_error").when(n == 7, "")
+    own = F.when(n.isin(1, 3), "challenge_page").when(n == 5, "parse_error").when(n == 6, "http_429").when(n == 8, "")
+    failures = table(spark, sf_dir, "nation").where(n < 22).select(n.cast("long").alias("source"), ref.alias("reference_failure"), own.alias("blocked_reason"))
+    return inventory.audit_source(li.where("l_linenumber <= 3 AND source <> 4"), li.where("l_linenumber >= 2"), lambda df: (df.key % 5 == 0) & (df.source % 3 > 0), failures)
 
 
 O_AUDIT = """WITH li AS (SELECT l_suppkey % 20 AS source, l_partkey AS key, l_linenumber n FROM lineitem), r AS (SELECT DISTINCT source, key FROM li WHERE n <= 3 AND source <> 4), x AS (SELECT DISTINCT source, key FROM li WHERE n >= 2),
  j AS (SELECT coalesce(r.source, x.source) AS source, r.key rk, x.key xk FROM r FULL JOIN x ON r.source = x.source AND r.key = x.key),
- c AS (SELECT source, count(*) FILTER (WHERE rk IS NOT NULL AND xk IS NOT NULL) matched, count(*) FILTER (WHERE xk IS NULL) missing, count(*) FILTER (WHERE rk IS NULL) extra, count(*) FILTER (WHERE xk IS NULL AND rk % 5 = 0) eligible_missing FROM j GROUP BY 1)
- SELECT *, CASE WHEN matched + missing = 0 THEN 'no_reference' WHEN eligible_missing = 0 THEN 'validated' ELSE 'failed' END status FROM c"""
+ c AS (SELECT source, count(*) FILTER (WHERE rk IS NOT NULL AND xk IS NOT NULL) matched, count(*) FILTER (WHERE xk IS NULL) missing, count(*) FILTER (WHERE rk IS NULL) extra, count(*) FILTER (WHERE xk IS NULL AND rk % 5 = 0 AND source % 3 > 0) eligible_missing FROM j GROUP BY 1),
+ a AS (SELECT n.source, coalesce(matched, 0) matched, coalesce(missing, 0) missing, coalesce(extra, 0) extra, coalesce(eligible_missing, 0) eligible_missing FROM (SELECT CAST(n_nationkey AS BIGINT) AS source FROM nation WHERE n_nationkey < 22) n LEFT JOIN c ON c.source = n.source)
+ SELECT *, CASE WHEN source IN (1, 3, 6) THEN 'blocked' WHEN source IN (2, 5) THEN 'degraded' WHEN matched + missing = 0 THEN 'pending_validation' WHEN eligible_missing > 0 THEN 'degraded' ELSE 'validated' END status,
+ CASE WHEN source = 1 THEN 'http_403 at page 2' WHEN source = 3 THEN 'challenge_page' WHEN source = 6 THEN 'http_429' WHEN source = 5 THEN 'parse_error' WHEN source = 2 THEN 'timeout' WHEN matched + missing = 0 THEN 'reference_empty' WHEN eligible_missing > 0 THEN 'eligible_offers_missing' ELSE 'coverage_ok' END reason FROM a"""
 
 
 def q_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return inventory.comparison_counts(e.select(F.col("user_id").alias("run_id"), F.when(F.col("event_id") % 5 > 0, F.upper("event_type")).alias("extension"), F.when(F.col("event_id") % 7 > 0, F.when(F.col("event_id") % 3 == 0, "view").otherwise(F.col("event_type"))).alias("api")))
+    e, v = table(spark, sf_dir, "events"), F.col("event_id")
+    state = F.when(v % 7 > 0, F.when(v % 3 == 0, "rate_limited").when(v % 3 == 1, "RATE_LIMITED").otherwise(F.col("event_type")))
+    count = lambda kind: F.when(F.col("user_id") % 5 > 0, F.count_if(F.col("event_type") == kind))
+    urls = F.when(F.col("user_id") % 6 > 0, F.collect_list(F.struct(F.col("event_type").alias("extension"), state.alias("api"))))
+    runs = e.groupBy("user_id").agg(count("view").alias("matches"), count("click").alias("only_bot"), count("error").alias("only_reference"), count("purchase").alias("eligible_absences"), urls.alias("urls")).withColumnRenamed("user_id", "run_id")
+    ages = e.select(F.col("user_id").alias("run_id"), "ts", F.when(v % 2 == 0, "extension").otherwise("api").alias("channel"), F.when(v % 5 > 0, v % 3 == 0).alias("complete"), (v % 4 == 1).alias("fallback"))
+    return inventory.comparison_counts(runs).join(inventory.channel_ages(ages, "2024-02-01 00:00:00", ["run_id"]), "run_id")
 
 
-O_COMPARISONS = """WITH e AS (SELECT user_id run_id, CASE WHEN event_id % 5 > 0 THEN event_type END x, CASE WHEN event_id % 7 > 0 THEN CASE WHEN event_id % 3 = 0 THEN 'view' ELSE event_type END END a FROM events)
- SELECT run_id, count(*) urls, count(*) FILTER (WHERE x IS NOT DISTINCT FROM a) agreed, count(*) FILTER (WHERE x IS DISTINCT FROM a) differed, count(*) FILTER (WHERE a IS NULL) api_missing, count(*) FILTER (WHERE x IS NULL) extension_missing FROM e GROUP BY 1"""
+O_COMPARISONS = """WITH e AS (SELECT *, CASE WHEN event_id % 7 > 0 THEN CASE event_id % 3 WHEN 0 THEN 'rate_limited' WHEN 1 THEN 'RATE_LIMITED' ELSE event_type END END api, CAST(epoch(TIMESTAMP '2024-02-01') - floor(epoch(ts)) AS BIGINT) age, event_id % 2 = 0 x, coalesce(event_id % 5 > 0 AND event_id % 3 = 0, false) done FROM events)
+ SELECT user_id run_id, CASE WHEN user_id % 5 > 0 THEN count(*) FILTER (WHERE event_type = 'view') ELSE 0 END matches, CASE WHEN user_id % 5 > 0 THEN count(*) FILTER (WHERE event_type = 'click') ELSE 0 END only_production, CASE WHEN user_id % 5 > 0 THEN count(*) FILTER (WHERE event_type = 'error') ELSE 0 END only_reference,
+ CASE WHEN user_id % 6 > 0 THEN count(*) FILTER (WHERE api = 'rate_limited') ELSE 0 END api_rate_limited, CASE WHEN user_id % 5 > 0 THEN count(*) FILTER (WHERE event_type = 'purchase') ELSE 0 END eligible_absences,
+ min(age) FILTER (WHERE x) extension_received, min(age) FILTER (WHERE x AND done) extension_complete, min(age) FILTER (WHERE NOT x) api_run, min(age) FILTER (WHERE NOT x AND event_id % 4 = 1) fallback, coalesce(arg_max(done, CASE WHEN NOT x THEN ts END), false) last_api_ok FROM e GROUP BY 1"""
 
 
 def q_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,13 +216,17 @@ def q_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.concat_ws("-", "event_type", (F.col("user_id") % 4).cast("string"))
     stats = e.groupBy(F.date_trunc("day", "ts").alias("cycle"), p.alias("provider")).agg(F.count("*").alias("n"))
     n = F.col("n")
-    stats = stats.select("cycle", "provider", (n % 7 == 0).alias("paused"), F.when(n % 5 == 0, "http_403").alias("blocked_reason"), F.when(n % 3 == 0, 1).alias("errors"), (n % 2).alias("detected"))
-    return inventory.health_board(stats, e.select(p.alias("provider")).union(e.limit(1).select(F.lit("absent"))))
+    g = F.ascii(F.substring("provider", 1, 1)) + F.ascii(F.substring("provider", -1, 1))
+    stats = stats.select("cycle", "provider", F.when(g % 5 > 0, g % 7 > 1).alias("validation_status"), F.when(g % 4 > 0, F.when(g % 8 == 1, 3).otherwise(0)).alias("http_429"), F.when(g % 3 == 0, "http_403").when(g % 3 == 1, "").alias("blocked_reason"), (n % 2).alias("detected"))
+    others = table(spark, sf_dir, "region").select(F.concat(F.lit("absent-"), F.col("r_regionkey").cast("string")), F.when(F.col("r_regionkey") % 2 == 0, F.lower("r_name")))
+    return inventory.health_board(stats, e.where("user_id % 4 < 2").select(p.alias("provider"), F.lit(None).cast("string").alias("reason")).union(others))
 
 
-O_HEALTH = """WITH s AS (SELECT date_trunc('day', ts) c, event_type || '-' || user_id % 4 provider, count(*) n FROM events GROUP BY 1, 2), p AS (SELECT DISTINCT provider FROM s UNION SELECT 'absent')
- SELECT p.provider, CASE WHEN n IS NULL THEN 'quarantine' WHEN n % 7 = 0 THEN 'paused' WHEN n % 5 = 0 THEN 'blocked' WHEN n % 3 = 0 THEN 'error' WHEN n % 2 > 0 THEN 'ok' ELSE 'empty' END state
- FROM p LEFT JOIN (SELECT * FROM s WHERE c = (SELECT max(c) FROM s)) s ON p.provider = s.provider"""
+O_HEALTH = """WITH s AS (SELECT date_trunc('day', ts) c, event_type || '-' || user_id % 4 provider, count(*) n, ascii(event_type) + ascii(CAST(user_id % 4 AS VARCHAR)) g FROM events GROUP BY 1, 2, 4),
+ now AS (SELECT provider, CASE WHEN g % 5 > 0 THEN g % 7 > 1 END ok, g % 4 > 0 AND g % 8 = 1 limited, g % 3 = 0 why, n % 2 > 0 found FROM s WHERE c = (SELECT max(c) FROM s)),
+ asked AS (SELECT DISTINCT event_type || '-' || user_id % 4 provider, NULL AS told FROM events WHERE user_id % 4 < 2 UNION ALL SELECT 'absent-' || r_regionkey, CASE WHEN r_regionkey % 2 = 0 THEN lower(r_name) END FROM region)
+ SELECT provider, CASE WHEN ok = false THEN 'paused' WHEN limited THEN 'blocked' WHEN why THEN 'error' WHEN found THEN 'ok' ELSE 'empty' END state, CASE WHEN ok = false THEN CASE WHEN why THEN 'http_403' ELSE 'Validación pendiente' END WHEN limited THEN 'Rate Limit / Captcha' WHEN why THEN 'http_403' END reason FROM now
+ UNION ALL SELECT provider, 'quarantine', coalesce(told, 'Pendiente de validación') FROM asked WHERE provider NOT IN (SELECT provider FROM now)"""
 
 
 def q_key_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,12 +239,13 @@ O_KEY_SETS = """SELECT o_custkey, CASE WHEN bool_or(o_orderkey % 2 = 0) AND bool
 
 def q_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = listings(spark, sf_dir).withColumn("place", F.col("seq") + 1)
-    args = table(spark, sf_dir, "nation").select(F.concat(F.col("n_nationkey").cast("string"), F.when(F.col("n_nationkey") % 2 == 0, "9").otherwise("")).alias("arg")).union(table(spark, sf_dir, "region").select(F.when(F.col("r_regionkey") == 0, "company 3").when(F.col("r_regionkey") == 1, "django").when(F.col("r_regionkey") == 2, "nowhere").otherwise(" ")))
-    return inventory.lookup_cascade(v, args, "seq")
+    n = F.col("n_nationkey")
+    typed = F.when(n < 5, n.cast("string")).when(n < 9, F.concat(F.lit("9999"), (n % 5).cast("string"))).when(n < 13, F.concat(F.lit("00"), n.cast("string"), F.lit("7777"))).when(n < 16, F.concat(F.lit("id-"), n.cast("string"))).when(n == 16, "COMPANY 3").when(n == 17, "django").when(n == 18, "nowhere").when(n == 19, " ").when(n == 20, " ny 1 ").when(n == 21, "x1").when(n == 22, "z")
+    return inventory.lookup_cascade(v.withColumn("job_id", F.concat(F.lit("ID-"), "job_id")), table(spark, sf_dir, "nation").select(typed.alias("arg")), "seq")
 
 
-O_LOOKUP = VIEW + """, a AS (SELECT DISTINCT trim(arg) arg FROM (SELECT n_nationkey || CASE WHEN n_nationkey % 2 = 0 THEN '9' ELSE '' END arg FROM nation UNION ALL SELECT CASE r_regionkey WHEN 0 THEN 'company 3' WHEN 1 THEN 'django' WHEN 2 THEN 'nowhere' ELSE ' ' END FROM region) WHERE trim(arg) <> ''),
- h AS (SELECT arg, job_id, seq, CASE WHEN CAST(seq + 1 AS VARCHAR) = arg THEN 1 WHEN job_id = arg THEN 2 WHEN contains(job_id, arg) THEN 3 WHEN contains(lower(company), arg) THEN 4 WHEN contains(lower(title), arg) THEN 5 END AS rank FROM v, a)
+O_LOOKUP = VIEW + """, a AS (SELECT DISTINCT trim(coalesce(CASE WHEN k < 5 THEN CAST(k AS VARCHAR) WHEN k < 9 THEN '9999' || k % 5 WHEN k < 13 THEN '00' || k || '7777' WHEN k < 16 THEN 'id-' || k WHEN k = 16 THEN 'COMPANY 3' WHEN k = 17 THEN 'django' WHEN k = 18 THEN 'nowhere' WHEN k = 19 THEN ' ' WHEN k = 20 THEN ' ny 1 ' WHEN k = 21 THEN 'x1' WHEN k = 22 THEN 'z' END, '')) arg FROM (SELECT n_nationkey k FROM nation)),
+ h AS (SELECT arg, 'ID-' || job_id job_id, seq, CASE WHEN arg = '' THEN CASE WHEN seq = 0 THEN 1 END WHEN regexp_full_match(arg, '[0-9]{1,5}') THEN CASE WHEN seq + 1 = CAST(arg AS BIGINT) THEN 1 END WHEN contains(lower('ID-' || job_id), lower(arg)) THEN 2 WHEN contains(lower(company), lower(arg)) THEN 3 WHEN contains(lower(title), lower(arg)) THEN 4 END AS rank FROM v, a)
  SELECT arg, arg_min(job_id, (rank, seq)) job_id, CAST(min(rank) AS INTEGER) AS rank FROM h WHERE rank IS NOT NULL GROUP BY 1"""
 
 

@@ -176,6 +176,13 @@ def q_stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{path}/out").drop("batch").withColumn("outcomes", F.size("outcomes"))
 
 
+def q_heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _scratch(spark)
+    runs = streams.table_stream(spark, sf_dir, "events").select(F.col("user_id").alias("source"), "ts", (F.col("event_type") == "purchase").alias("complete"))
+    streams.missing_heartbeats(runs, "source", 43_200).writeStream.format("parquet").outputMode("append").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("source long, ts timestamp").parquet(f"{path}/out")
+
+
 def q_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _scratch(spark)
     first = streams.seen_with_ttl(streams.table_stream(spark, sf_dir, "events").select("user_id", "ts"), "ts", ["user_id"], "60 days")
@@ -229,5 +236,5 @@ QUERIES = {
     "run_summary": (q_runs, O_RUNS),
     "run_payload": (q_payload, O_PAYLOAD),
     "text_facts": (q_facts, O_FACTS), "json_feed": (q_json_feed, O_JSON_FEED), "rss_feed": (q_rss, O_RSS), "page_links": (q_links, O_LINKS), "provider_summary": (q_summary, O_SUMMARY), "coverage_rollup": (q_rollup, O_ROLLUP), "reconcile": (q_reconcile, O_RECONCILE), "coverage_report": (q_report, None),
-    "stream_ledger": (q_stream_ledger, O_LEDGER), "stream_first_seen": (q_first_seen, O_FIRST_SEEN), "stream_windows": (q_windows, O_WINDOWS),
+    "stream_ledger": (q_stream_ledger, O_LEDGER), "stream_heartbeats": (q_heartbeats, None), "stream_first_seen": (q_first_seen, O_FIRST_SEEN), "stream_windows": (q_windows, O_WINDOWS),
 }

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sievemill.operators.tables import build_ledger_batches
 
@@ -59,6 +61,30 @@ def late_or_pending(batches: DataFrame, cycles: DataFrame, by: str, delay: str)
     return left.join(right, inside, "left_outer").drop("__by")
 
 
+def missing_heartbeats(runs: DataFrame, key: str, interval_seconds: int) -> DataFrame:
+    """(key, ts) whenever a run finds no complete one in the last two intervals; ``stateful`` has alarms by timers.
+
+    ``runs`` is a stream of (key, ts, complete) in order of time. The first run starts the clock, a
+    complete one sets it back, and an alarm isn't repeated within an interval.
+    """
+    wait = pd.Timedelta(seconds=interval_seconds)
+
+    def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, issued = (pd.Timestamp(x) if x is not None else None for x in (state.get if state.exists else (None, None)))
+        out = []
+        for row in pd.concat(frames).sort_values("ts", kind="stable").itertuples():
+            if last is None or row.complete:
+                last, issued = row.ts, None
+            elif row.ts - last >= 2 * wait and (issued is None or row.ts - issued >= wait):
+                issued = row.ts
+                out.append(row.ts)
+        state.update((last.to_pydatetime(), issued.to_pydatetime() if issued is not None else None))
+        yield pd.DataFrame({key: [name[0]] * len(out), "ts": pd.Series(out, dtype="datetime64[ns]")})
+
+    kind = runs.schema[key].dataType.simpleString()
+    return runs.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, ts timestamp", "last timestamp, issued timestamp", "append", GroupStateTimeout.NoTimeout)
+
+
 def recovery_backfill(batch: DataFrame, recent: Column, complete: Column, pending: bool) -> tuple[DataFrame, bool]:
     """(rows to take, whether recovery goes on): while it is pending only recent rows pass.
 
