@@ -125,6 +125,18 @@ def decision_counts(decisions: DataFrame, now: str, hours: int = 24) -> DataFram
     return decisions.where(F.col("ts") >= since).groupBy("status").agg(F.count("*").alias("n"))
 
 
+def last_decisions(decisions: DataFrame, now: str, hours: int = 24, n: int = 10) -> DataFrame:
+    """The newest ``n`` decisions of each status of the last ``hours``, with ``place`` from 1 and the status's total ``n``.
+
+    Reads key, status and ts; ties by key. A list of ``n`` per status is the report; the totals count all.
+    """
+    since = F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(0), F.lit(hours))
+    recent = decisions.where(F.col("ts") > since)
+    newest = Window.partitionBy("status").orderBy(F.desc("ts"), "key")
+    listed = recent.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= n)
+    return listed.join(recent.groupBy("status").agg(F.count("*").alias("n")), "status")
+
+
 def term_frequency(df: DataFrame, stack: Column, description: str, leak: str, key: str, short: int = 50) -> DataFrame:
     """Per technology: distinct listings naming it, how many say little, how many hold a leak phrase."""
     text = F.coalesce(F.col(description), F.lit(""))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -30,6 +30,24 @@ def purge_older_than(df: DataFrame, days: int, now: str, keep_undated: bool = Fa
     return df.where(young | F.col("ts").isNull() if keep_undated else young)
 
 
+def purge_counted(df: DataFrame, days: int, now: str, keep_undated: bool = False) -> tuple[DataFrame, Observation]:
+    """``purge_older_than`` with an observation whose ``removed`` is the number of rows left out, once the rows are written."""
+    seen = Observation()
+    kept = F.col("ts") >= F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(days))
+    kept = F.coalesce(kept, F.lit(keep_undated))
+    marked = df.withColumn("__kept", kept).observe(seen, F.count_if(~F.col("__kept")).alias("removed"))
+    return marked.where("__kept").drop("__kept"), seen
+
+
+def ledger_items(jobs: DataFrame) -> DataFrame:
+    """(provider, key, outcome): the rows behind ``build_ledger_batches``, which has their counts.
+
+    They are a table of their own, as a provider's rows have no bound; no titles, URLs or texts are kept.
+    """
+    name = F.lower(F.trim(F.coalesce("source", F.lit(""))))
+    return jobs.select(F.when(name == "", "unknown").otherwise(name).alias("provider"), "key", "outcome")
+
+
 def keep_last_n(df: DataFrame, n: int, order: list[str]) -> DataFrame:
     """The ``n`` newest rows."""
     return df.orderBy(*[F.desc(c) for c in order]).limit(n)

@@ -153,12 +153,24 @@ def q_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("reasons", F.array_join("reasons", ","))
 
 
+#: Folders made by ``_scratch`` in this session, for ``sweep``.
+_FOLDERS: list[str] = []
+
+
 def _scratch(spark: SparkSession) -> str:
     """A new folder below the shared checkpoint folder; a temporary one serves in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{found or tempfile.mkdtemp(prefix='spark-sievemill-')}/stream-{uuid.uuid4().hex}"
+    _FOLDERS.append(f"{found or tempfile.mkdtemp(prefix='spark-sievemill-')}/stream-{uuid.uuid4().hex}")
+    return _FOLDERS[-1]
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete what queries wrote below ``_scratch`` folders in this session, once their results are written."""
+    while _FOLDERS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def q_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemill.functions import modality as m
-from sievemill.operators import names, records
-from sievemill.plans.queries import _RELEVANCE, VIEW, listings, table
+from sievemill.operators import cycles, inventory, names, records, relevance
+from sievemill.plans.feeds import _scratch
+from sievemill.plans.queries import _RELEVANCE, NOW, VIEW, listings, table
+from sievemill.sources import scans
 
 PLACES = m.Places(("valencia", "paterna"), ("madrid", "barcelona"))
 #: Sentences put behind the texts, so that every rung of the ladder is told somewhere.
@@ -65,4 +67,49 @@ O_NAMES = r"""WITH a AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text),
  SELECT doc_id, CAST(coalesce(n, 0) AS INTEGER) n, coalesce(names, '') AS names FROM documents LEFT JOIN h USING (doc_id)"""
 
 
-QUERIES = {"work_modes": (q_modes, O_MODES), "match_records": (q_matches, None), "names_told": (q_names, O_NAMES)}
+def q_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings in cycles of 50, with every switch set in some cycle."""
+    n = F.col("seq")
+    rows = relevance.classify_relevance(listings(spark, sf_dir)).withColumn("cycle", F.floor(n / 50))
+    viable = relevance.is_local(F.col("location"), F.col("title"), ["valencia", "paterna"]) | F.col("location").isin("Remoto", "Teletrabajo")
+    rows = rows.withColumn("reason", relevance.filter_reason(rows, viable, ["data", "python", "iot", "ai"], ["Company 5"]))
+    recent = relevance.recency_decision(F.array("url"), F.array("posted_text"), F.lit(NOW), F.col("source") == "linkedin")
+    rows = rows.withColumn("recency", recent["state"]).withColumn("is_seen", n % 11 == 0).withColumn("is_fresh", n % 2 == 0).withColumn("delivered", n % 7 > 0).withColumn("undescribed", F.length(F.coalesce("description", F.lit(""))) < 600).withColumn("duplicates", n % 3)
+    c = F.col("cycle") % 4
+    return cycles.cycle_stats(cycles.cycle_outcomes(rows, "cycle", "seq", c != 1, c == 2, c == 1, 3), ["cycle"])
+
+
+O_CYCLES = (
+    _RELEVANCE
+    + r""", based AS (SELECT seq, seq // 50 AS cycle, status, description, CASE WHEN source = 'linkedin' AND seq % 5 > 0 AND (seq % 90) * 60 > seq % 5 * 900 THEN 'discarded_time_window' WHEN source = 'linkedin' AND seq % 5 = 0 THEN 'unverified_time_window' WHEN seq % 11 = 0 THEN 'seen' END early,
+ CASE WHEN status = 'rejected' THEN 'discarded_relevance' WHEN location NOT IN ('Valencia', 'Paterna, Valencia', 'Remoto', 'Teletrabajo') THEN CASE WHEN regexp_matches(title, '(?i)\b(?:senior|sr\.?|lead)\b') THEN 'discarded_exclude' ELSE 'discarded_location' END WHEN regexp_matches(title, '(?i)\b(?:senior|sr\.?|lead)\b') THEN 'discarded_exclude'
+ WHEN source <> 'linkedin' AND NOT regexp_matches(lower(concat_ws(' ', title, company, location, description)), '(^|[^\p{L}\p{M}\p{N}_])(data|python|iot|ai)([^\p{L}\p{M}\p{N}_]|$)') THEN 'discarded_include' WHEN seq % 37 = 5 THEN 'discarded_exclude' END late FROM r),
+ dropped AS (SELECT *, coalesce(early, late) gone, cycle % 4 k FROM based),
+ holding AS (SELECT *, CASE WHEN gone IS NULL AND k = 1 AND seq % 2 > 0 THEN 'alerts_disabled' WHEN gone IS NULL AND k = 2 THEN 'paused' END held FROM dropped),
+ counting AS (SELECT *, count(*) FILTER (WHERE gone IS NULL AND held IS NULL AND seq % 7 > 0) OVER (PARTITION BY cycle ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) sends FROM holding),
+ ending AS (SELECT *, coalesce(gone, held, CASE WHEN sends >= 3 THEN 'notification_limit' WHEN seq % 7 > 0 THEN 'sent' ELSE 'delivery_failed' END) outcome FROM counting)
+ SELECT cycle, count(*) detected, count(*) FILTER (WHERE gone IS NULL) eligible, count(*) FILTER (WHERE early IS NULL AND status = 'warning') relevance_warning, count(*) FILTER (WHERE length(coalesce(description, '')) < 600) description_unavailable, 0 discarded_description_unavailable, CAST(sum(seq % 3) AS BIGINT) duplicate_channels,
+ count(*) FILTER (WHERE outcome = 'sent' OR (outcome = 'alerts_disabled' AND k = 1)) saved, """
+    + ", ".join(f"count(*) FILTER (WHERE outcome = '{n}') {n}" for n in ("discarded_time_window", "unverified_time_window", "discarded_location", "discarded_include", "discarded_exclude", "discarded_relevance", "seen", "paused", "notification_limit", "alerts_disabled", "delivery_failed", "sent"))
+    + " FROM ending GROUP BY 1"
+)
+
+
+def q_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("day", F.date_trunc("day", "ts")).withColumn("tags", F.when(F.col("event_id") % 3 > 0, F.concat(F.lit('["'), "event_type", F.lit('", "x"]'))).when(F.col("event_id") % 2 == 0, "[broken"))
+    return scans.scan_newest_first(e, "day", "event_id", ["tags"], f"{_scratch(spark)}/scan").select("event_id", "place", F.size("tags").alias("tags"))
+
+
+O_SCAN = """SELECT event_id, row_number() OVER (ORDER BY date_trunc('day', ts) DESC NULLS LAST, event_id) place, CASE WHEN event_id % 3 > 0 THEN 2 ELSE 0 END tags FROM events"""
+
+
+def q_last_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("key"), F.col("event_type").alias("status"), F.date_trunc("hour", "ts").alias("ts"))
+    return inventory.last_decisions(e, "2024-01-20 00:00:00", 48).select("key", "status", "place", "n")
+
+
+O_LAST_DECISIONS = """WITH e AS (SELECT event_id AS key, event_type status, date_trunc('hour', ts) t FROM events WHERE date_trunc('hour', ts) > TIMESTAMP '2024-01-18')
+ SELECT key, status, CAST(row_number() OVER (PARTITION BY status ORDER BY t DESC, key) AS INTEGER) place, count(*) OVER (PARTITION BY status) n FROM e QUALIFY row_number() OVER (PARTITION BY status ORDER BY t DESC, key) <= 10"""
+
+
+QUERIES = {"ordered_scan": (q_scan, O_SCAN), "last_decisions": (q_last_decisions, O_LAST_DECISIONS), "cycle_counters": (q_cycles, O_CYCLES), "work_modes": (q_modes, O_MODES), "match_records": (q_matches, None), "names_told": (q_names, O_NAMES)}
