@@ -26,6 +26,12 @@ def cached_decision(df: DataFrame, cache: DataFrame, now: str, ttl_days: int = 7
     return df.join(fresh.select("source", "job_id", "fingerprint", F.col("decision").alias("cached")), ["source", "job_id", "fingerprint"], "left")
 
 
+def decision_with_cache(df: DataFrame, cache: DataFrame, now: str, ttl_days: int = 7) -> DataFrame:
+    """``df`` with the stored ``decision`` where there is a young one for its key and fingerprint, else its own."""
+    known = cached_decision(df, cache, now, ttl_days)
+    return known.withColumn("decision", F.coalesce("cached", "decision")).select(*df.columns)
+
+
 def compare_inventories(production: DataFrame, reference: DataFrame, search: str = "search", key: str = "key") -> DataFrame:
     """Per search: matches, only_production, only_reference and eligible absences.
 
