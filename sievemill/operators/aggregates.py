@@ -6,22 +6,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def merge_duplicates(df: DataFrame, key: str, seq: str, placeholders: list[str]) -> DataFrame:
+def merge_duplicates(df: DataFrame, key: str | list[str], seq: str, placeholders: list[str]) -> DataFrame:
     """Merge the rows of each key in arrival order.
 
     The last title, company and location that are no placeholder and the last non-empty url win;
-    of descriptions the longest, earlier on ties; flags are or-ed and aliases united in order.
+    of descriptions the longest, earlier on ties; flags are or-ed and aliases united in order. A
+    null list of aliases has none. Aliases are made distinct before they are gathered, so a key of
+    many rows gathers no more than it gives.
     """
+    keys = [key] if isinstance(key, str) else key
     told = lambda c: ~F.coalesce(F.col(c), F.lit("")).isin("", *placeholders)
     last = lambda c: F.max_by(c, F.when(told(c), F.col(seq)))
     text = F.coalesce("description", F.lit(""))
-    united = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col("aliases").alias("a")))), lambda x: x["a"])))
-    return df.groupBy(key).agg(
+    merged = df.groupBy(*keys).agg(
         *[F.coalesce(last(c), F.min_by(c, seq)).alias(c) for c in ("title", "company", "location", "url")],
         F.max_by(text, F.struct(F.length(text), -F.col(seq))).alias("description"),
         F.bool_or("is_fresh").alias("is_fresh"),
-        united.alias("aliases"),
     )
+    named = [F.col(k).alias(f"__{k}") for k in keys]
+    single = df.select(*named, F.col(seq).alias("__seq"), F.posexplode("aliases").alias("__pos", "__alias"))
+    firsts = single.groupBy(*[f"__{k}" for k in keys], "__alias").agg(F.min(F.struct("__seq", "__pos")).alias("__first"))
+    united = firsts.groupBy(*[f"__{k}" for k in keys]).agg(F.transform(F.array_sort(F.collect_list(F.struct("__first", "__alias"))), lambda x: x["__alias"]).alias("aliases"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return merged.join(united, same, "left").select(*merged.columns, F.coalesce("aliases", F.array().cast(df.schema["aliases"].dataType)).alias("aliases"))
 
 
 def process_stats(outcomes: DataFrame, names: list[str]) -> DataFrame:

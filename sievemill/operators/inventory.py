@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievemill.operators.aggregates import merge_duplicates
 from sievemill.operators.windows import latest_per_key
 
 
@@ -36,6 +37,15 @@ def channel_union(cards: DataFrame, searches: DataFrame) -> DataFrame:
     return rows.select("run_id", "searches", "complete", unique.alias("unique_cards"), F.greatest(F.coalesce("found", F.lit(0)) - unique, F.lit(0)).alias("channel_duplicates"))
 
 
+def channel_cards(cards: DataFrame, placeholders: list[str]) -> DataFrame:
+    """(run_id, key, …): the distinct cards of a run, merged over its searches in arrival order.
+
+    ``cards`` has run_id, key, seq and the fields that ``merge_duplicates`` reads; ``channel_union``
+    has their numbers.
+    """
+    return merge_duplicates(cards, ["run_id", "key"], "seq", placeholders)
+
+
 def capture_validity(captures: DataFrame, tolerance: int = 120) -> DataFrame:
     """Add ``reasons`` and ``valid`` to captures of a production and a reference side.
 

@@ -79,6 +79,19 @@ def match_by_run(batches: DataFrame, runs: DataFrame) -> DataFrame:
     return rows.withColumn("complete", F.coalesce(F.when(named, F.col("known")).otherwise(F.col("ts") <= F.col("latest")), F.lit(False))).drop("known", "latest")
 
 
+def runs_for_ledger(batches: DataFrame, runs: DataFrame) -> DataFrame:
+    """The runs that the ledger's ``batches`` stand for: those they name, never by closeness in time.
+
+    Where some batch names no run, all runs from the time of the first such batch on count too. Both
+    sides have run_id and ts; a null run_id names none.
+    """
+    name = F.trim(F.coalesce("run_id", F.lit("")))
+    named = batches.where(name != "").select(name.alias("__named")).distinct().withColumn("__known", F.lit(True))
+    unnamed = batches.where(name == "").agg(F.min("ts").alias("__since"))
+    rows = runs.join(named, F.trim("run_id") == F.col("__named"), "left").crossJoin(F.broadcast(unnamed))  # one row
+    return rows.where(F.coalesce("__known", F.lit(False)) | F.coalesce(F.col("ts") >= F.col("__since"), F.lit(False))).select(*runs.columns)
+
+
 def alias_dim_join(batches: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
     """Add ``provider``: the name that the batch's own name or alias stands for."""
     rows = [(a, name) for name, others in aliases.items() for a in dict.fromkeys([name, *others])]

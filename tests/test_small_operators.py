@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from sievemill.functions import gates, text
-from sievemill.operators import coverage, joins, tables, windows
+from sievemill.operators import aggregates, coverage, inventory, joins, tables, windows
 from sievemill.streaming import streams
 
 
@@ -68,3 +68,20 @@ def test_a_run_is_accepted_once(spark, tmp_path):
     stream = spark.readStream.schema("run_id string, ts timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
     streams.dedup_runs(stream, "ts", "run_id", "1 hour").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
     assert rows(spark.read.parquet(f"{tmp_path}/out"), "run_id") == [("r1",), ("r2",), ("r3",)]
+
+
+def test_runs_that_a_ledger_stands_for(spark):
+    t = lambda h: dt.datetime(2024, 1, 1, h)
+    runs = spark.createDataFrame([("r1", t(1)), ("r2", t(2)), (None, t(3)), ("r4", t(9))], "run_id string, ts timestamp")
+    batches = spark.createDataFrame([(" r1 ", t(5)), (None, t(3))], "run_id string, ts timestamp")
+    assert rows(joins.runs_for_ledger(batches, runs), "run_id") == [("r1",), ("r4",), (None,)]
+    assert rows(joins.runs_for_ledger(batches.where("run_id IS NOT NULL"), runs), "run_id") == [("r1",)] and joins.runs_for_ledger(batches.limit(0), runs).count() == 0
+
+
+def test_cards_merged_over_searches(spark):
+    cards = [("r", "k", 1, "-", "A", "", "u1", None, False, ["x", "y"]), ("r", "k", 2, "Title", None, "Town", "", "long text", None, ["y", "z"]), ("r", "k", 3, "", "B", "-", "u3", "text", True, None), (None, "k", 4, "T", "C", "L", "u", "d", False, None), ("r", "other", 5, "T", "C", "L", "u", "d", False, [])]
+    df = spark.createDataFrame(cards, "run_id string, key string, seq int, title string, company string, location string, url string, description string, is_fresh boolean, aliases array<string>")
+    got = {(r.run_id, r.key): (r.title, r.company, r.location, r.url, r.description, r.is_fresh, r.aliases) for r in inventory.channel_cards(df, ["-"]).collect()}
+    assert got == {("r", "k"): ("Title", "B", "Town", "u3", "long text", True, ["x", "y", "z"]), (None, "k"): ("T", "C", "L", "u", "d", False, []), ("r", "other"): ("T", "C", "L", "u", "d", False, [])}
+    many = spark.range(3000).selectExpr("1 AS key", "id AS seq", "'t' AS title", "'c' AS company", "'l' AS location", "'u' AS url", "'d' AS description", "false AS is_fresh", "array(CAST(id % 3 AS STRING)) AS aliases")
+    assert aggregates.merge_duplicates(many, "key", "seq", []).first().aliases == ["0", "1", "2"]
