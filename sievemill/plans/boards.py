@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievemill.plans.feeds import _scratch
@@ -27,16 +27,30 @@ O_MENU = r"""WITH l AS (SELECT page_id, unnest(x) a, unnest(range(len(x))) AS n
  SELECT page_id, url, arg_min(title, n) title, 'Ubicación no especificada' AS location, 'Menu' company FROM u GROUP BY page_id, url HAVING length(arg_min(title, n)) BETWEEN 1 AND 300"""
 
 
+#: How many of a board's first cards stand on each of its pages, over the board's cap.
+TOP = BOARD.max_results + 1
+
+
 def _boards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The given pages with nested cards of the suppliers of their nation, and a next link."""
-    s = table(spark, sf_dir, "supplier")
+    """The given pages with nested cards of the suppliers of their nation, and a next link.
+
+    As on a real board, its ``TOP`` first cards stand on top of every page and the whole list is dealt
+    over its pages, so all pages together grow with pages and suppliers, not with their product.
+    """
+    s = table(spark, sf_dir, "supplier").withColumn("board", F.col("s_nationkey") % 5)
     key = F.col("s_suppkey").cast("string")
     when = F.when(F.col("s_suppkey") % 3 > 0, F.concat(F.lit('<time datetime="2024-01-0'), (F.col("s_suppkey") % 9 + 1).cast("string"), F.lit('T08:00:00Z">x</time>'))).otherwise("")
     card = F.concat(F.lit('<li><div class="card new"><div><a href="../jobs/'), key, F.lit('?utm_medium=z">Job <i>'), key, F.lit('</i></a></div></div> <div class="card"><a href="/jobs/'), key, F.lit('#x"></a><p class="place"> Place '), (F.col("s_suppkey") % 7).cast("string"), F.lit(" </p>"), when, F.lit("</div></li>"))
-    cards = s.groupBy((F.col("s_nationkey") % 5).alias("board")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", card.alias("card")))), lambda x: x["card"]), "").alias("cards"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", card.alias("card")))), lambda x: x["card"]), "").alias("cards")
+    firsts = s.withColumn("n", F.row_number().over(Window.partitionBy("board").orderBy("s_suppkey"))).where(F.col("n") <= TOP)
+    tops = firsts.groupBy("board").agg(listed).withColumnRenamed("cards", "top")
+    # Page ids of a board are its number and every fifth from there on.
     pages = _pages(spark, sf_dir).withColumn("board", F.col("page_id") % 5)
-    more = F.concat(F.lit("<ul>"), F.coalesce("cards", F.lit("")), F.lit('</ul><div class="pagination"><a class="next" href="?page='), (F.col("page_id") + 1).cast("string"), F.lit('">more</a></div>'))
-    return pages.join(cards, "board", "left").withColumn("html", F.concat(F.coalesce("html", F.lit("")), more))
+    rounds = F.greatest(F.floor((F.lit(pages.agg(F.max("page_id")).first()[0] or 0) - F.col("board")) / 5) + 1, F.lit(1))
+    dealt = s.groupBy((F.pmod(F.xxhash64("s_suppkey"), rounds) * 5 + F.col("board")).alias("page_id")).agg(listed)
+    pages = pages.join(F.broadcast(tops), "board", "left").join(dealt.hint("merge"), "page_id", "left")
+    more = F.concat(F.lit("<ul>"), F.coalesce("top", F.lit("")), F.coalesce("cards", F.lit("")), F.lit('</ul><div class="pagination"><a class="next" href="?page='), (F.col("page_id") + 1).cast("string"), F.lit('">more</a></div>'))
+    return pages.withColumn("html", F.concat(F.coalesce("html", F.lit("")), more))
 
 
 def q_board(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +73,9 @@ def q_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     text = F.when(k % 4 == 0, F.to_json(job)).when(k % 4 == 1, F.to_json(F.struct(F.array(F.struct(job.alias("inner"))).alias("list"), F.struct(F.col("p_name").alias("title")).alias("other"))))
     text = text.when(k % 4 == 2, F.to_json(F.array(F.array(F.array(F.array(F.struct(F.lit(1).alias("n"), F.struct(job.alias("more"), F.col("p_name").alias("title"), F.lit("u").alias("url"), F.lit(None).alias("job_request")).alias("deep")))))))).otherwise("{not json")
-    planted = p.select(k.alias("page_id"), F.concat(F.lit('<app-island opts="x" props="'), F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")), F.lit('"></app-island>')).alias("more"))
-    pages = table(spark, sf_dir, "pages").join(planted, "page_id").withColumn("html", F.concat(F.coalesce("html", F.lit("")), "more"))
+    more = F.concat(F.lit('<app-island opts="x" props="'), F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")), F.lit('"></app-island>'))
+    # Joined by a shuffle before the text is made, whose size estimates don't know.
+    pages = table(spark, sf_dir, "pages").join(p.select("p_partkey", "p_name", "p_size").hint("merge"), F.col("page_id") == k).withColumn("html", F.concat(F.coalesce("html", F.lit("")), more))
     islands = blocks.select_blocks(pages, ["app-island[props]"]).select("page_id", F.col("attributes")["props"].alias("props"))
     found = blocks.json_objects(islands, "props", ["job_request", "title", "url"], f"{_scratch(spark)}/walk")
     get = lambda name: F.try_variant_get("found", f"$.{name}", "string")
