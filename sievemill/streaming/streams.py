@@ -13,9 +13,10 @@ from sievemill.operators.tables import build_ledger_batches
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table as a stream of files."""
+    """A table as a stream of files, whether it is one file or a folder of them."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    # A pattern, as the path itself of a stream must be a folder; it means this one name only.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/[{name[0]}]{name[1:]}.parquet")
 
 
 def cycle_windows(events: DataFrame, time: str, by: str, size: str, slide: str | None = None) -> DataFrame:

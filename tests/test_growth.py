@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from sievemill.plans import boards
+from sievemill.plans import boards, feeds
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,3 +14,11 @@ def test_boards_grow_with_pages_and_suppliers(spark, tmp_path):
     assert {int(r.k) for r in cards} == set(range(500)) and len(cards) == 500 + boards.TOP * 200
     assert all(int(r.k) % 5 == r.page_id % 5 for r in cards)
     assert boards.q_board(spark, str(tmp_path)).count() == 3 * 200
+
+
+def test_streams_read_tables_that_are_folders(spark, tmp_path):
+    for name in ("documents", "events"):
+        spark.read.parquet(f"{SF}/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("stream_ledger", "stream_first_seen", "stream_windows", "stream_heartbeats"):
+        query = feeds.QUERIES[name][0]
+        assert sorted(map(str, query(spark, str(tmp_path)).collect())) == sorted(map(str, query(spark, SF).collect())) != []
