@@ -294,15 +294,20 @@ O_SITEMAP = r"""WITH p AS (SELECT p_partkey k, regexp_replace(lower(p_brand), '[
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The given pages with a record of a part as JSON-LD, as a script's string and as table rows."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), "p_name", "p_brand", "p_size")
+    """The given pages with a record of a part as JSON-LD, as a script's string and as table rows.
+
+    Parts meet pages by a shuffle and the record is made behind it: a made-up string counts as 20 bytes
+    in estimates, so all records of a large table would else be taken for small enough to broadcast.
+    """
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), "p_name", "p_brand", "p_size").hint("merge")
+    p = table(spark, sf_dir, "pages").join(p, "page_id")
     posting = F.to_json(F.struct(F.lit("JobPosting").alias("@type"), F.col("p_name").alias("description"), F.struct(F.col("p_brand").alias("name")).alias("hiringOrganization"), F.struct(F.struct(F.lit("Town").alias("addressLocality"), F.col("p_size").cast("string").alias("addressRegion")).alias("address")).alias("jobLocation")))
     ld = F.when(F.col("page_id") % 3 == 0, posting).when(F.col("page_id") % 3 == 1, F.concat(F.lit('{"@graph": [{"@type": "Page"}, '), posting, F.lit("]}"))).otherwise(F.concat(F.lit('[{"@type": "Other"}, '), posting, F.lit("]")))
     offers = F.to_json(F.struct(F.array(F.struct(F.col("p_name").alias("title"), F.col("p_size").alias("size"))).alias("offers")))
     quoted = F.regexp_replace(F.regexp_replace(offers, r"\\", r"\\\\"), '"', r'\\"')
     cells = F.concat(F.lit("<table><tr><td>REF-"), F.col("page_id").cast("string"), F.lit("</td><td>"), F.col("p_brand"), F.lit("</td><td><b>"), F.col("p_size").cast("string"), F.lit("</b></td><td>a &amp; b</td></tr><tr><td>no</td></tr></table>"))
-    extra = p.select("page_id", F.concat(F.lit('<script type="application/ld+json">'), ld, F.lit('</script><script>x = JSON.parse("'), quoted, F.lit('")</script><table><tr><td>REF-first</td></tr></table>'), cells).alias("extra"))
-    return table(spark, sf_dir, "pages").join(extra, "page_id").withColumn("html", F.concat(F.coalesce("html", F.lit("")), "extra"))
+    extra = F.concat(F.lit('<script type="application/ld+json">'), ld, F.lit('</script><script>x = JSON.parse("'), quoted, F.lit('")</script><table><tr><td>REF-first</td></tr></table>'), cells)
+    return p.withColumn("html", F.concat(F.coalesce("html", F.lit("")), extra)).drop("p_name", "p_brand", "p_size")
 
 
 def q_page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,7 +315,7 @@ def q_page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     ld = pages.extract_jsonld(p)
     offers = pages.parse_embedded_json(p, "struct<offers: array<struct<title: string, size: int>>>", "offers").select("page_id", F.col("item.title").alias("offer"), F.col("item.size").alias("size"))
     rows = pages.extract_html_table(p, 2, "REF-").select("page_id", F.array_join("values", "|").alias("cells"))
-    return ld.join(offers, "page_id").join(rows, "page_id")
+    return ld.join(offers.hint("merge"), "page_id").join(rows.hint("merge"), "page_id")
 
 
 O_PAGE_RECORDS = """SELECT page_id, p_brand organisation, 'Town' locality, CAST(p_size AS VARCHAR) region, p_name description, p_name offer, CAST(p_size AS INTEGER) size, 'REF-' || page_id || '|' || p_brand || '|' || p_size || '|a & b' AS cells FROM pages JOIN part ON p_partkey = page_id"""

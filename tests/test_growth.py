@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from sievemill.plans import boards, feeds
+from sievemill.plans import boards, facts, feeds
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,3 +22,9 @@ def test_streams_read_tables_that_are_folders(spark, tmp_path):
     for name in ("stream_ledger", "stream_first_seen", "stream_windows", "stream_heartbeats"):
         query = feeds.QUERIES[name][0]
         assert sorted(map(str, query(spark, str(tmp_path)).collect())) == sorted(map(str, query(spark, SF).collect())) != []
+
+
+def test_made_up_records_are_not_broadcast(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan(facts._pages(spark, SF))
+    assert "BroadcastHashJoin" not in plan(facts.q_page_records(spark, SF))
