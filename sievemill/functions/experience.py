@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sievemill.functions.catalogs import TOOLS, tech_stack
 from sievemill.functions.features import experience_level
+from sievemill.functions.text import any_pattern
 
 # Phrases and year patterns, in the order in which they are tried.
 NO_EXPERIENCE = r"\b(sin\s+experiencia(?:\s+previa)?|no\s+se\s+requiere\s+experiencia|no\s+es\s+necesaria\s+experiencia|no\s+requerida|primer\s+empleo|reci[ée]n\s+graduad[oa]|fresh\s+graduate|entry[- ]?level)\b"
@@ -43,7 +44,7 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def _place(text: Column, pattern: str, low: bool = False, high: bool = False) -> Column:
     """The first match with the text around it, null without one."""
-    p = _FLAGS + pattern
+    p = _FLAGS + any_pattern(pattern)
     number = lambda wanted, i: F.regexp_extract(text, p, i).cast("int") if wanted else F.lit(None).cast("int")
     found = lambda parts: F.struct(parts[0].alias("before"), F.regexp_extract(text, p, 0).alias("said"), parts[1].alias("after"), number(low, 1).alias("low"), number(high, 2).alias("high"))
     return F.when(text.rlike(p), _let(F.split(text, p, 2), found))
@@ -57,7 +58,7 @@ def _years(text: Column) -> Column:
 
 def _internship(text: Column) -> Column:
     """The first internship word that no good practices or meal grant stand near, folded over all of them."""
-    p = _FLAGS + INTERNSHIP
+    p = _FLAGS + any_pattern(INTERNSHIP)
     words, none = F.regexp_extract_all(text, F.lit(p), F.lit(0)), F.lit(None).cast("int")
 
     def step(state: Column, pair: Column) -> Column:

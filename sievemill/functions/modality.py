@@ -1,7 +1,8 @@
 """Work mode told by a listing, as a Column: a ladder of firm phrases, then loose words, then the place.
 
 Every rung is one alternation over the text, so a text is searched once per rung and not once per
-phrase. Nothing is split or collected; all runs in the JVM.
+phrase, and a look at the first character spares most places the phrases. Nothing is split or
+collected; all runs in the JVM.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sievemill.functions.text import any_pattern
+
 # The phrases of each rung and the labels, as the results must have them.
 ON_SITE, HYBRID, REMOTE, BY_PLACE, UNSAID = "Presencial", "Híbrido", "100% Remoto", "Presencial / Híbrido", "Flexible / No especificada"
 NO_REMOTE = (
@@ -54,8 +57,14 @@ def _literal(words: tuple[str, ...]) -> str:
     return "|".join(re.sub(r"([^\w ])", r"\\\1", w) for w in words) or r"(?!)"
 
 
-def _any(patterns: tuple[str, ...]) -> str:
-    return "(?iuU)" + "|".join(f"(?:{p})" for p in patterns)
+def _any(*patterns: str) -> str:
+    """Any of ``patterns``, for texts of ``_lower``."""
+    return "(?U)" + any_pattern(*patterns)
+
+
+def _lower(text: Column) -> Column:
+    """In lower case, also the two letters that only match i and s when case is ignored; patterns then needn't ignore it."""
+    return F.replace(F.replace(F.lower(text), F.lit("ı"), F.lit("i")), F.lit("ſ"), F.lit("s"))
 
 
 def _holds(c: Column, words: tuple[str, ...]) -> Column:
@@ -64,12 +73,12 @@ def _holds(c: Column, words: tuple[str, ...]) -> Column:
 
 def _first_days(text: Column) -> Column:
     """Whether the first number of days at a place is one of work: no holidays within 10 characters before or 25 behind it."""
-    around = F.regexp_extract(text, rf"(?iuUs)^.*?(?:{DAYS})(.{{0,25}})", 0)
-    hit = F.regexp_extract(text, rf"(?iuUs)^.*?({DAYS})(.{{0,25}})", 1)
-    behind = F.regexp_extract(text, rf"(?iuUs)^.*?(?:{DAYS})(.{{0,25}})", 1)
+    days = any_pattern(DAYS)
+    part = lambda p, i: F.regexp_extract(text, rf"(?Us)^.*?{p}", i)
+    around, hit, behind = part(rf"(?:{days})(.{{0,25}})", 0), part(f"({days})", 1), part(rf"(?:{days})(.{{0,25}})", 1)
     start = F.length(around) - F.length(hit) - F.length(behind)
     window = F.substring(around, F.greatest(start - 9, F.lit(1)), F.length(around))
-    return text.rlike(f"(?iuU){DAYS}") & ~window.rlike(f"(?iuU){HOLIDAYS}")
+    return text.rlike(_any(DAYS)) & ~window.rlike(f"(?U){HOLIDAYS}")
 
 
 def modality(text: Column, location: Column, places: Places) -> Column:
@@ -80,16 +89,16 @@ def modality(text: Column, location: Column, places: Places) -> Column:
     then the place.
     """
     where = F.lower(F.coalesce(location, F.lit("")))
-    full = F.lower(F.concat(F.coalesce(text, F.lit("")), F.lit(" "), F.coalesce(location, F.lit(""))))
-    word = full.rlike(rf"(?iuU)\b(?:{_literal(places.remote_words)})\b")
+    full = _lower(F.concat(F.coalesce(text, F.lit("")), F.lit(" "), F.coalesce(location, F.lit(""))))
+    word = full.rlike(rf"(?U)\b(?:{_literal(tuple(w.lower() for w in places.remote_words))})\b")
     away = where.contains("remoto") | where.contains("remote") | where.contains("teletrabajo")
     return (
-        F.when(full.rlike(_any(NO_REMOTE)), ON_SITE)
-        .when(full.rlike(f"(?iuU){SPLIT}"), HYBRID)
+        F.when(full.rlike(_any(*NO_REMOTE)), ON_SITE)
+        .when(full.rlike(_any(SPLIT)), HYBRID)
         .when(_first_days(full), HYBRID)
-        .when(full.rlike(_any((*SHARES, *HYBRIDS))), HYBRID)
-        .when(full.rlike(_any(REMOTES)), REMOTE)
-        .when(full.rlike(rf"(?iuU)\b(?:{_literal(ON_SITES)})\b"), ON_SITE)
+        .when(full.rlike(_any(*SHARES, *HYBRIDS)), HYBRID)
+        .when(full.rlike(_any(*REMOTES)), REMOTE)
+        .when(full.rlike(_any(rf"\b(?:{_literal(ON_SITES)})\b")), ON_SITE)
         .when(word, F.when(~away & _holds(where, (*places.home, *places.others)), HYBRID).otherwise(REMOTE))
         .when(_holds(where, (*places.home, *places.others)), BY_PLACE)
         .otherwise(UNSAID)

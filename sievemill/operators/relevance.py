@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievemill.functions.text import has_term, lower_squash, match_terms, norm_text, phrase_match, score_terms
+from sievemill.functions.text import any_phrase, has_term, lower_squash, match_terms, norm_text, score_terms
 
 
 @dataclass(frozen=True)
@@ -108,7 +108,6 @@ def filter_reason(df: DataFrame, viable: Column, include: list[str], exclude: li
     Reads title, company, location, description, source and, where there are, level and
     minimum_years. Candidate sources skip the include list; excludes look at title and company.
     """
-    any_phrase = lambda c, words: F.lit(False) if not words else F.array_contains(F.array(*[phrase_match(c, w) for w in words]), True)
     title = F.coalesce("title", F.lit(""))
     out = F.when(title.rlike(r"(?i)\b(?:senior|sr\.?|lead)\b"), "exclude")
     if "level" in df.columns:

@@ -1,8 +1,11 @@
 """Work that must grow with the input only, and tables in the form in which Spark writes them."""
 
+import re
+
 from pyspark.sql import functions as F
 
-from sievemill.plans import boards, facts, feeds
+from sievemill.functions import experience, modality, text
+from sievemill.plans import boards, facts, feeds, records
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,3 +31,19 @@ def test_made_up_records_are_not_broadcast(spark):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan(facts._pages(spark, SF))
     assert "BroadcastHashJoin" not in plan(facts.q_page_records(spark, SF))
+
+
+def test_first_characters_lose_no_match():
+    said = " ".join([*records.SAID, "híbrido; 3 días en oficina, modelo 2/3, two days, 50% remoto sin remoto 100% remoto máximo 2 días de casa y 1 day office"]).lower()
+    ladder = [modality.NO_REMOTE, (modality.SPLIT,), (modality.DAYS,), (*modality.SHARES, *modality.HYBRIDS), modality.REMOTES, tuple(experience.YEARS), (experience.SENIORITY,), (experience.NO_EXPERIENCE,)]
+    for patterns in ladder:
+        for p in patterns:
+            for n in range(len(said)):
+                assert bool(re.match(text.any_pattern(p), said[n:])) == bool(re.match(p, said[n:]))
+        assert bool(re.search(text.any_pattern(*patterns), said)) == bool(re.search("|".join(f"(?:{p})" for p in patterns), said))
+
+
+def test_phrases_are_searched_at_once(spark):
+    row = spark.createDataFrame([("Big  \n Data, iot",)], "t string")
+    got = row.select(text.any_phrase(F.col("t"), ["x", " big  DATA "]), text.any_phrase(F.col("t"), ["at", "io"]), text.any_phrase(F.col("t"), []), text.phrase_match(F.col("t"), "IoT")).first()
+    assert tuple(got) == (True, False, False, True)
