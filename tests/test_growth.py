@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from sievemill.functions import experience, modality, text
+from sievemill.operators import names
 from sievemill.plans import boards, facts, feeds, records
 
 SF = "/root/testdata/sf0.001"
@@ -33,6 +34,14 @@ def test_made_up_records_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in plan(facts.q_page_records(spark, SF))
 
 
+def test_plain_names_try_no_pattern(spark):
+    docs = spark.createDataFrame([(1, "Über kafka_2 x"), (2, "kafkas"), (3, None), (3, "KAFKA_2"), (4, "a-b kafka_2")], "doc_id long, text string")
+    aliases = spark.createDataFrame([(1, "K", "Kafka_2", None), (2, "U", "über", None), (3, "AB", "a-b", None)], "place int, name string, alias string, pattern string")
+    told = names.names_told(docs, aliases.where("place < 3"))
+    assert "RLIKE" not in told._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.doc_id: list(r.names) for r in names.names_told(docs, aliases).collect()} == {1: ["K", "U"], 2: [], 3: ["K"], 4: ["K", "AB"]}
+
+
 def test_first_characters_lose_no_match():
     said = " ".join([*records.SAID, "híbrido; 3 días en oficina, modelo 2/3, two days, 50% remoto sin remoto 100% remoto máximo 2 días de casa y 1 day office"]).lower()
     ladder = [modality.NO_REMOTE, (modality.SPLIT,), (modality.DAYS,), (*modality.SHARES, *modality.HYBRIDS), modality.REMOTES, tuple(experience.YEARS), (experience.SENIORITY,), (experience.NO_EXPERIENCE,)]
