@@ -35,7 +35,8 @@ def _boards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The given pages with nested cards of the suppliers of their nation, and a next link.
 
     As on a real board, its ``TOP`` first cards stand on top of every page and the whole list is dealt
-    over its pages, so all pages together grow with pages and suppliers, not with their product.
+    over its pages, so all pages together grow with pages and suppliers, not with their product. Where
+    page ids have gaps, what is dealt to a missing page is on none.
     """
     s = table(spark, sf_dir, "supplier").withColumn("board", F.col("s_nationkey") % 5)
     key = F.col("s_suppkey").cast("string")
