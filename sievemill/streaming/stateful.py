@@ -6,9 +6,11 @@ a query that starts again goes on where it stopped. ``rocksdb`` sets the store f
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from datetime import timedelta
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -26,70 +28,88 @@ def rocksdb(spark: SparkSession) -> SparkSession:
 
 
 class Heartbeats(StatefulProcessor):
-    """Alarms of one key: (key, ts) two intervals after its last complete run, and every interval from then on.
+    """Alarms of a group of keys: (key, ms) two intervals after a key's last complete run, and every interval from then on.
 
-    State: the mark the alarms count from (the first row, or the last complete run that the clock
-    has passed), and complete runs that it hasn't passed yet. An alarm is due by a timer; when it fires
-    the complete runs up to its time are known, whatever order they arrived in.
+    State: for each key the mark its alarms count from (its first row, or the last complete run that
+    the clock has passed), the next alarm due, and complete runs that the clock hasn't passed yet. An
+    alarm is due by a timer; when it fires the complete runs up to its time are known, whatever order
+    they arrived in. A group has one value and one timer, at its first alarm due: each call to the
+    store takes as long as many rows, so calls must not grow with the keys.
     """
 
-    def __init__(self, interval: timedelta, event_time: bool) -> None:
-        self.wait, self.event_time = round(interval.total_seconds() * 1000), event_time
+    def __init__(self, interval: timedelta, event_time: bool, kind: str) -> None:
+        self.wait, self.event_time, self.kind = round(interval.total_seconds() * 1000), event_time, kind
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.mark = handle.getValueState("mark", "mark long, due long")
-        self.runs = handle.getListState("runs", "ts long")
+        self.clocks = handle.getValueState("clocks", f"keys array<{self.kind}>, marks array<long>, dues array<long>, runs array<array<long>>")
 
-    def _keep(self, runs: list[int]) -> None:
-        if runs:
-            self.runs.put([(t,) for t in runs])
-        else:
-            self.runs.clear()
+    def _load(self) -> dict:
+        state = self.clocks.get()
+        return {} if state is None else {key: (mark, due, runs) for key, mark, due, runs in zip(*state, strict=True)}
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+    def _keep(self, clocks: dict, timer: int | None) -> None:
+        self.clocks.update((list(clocks), *map(list, zip(*clocks.values(), strict=True))))
+        first = min(due for _, due, _ in clocks.values())
+        if first != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(first)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         now = None if self.event_time else timerValues.getCurrentProcessingTimeInMs()
-        times, complete = [], []
-        for row in rows:
-            times.append(row.ms if now is None else now)
-            if row.complete:
-                complete.append(times[-1])
-            if len(times) > 1:
-                times = [min(times)]
-        state = self.mark.get()
-        if state is None:
-            state = (times[0], times[0] + 2 * self.wait)
-            self.mark.update(state)
-            self.handle.registerTimer(state[1])
-        if complete:
+        clocks = self._load()
+        timer = min((due for _, due, _ in clocks.values()), default=None)
+        starts, complete = {}, {}
+        for frame in rows:
+            for source, ms, whole in zip(frame["key"].tolist(), frame["ms"].tolist(), frame["complete"].tolist(), strict=True):
+                at = ms if now is None else now
+                if source not in clocks:
+                    starts[source] = min(at, starts.get(source, at))
+                if whole:
+                    complete.setdefault(source, set()).add(at)
+        clocks |= {source: (at, at + 2 * self.wait, []) for source, at in starts.items()}
+        for source, times in complete.items():
             # Of the runs up to the next alarm only the last matters; later ones wait for their turn.
-            waiting = {r[0] for r in self.runs.get()} | set(complete)
-            early = max((t for t in waiting if t <= state[1]), default=None)
-            self._keep(([] if early is None else [early]) + sorted(t for t in waiting if t > state[1]))
+            mark, due, waiting = clocks[source]
+            times.update(waiting)
+            early = max((t for t in times if t <= due), default=None)
+            clocks[source] = (mark, due, ([] if early is None else [early]) + sorted(t for t in times if t > due))
+        if starts or complete:
+            self._keep(clocks, timer)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() if self.event_time else timerValues.getCurrentProcessingTimeInMs()
-        mark, due = self.mark.get()
-        runs = sorted(r[0] for r in self.runs.get())
-        # The clock may have passed several alarms at once.
-        while due <= max(now, expiredTimerInfo.getExpiryTimeInMs()):
-            last = max((t for t in runs if t <= due), default=mark)
-            runs = [t for t in runs if t > due]
-            if last > mark:
-                mark, due = last, max(last + 2 * self.wait, due + 1)
-            else:
-                yield Row(key=key[0], ms=due)
-                due += self.wait
-        self._keep(runs)
-        self.mark.update((mark, due))
-        self.handle.registerTimer(due)
+        until = max(now, expiredTimerInfo.getExpiryTimeInMs())
+        clocks, keys, alarms = self._load(), [], []
+        for source, (mark, due, runs) in clocks.items():
+            # The clock may have passed several alarms at once; runs are in order.
+            passed = 0
+            while due <= until:
+                passed = bisect_right(runs, due, passed)
+                last = runs[passed - 1] if passed else mark
+                if last > mark:
+                    mark, due = last, max(last + 2 * self.wait, due + 1)
+                else:
+                    keys.append(source)
+                    alarms.append(due)
+                    due += self.wait
+            clocks[source] = (mark, due, runs[passed:])
+        self._keep(clocks, None)
+        if alarms:
+            yield pd.DataFrame({"key": keys, "ms": alarms})
 
     def close(self) -> None:
         pass
 
 
-def missing_heartbeats(runs: DataFrame, key: str, interval: timedelta, lateness: str = "0 seconds", clock: str = "event") -> DataFrame:
+#: Keys of these types are kept as they are, others as JSON.
+_PLAIN = ("string", "bigint", "int", "smallint", "tinyint", "boolean")
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def missing_heartbeats(runs: DataFrame, key: str, interval: timedelta, lateness: str = "0 seconds", clock: str = "event", groups: int = 1024) -> DataFrame:
     """(key, ts) whenever a key has had no complete run for two intervals, and once per interval until it has.
 
     ``runs`` is a stream of (key, ts, complete). The first row of a key starts its clock; a complete
@@ -97,15 +117,24 @@ def missing_heartbeats(runs: DataFrame, key: str, interval: timedelta, lateness:
     time, so alarms of a silent key come as soon as others move on; with "processing" it is the time
     of day, so they come even if nothing arrives at all. Rows without a key or time are left out;
     a null ``complete`` counts as false.
+
+    Keys are dealt into ``groups`` by a hash. A group's clocks are one value of the state, read and
+    written whole when a row or an alarm of it comes, so more groups suit many millions of keys; a
+    checkpoint holds for one number of groups.
     """
     rocksdb(runs.sparkSession)
-    rows = runs.select(F.col(key).alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), F.coalesce("complete", F.lit(False)).alias("complete")).where("key IS NOT NULL AND ts IS NOT NULL")
+    kind = runs.schema[key].dataType.simpleString()
+    plain = kind in _PLAIN
+    named = F.col(key) if plain else F.to_json(F.struct(F.col(key).alias("key")), _JSON)
+    rows = runs.where(F.col(key).isNotNull()).select(named.alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), F.coalesce("complete", F.lit(False)).alias("complete")).where("ts IS NOT NULL")
     event = clock == "event"
     if event:
         rows = rows.withWatermark("ts", lateness)
-    kind = runs.schema[key].dataType.simpleString()
-    alarms = rows.groupBy("key").transformWithState(Heartbeats(interval, event), f"key {kind}, ms long", "Append", "EventTime" if event else "ProcessingTime")
-    return alarms.select(F.col("key").alias(key), F.timestamp_millis("ms").alias("ts"))
+    rows = rows.select(F.pmod(F.xxhash64("key"), F.lit(groups)).alias("group"), "key", "ts", "ms", "complete")
+    kept = kind if plain else "string"
+    alarms = rows.groupBy("group").transformWithStateInPandas(Heartbeats(interval, event, kept), f"key {kept}, ms long", "Append", "EventTime" if event else "ProcessingTime")
+    back = F.col("key") if plain else F.from_json("key", f"key {kind}", _JSON)["key"]
+    return alarms.select(back.alias(key), F.timestamp_millis("ms").alias("ts"))
 
 
 class Uses(StatefulProcessor):

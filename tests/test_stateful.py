@@ -1,6 +1,7 @@
 """Streams over several files: alarms by timers, keys used once, recovery, each with a stop in the middle."""
 
 import datetime as dt
+import decimal
 import random
 import time
 
@@ -78,6 +79,62 @@ def test_rows_out_of_order_within_the_lateness(spark, tmp_path):
     assert [g for g in got if g[0] == "b"] == [("b", at(m)) for m in (135, 165, 195)]
 
 
+def test_calls_to_the_store_do_not_grow_with_the_keys(spark, tmp_path):
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    rng = random.Random(5)
+    batches = [[(f"k{n}", at(d * 600 + rng.randint(1, 599)), rng.random() < 0.3) for n in range(1500 + 200 * d) for _ in range(1 + n % 2)] + [("last", at(d * 600 + 600), True)] for d in range(3)]
+    schema, wait = "source string, ts timestamp, complete boolean", dt.timedelta(minutes=120)
+    stream, add = files(spark, tmp_path, "in", batches[:1], schema)
+    told = []
+    for batch in [None, *batches[1:]]:
+        if batch:
+            add(batch)
+        query = stateful.missing_heartbeats(stream, "source", wait).writeStream.format("parquet").outputMode("append").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+        told += [p["stateOperators"][0] for p in query.recentProgress]
+    assert 500 < max(x["numRowsTotal"] for x in told) <= 1024
+    assert all(x["customMetrics"]["numRegisteredTimers"] <= 1024 for x in told)
+    got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").select("source", "ts").collect()))
+    assert got == alarms_by_hand([r for batch in batches for r in batch], wait, at(1800)) != []
+
+
+@pytest.mark.parametrize("groups", [1, 5])
+def test_keys_of_a_group_have_clocks_of_their_own(spark, tmp_path, groups):
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    rng = random.Random(groups)
+    rows = sorted(((f"k{n}", at(rng.randint(20 * n, 900)), rng.random() < 0.5) for n in range(30) for _ in range(9)), key=lambda r: r[1])
+    # Rows come up to 40 minutes late, within the lateness.
+    late = sorted(rows, key=lambda r: r[1] + dt.timedelta(minutes=rng.randint(0, 40)))
+    stream, add = files(spark, tmp_path, "in", [late[:60], late[60:130]], "source string, ts timestamp, complete boolean")
+    wait = dt.timedelta(minutes=30)
+    alarms = lambda: stateful.missing_heartbeats(stream, "source", wait, "40 minutes", groups=groups)
+    take(alarms(), f"{tmp_path}/out", f"{tmp_path}/state")
+    for part in (late[130:], [("end", at(1000), True)]):
+        add(part)
+        take(alarms(), f"{tmp_path}/out", f"{tmp_path}/state")
+    got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").select("source", "ts").collect()))
+    assert got == alarms_by_hand(rows, wait, at(960)) != []
+
+
+@pytest.mark.parametrize(
+    ("kind", "keys"),
+    [
+        ("int", [3, -4]), ("timestamp", [T0, T0 + dt.timedelta(microseconds=1)]), ("decimal(38,6)", [decimal.Decimal("12345678901234567890123456789012.345678"), decimal.Decimal("0.100000")]),
+        ("binary", [b"\x00\xff", b""]), ("struct<a:string,b:timestamp>", [("x", T0 + dt.timedelta(microseconds=7)), (None, None)]),
+    ],
+)
+def test_keys_of_any_type(spark, tmp_path, kind, keys):
+    rows = [(key, T0 + dt.timedelta(minutes=n), False) for n, key in enumerate(keys)]
+    stream, _ = files(spark, tmp_path, "in", [rows, [(keys[0], T0 + dt.timedelta(minutes=90), True)]], f"source {kind}, ts timestamp, complete boolean")
+    alarms = stateful.missing_heartbeats(stream, "source", dt.timedelta(minutes=40), groups=1)
+    assert alarms.schema["source"].dataType.simpleString() == kind
+    take(alarms, f"{tmp_path}/out", f"{tmp_path}/state")
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    want = [(keys[0], T0 + dt.timedelta(minutes=80)), (keys[1], T0 + dt.timedelta(minutes=81))]
+    plain = {tuple: tuple, bytearray: bytes}
+    assert sorted((repr(next((f(r.source) for t, f in plain.items() if isinstance(r.source, t)), r.source)), r.ts) for r in got) == sorted((repr(k), t) for k, t in want)
+
+
 def test_processing_time_needs_no_further_rows(spark, tmp_path):
     stream, _ = files(spark, tmp_path, "in", [[("a", T0, True)]], "source string, ts timestamp, complete boolean")
     alarms = stateful.missing_heartbeats(stream, "source", dt.timedelta(seconds=1), clock="processing")
